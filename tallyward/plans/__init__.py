@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_GROUPS = ("quality",)
+_GROUPS = ("quality", "sensitive")
 
 
 def all_queries() -> dict:

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_GROUPS = ("quality", "sensitive")
+_GROUPS = ("quality", "sensitive", "lineage")
 
 
 def all_queries() -> dict:
     merged = {}
     for group in _GROUPS:
-        merged.update(import_module(f"tallyward.plans.{group}").QUERIES)
+        merged.update(import_module(f"tallyward.plans.{group}").REGISTRY.queries)
     return merged
 
 
 def all_oracles() -> dict[str, str]:
     merged = {}
     for group in _GROUPS:
-        merged.update(import_module(f"tallyward.plans.{group}").ORACLES)
+        merged.update(import_module(f"tallyward.plans.{group}").REGISTRY.oracles)
     return merged

@@ -7,23 +7,15 @@ from pyspark.sql import functions as F
 
 from tallyward.operators import quality as q
 from tallyward.operators.quality import QualityRule
+from tallyward.plans.registry import Registry
 from tallyward.plans.tables import table
 
-QUERIES = {}
-ORACLES = {}
+REGISTRY = Registry()
+_query = REGISTRY.query
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
-def _query(name: str, sql: str):
-    def register(fn):
-        QUERIES[name] = fn
-        ORACLES[name] = sql
-        return fn
-
-    return register
-
-
 def _flat(results: DataFrame) -> DataFrame:
     shown = F.transform("sample_failures", lambda v: F.coalesce(v, F.lit("null")))
     return results.select(

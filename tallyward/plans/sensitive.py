@@ -10,19 +10,11 @@ from pyspark.sql import functions as F
 from tallyward.constants import ENTITIES, SYSTEM_RULES
 from tallyward.operators import classify as c
 from tallyward.operators import pii as p
+from tallyward.plans.registry import Registry
 from tallyward.plans.tables import table
 
-QUERIES = {}
-ORACLES = {}
-
-
-def _query(name: str, sql: str):
-    def register(fn):
-        QUERIES[name] = fn
-        ORACLES[name] = sql
-        return fn
-
-    return register
+REGISTRY = Registry()
+_query = REGISTRY.query
 
 
 # Tables and text columns that are scanned, whole.

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -34,42 +35,43 @@ def kolmogorov_p(distance: Column, n_left: Column, n_right: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))
 
 
-def _upper_gamma(a: float, x: float) -> float:
-    """Regularised upper incomplete gamma Q(a, x)."""
-    if x <= 0:
-        return 1.0
-    if math.isinf(x):
-        return 0.0
-    front = math.exp(a * math.log(x) - x - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1.0 / a
-        n = a
-        while term > total * 1e-15:
-            n += 1
-            term *= x / n
-            total += term
-        return max(0.0, 1.0 - front * total)
-    b = x + 1 - a
-    c, d = 1e300, 1.0 / b
-    h = d
-    for i in range(1, 100_000):
-        an = -i * (i - a)
-        b += 2
-        d = 1.0 / (an * d + b)
-        c = b + an / c
-        h *= d * c
-        if abs(d * c - 1) < 1e-14:
-            break
-    return min(1.0, front * h)
+def chi_square_p(statistic: Column, dof: Column) -> Column:
+    """Chi-square survival function. Applied to one row per tested column, never to data rows.
 
+    The functions are local so that they travel to the executors by value.
+    """
 
-@F.pandas_udf("double")
-def chi_square_p(statistic: pd.Series, dof: pd.Series) -> pd.Series:
-    """Chi-square survival function. Applied to one row per tested column, never to data rows."""
-    return pd.Series(
-        [
-            None if pd.isna(s) or pd.isna(k) else (1.0 if k < 1 else _upper_gamma(k / 2.0, s / 2.0))
-            for s, k in zip(statistic, dof)
-        ],
-        dtype="float64",
-    )
+    def upper_gamma(a: float, x: float) -> float:
+        """Regularised upper incomplete gamma Q(a, x)."""
+        if x <= 0:
+            return 1.0
+        if math.isinf(x):
+            return 0.0
+        front = math.exp(a * math.log(x) - x - math.lgamma(a))
+        if x < a + 1:
+            term = total = 1.0 / a
+            n = a
+            while term > total * 1e-15:
+                n += 1
+                term *= x / n
+                total += term
+            return max(0.0, 1.0 - front * total)
+        b = x + 1 - a
+        c, d = 1e300, 1.0 / b
+        h = d
+        for i in range(1, 100_000):
+            an = -i * (i - a)
+            b += 2
+            d = 1.0 / (an * d + b)
+            c = b + an / c
+            h *= d * c
+            if abs(d * c - 1) < 1e-14:
+                break
+        return min(1.0, front * h)
+
+    @F.pandas_udf(T.DoubleType())
+    def survival(values: pd.Series, freedom: pd.Series) -> pd.Series:
+        out = [1.0 if k < 1 else upper_gamma(k / 2.0, s / 2.0) for s, k in zip(values, freedom)]
+        return pd.Series(out, dtype="float64")
+
+    return survival(statistic, dof)

@@ -57,23 +57,38 @@ def text_sides(
     return _sides(reference, current, columns, dataset, long_text).where(F.col("value").isNotNull())
 
 
+def slot(value: Column, lo: Column, hi: Column, bins: int) -> Column:
+    """Bin of a value: below the range the first, from its top on the last."""
+    inner = F.least(F.floor((value - lo) / ((hi - lo) / bins)), F.lit(bins - 1))
+    return F.when(value < lo, 0).when(value >= hi, bins - 1).otherwise(inner)
+
+
+def base_ranges(sides: DataFrame) -> DataFrame:
+    """Reference range per series; null where the reference is empty."""
+    base = F.when(~F.col("is_current"), F.col("value"))
+    return sides.groupBy(*SERIES).agg(F.min(base).alias("lo"), F.max(base).alias("hi"))
+
+
+def stability_index(base: Sequence[Column], current: Sequence[Column]) -> Column:
+    """Sum over bins of (c - b) ln(c / b) of the two sides' shares, from bin counts."""
+
+    def shares(counts: Sequence[Column]) -> list[Column]:
+        total = reduce(lambda a, b: a + b, counts)
+        return [F.greatest(F.try_divide(c, total), F.lit(PSI_FLOOR)) for c in counts]
+
+    terms = [(c - b) * F.log(c / b) for b, c in zip(shares(base), shares(current))]
+    return F.round(reduce(lambda a, b: a + b, terms), 4)
+
+
 def psi(sides: DataFrame, bins: int = PSI_BINS) -> DataFrame:
     """Population stability index per series over equal bins of the reference range.
 
-    Values below the range fall into the first bin, values from its top on into the last. Shares
-    have a floor; 0 when a side is empty or the reference range has no width.
+    0 when a side is empty or the reference range has no width.
     """
     base = ~F.col("is_current")
-    ranges = sides.groupBy(*SERIES).agg(
-        F.min(F.when(base, F.col("value"))).alias("lo"),
-        F.max(F.when(base, F.col("value"))).alias("hi"),
-    )
-    value, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
-    inner = F.least(F.floor((value - lo) / ((hi - lo) / bins)), F.lit(bins - 1))
-    slot = F.when(value < lo, 0).when(value >= hi, bins - 1).otherwise(inner)
     counts = (
-        sides.join(F.broadcast(ranges), SERIES)
-        .select(*SERIES, "is_current", "lo", "hi", slot.alias("slot"))
+        sides.join(F.broadcast(base_ranges(sides)), SERIES)
+        .select(*SERIES, "is_current", "lo", "hi", slot(F.col("value"), F.col("lo"), F.col("hi"), bins).alias("slot"))
         .groupBy(*SERIES)
         .agg(
             F.count_if(base).alias("n_base"),
@@ -83,20 +98,11 @@ def psi(sides: DataFrame, bins: int = PSI_BINS) -> DataFrame:
             *[F.count_if(~base & (F.col("slot") == i)).alias(f"c{i}") for i in range(bins)],
         )
     )
-
-    def share(name: str, total: str) -> Column:
-        return F.greatest(F.col(name) / F.col(total), F.lit(PSI_FLOOR))
-
-    index = reduce(
-        lambda a, b: a + b,
-        [
-            (share(f"c{i}", "n_current") - share(f"b{i}", "n_base"))
-            * F.log(share(f"c{i}", "n_current") / share(f"b{i}", "n_base"))
-            for i in range(bins)
-        ],
+    index = stability_index(
+        [F.col(f"b{i}") for i in range(bins)], [F.col(f"c{i}") for i in range(bins)]
     )
     comparable = (F.col("n_base") > 0) & (F.col("n_current") > 0) & F.col("has_width")
-    return counts.select(*SERIES, F.when(comparable, F.round(index, 4)).otherwise(0.0).alias("psi"))
+    return counts.select(*SERIES, F.when(comparable, index).otherwise(0.0).alias("psi"))
 
 
 def value_counts(sides: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_GROUPS = ("quality", "sensitive", "lineage", "fairness", "drift", "catalog", "governance")
+_GROUPS = ("quality", "sensitive", "lineage", "fairness", "drift", "catalog", "governance", "streams")
 
 
 def all_queries() -> dict:

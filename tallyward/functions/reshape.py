@@ -37,6 +37,24 @@ def long_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def same_typed(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, list[str]]]:
+    """Columns grouped by the type in which their values can be compared side by side."""
+
+    def common(kind: T.DataType) -> str:
+        if isinstance(kind, T.IntegralType):
+            return "bigint"
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            return kind.simpleString()
+        if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)):
+            return kind.simpleString()
+        return "string"
+
+    groups: dict[str, list[str]] = {}
+    for c in columns:
+        groups.setdefault(common(df.schema[c].dataType), []).append(c)
+    return list(groups.items())
+
+
 def as_double(column: Column) -> Column:
     return column.try_cast("double")
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.constants import RULE_CONFIDENCE, SENSITIVITY_LEVELS, SYSTEM_RULES
+from tallyward.functions.names import needs_at_sign
 from tallyward.functions.reshape import long_text, stack_rows
 
 MAX_RULES = 2_000
@@ -44,7 +45,8 @@ class ClassificationRule:
         if self.method == "keyword":
             lowered = F.lower(text)
             return reduce(lambda a, b: a | b, [lowered.contains(k.lower()) for k in self.keywords])
-        return text.rlike(f"(?i){self.pattern}")
+        found = text.rlike(f"(?i){self.pattern}")
+        return text.contains("@") & found if needs_at_sign(self.pattern) else found
 
 
 def seed_rules() -> list[ClassificationRule]:

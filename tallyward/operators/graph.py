@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from tallyward.session import checkpointed
 
 
+# Ids that a closure broadcasts at most: some 64 MB of hashed ids.
+BROADCAST_IDS = 500_000
+
+
 def _start_frame(edges: DataFrame, starts: str | Sequence[str] | DataFrame) -> DataFrame:
     if isinstance(starts, DataFrame):
         return starts.select(F.col(starts.columns[0]).alias("id")).distinct()
@@ -31,8 +35,9 @@ def closure(
 
     One round per hop: the frontier meets the edges on their start column, new ids are those not
     visited yet, so cycles end by themselves. Each round writes its frontier to a reliable
-    checkpoint, which keeps the plan short and survives lost executors. Only the frontier, made
-    distinct, is joined, so a hub's edges are read but never paired with each other.
+    checkpoint, which keeps the plan short and survives lost executors. Frontier and visited set are
+    counted; while they are small they are broadcast and the edges never move, beyond that they are
+    shuffled like any other join.
     """
     near, far = ("source_id", "target_id") if direction == "down" else ("target_id", "source_id")
     hops = (
@@ -41,25 +46,31 @@ def closure(
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     frontier = checkpointed(_start_frame(edges, starts).withColumn("depth", F.lit(0)))
+    size = visited = frontier.count()
     rounds = [frontier]
     depth = 0
     try:
-        while max_depth is None or depth < max_depth:
+        while size and (max_depth is None or depth < max_depth):
             depth += 1
-            reached = hops.join(frontier.select("id"), "id").select(F.col("next").alias("id")).distinct()
-            for seen in rounds:
-                reached = reached.join(seen.select("id"), "id", "left_anti")
-            frontier = checkpointed(reached.withColumn("depth", F.lit(depth)))
-            if frontier.isEmpty():
-                break
+            step = hops.join(_small(frontier.select("id"), size), "id")
+            reached = step.select(F.col("next").alias("id")).distinct()
+            seen = _small(_union(rounds).select("id"), visited)
+            frontier = checkpointed(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
+            size = frontier.count()
+            visited += size
             rounds.append(frontier)
-            if len(rounds) > 8:
-                rounds = [checkpointed(_union(rounds)), frontier.limit(0)]
+            if len(rounds) > 16:
+                rounds = [checkpointed(_union(rounds))]
     finally:
         hops.unpersist()
     return _union(rounds)
 
 
+def _small(ids: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a set of ids whose counted size allows it."""
+    return F.broadcast(ids) if rows <= BROADCAST_IDS else ids
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for frame in frames[1:]:

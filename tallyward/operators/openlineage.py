@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,14 +151,25 @@ def _fields(shapes: DataFrame) -> DataFrame:
     return shapes.select(F.inline(ends)).distinct()
 
 
-def ingest(parsed: DataFrame, assets: DataFrame, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(new placeholder assets, new edges) for a set of events against a catalog.
+@dataclass(frozen=True)
+class ResolvedEvents:
+    """Event shapes with the asset of every dataset and field that they name."""
 
-    Names are resolved once each, whatever the number of events. Placeholder ids are hashes of
-    their external ids, so ingesting the same events again adds nothing.
-    """
-    shapes = event_shapes(parsed)
-    index = match_index(assets)
+    shapes: DataFrame
+    datasets: DataFrame
+    columns: DataFrame
+
+    def persist(self) -> ResolvedEvents:
+        """Keep the three frames while both tables are derived from them."""
+        return ResolvedEvents(*(f.persist() for f in (self.shapes, self.datasets, self.columns)))
+
+    def unpersist(self) -> None:
+        for frame in (self.columns, self.datasets, self.shapes):
+            frame.unpersist()
+
+
+def resolve_events(shapes: DataFrame, assets: DataFrame) -> ResolvedEvents:
+    """Resolve every name of the events once, whatever the number of events."""
     fields = _fields(shapes)
     names = shapes.select(
         F.explode(
@@ -168,16 +181,13 @@ def ingest(parsed: DataFrame, assets: DataFrame, existing: DataFrame | None = No
         ).alias("ref")
     )
     field_ref = F.concat_ws(".", "dataset", "field")
-    resolved = resolve_refs(names.union(fields.select(field_ref.alias("ref"))), index)
-
+    resolved = resolve_refs(names.union(fields.select(field_ref.alias("ref"))), match_index(assets))
     datasets = _dataset_lookup(shapes, resolved, assets)
+    parents = datasets.select("dataset", F.col("id").alias("parent_id"), F.col("external_id").alias("parent_path"))
     columns = (
         fields.withColumn("ref", field_ref)
         .join(resolved, "ref", "left")
-        .join(
-            datasets.select("dataset", F.col("id").alias("parent_id"), F.col("external_id").alias("parent_path")),
-            "dataset",
-        )
+        .join(parents, "dataset")
         .withColumn("path", F.concat_ws(".", "parent_path", "field"))
         .select(
             "dataset",
@@ -189,6 +199,11 @@ def ingest(parsed: DataFrame, assets: DataFrame, existing: DataFrame | None = No
             F.col("asset_id").isNull().alias("is_new"),
         )
     )
+    return ResolvedEvents(shapes, datasets, columns)
+
+
+def new_assets(events: ResolvedEvents, assets: DataFrame) -> DataFrame:
+    """Placeholder datasets and columns, and jobs, that the catalog lacks."""
 
     def node(id_, path, name, kind, parent, alias):
         return [
@@ -198,43 +213,58 @@ def ingest(parsed: DataFrame, assets: DataFrame, existing: DataFrame | None = No
 
     nothing = F.lit(None).cast("string")
     last = F.element_at(F.split("dataset", r"\."), -1)
-    dataset_nodes = datasets.where("is_new").select(
+    dataset_nodes = events.datasets.where("is_new").select(
         *node(F.col("id"), F.col("external_id"), F.coalesce(F.nullif(last, F.lit("")), "dataset"),
               "dataset", nothing, F.col("dataset"))
     )
-    column_nodes = columns.where("is_new").select(
+    column_nodes = events.columns.where("is_new").select(
         *node(F.col("id"), F.col("path"), F.col("field"), "column", F.col("parent_id"), F.col("ref"))
     )
-    job_nodes = shapes.select("job_namespace", "job_name").distinct().select(
+    job_nodes = events.shapes.select("job_namespace", "job_name").distinct().select(
         *node(_placeholder(_job_path()), _job_path(), F.col("job_name"), "etl_pipeline", nothing, nothing)
     )
-    new_assets = (
+    return (
         dataset_nodes.unionByName(column_nodes)
         .unionByName(job_nodes)
         .dropDuplicates(["id"])
         .join(assets.select("id"), "id", "left_anti")
     )
 
+
+def new_edges(events: ResolvedEvents, existing: DataFrame | None = None) -> DataFrame:
+    """Inputs x outputs and column edges of each event shape that are not stored yet."""
     job = [_placeholder(_job_path()).alias("transform_id"), F.col("job_name").alias("logic")]
     table_pairs = (
-        shapes.select(*job, F.explode(F.transform("inputs", lambda d: d["name"])).alias("source_ref"), "outputs")
+        events.shapes.select(
+            *job, F.explode(F.transform("inputs", lambda d: d["name"])).alias("source_ref"), "outputs"
+        )
         .select("transform_id", "logic", "source_ref",
                 F.explode(F.transform("outputs", lambda d: d["name"])).alias("target_ref"))
         .distinct()
     )
-    column_pairs = shapes.select(*job, F.explode("column_edges").alias("e")).select(
+    column_pairs = events.shapes.select(*job, F.explode("column_edges").alias("e")).select(
         "transform_id",
         "logic",
         F.concat_ws(".", "e.input_dataset", "e.input_field").alias("source_ref"),
         F.concat_ws(".", "e.output_dataset", "e.output_field").alias("target_ref"),
     ).distinct()
-    edges = _edges(table_pairs, datasets.select(F.col("dataset").alias("ref"), "id"), "table").unionByName(
-        _edges(column_pairs, columns.select("ref", "id").dropDuplicates(["ref"]), "column")
-    )
+    by_name = events.datasets.select(F.col("dataset").alias("ref"), "id")
+    by_field = events.columns.select("ref", "id").dropDuplicates(["ref"])
+    edges = _edges(table_pairs, by_name, "table").unionByName(_edges(column_pairs, by_field, "column"))
     if existing is not None:
         keys = ["source_id", "target_id", "transform_id", "lineage_type"]
         edges = edges.join(existing.select(*keys), keys, "left_anti")
-    return new_assets, edges
+    return edges
+
+
+def ingest(parsed: DataFrame, assets: DataFrame, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new placeholder assets, new edges) for a set of events against a catalog.
+
+    Placeholder ids are hashes of their external ids, so ingesting the same events again adds
+    nothing.
+    """
+    events = resolve_events(event_shapes(parsed), assets)
+    return new_assets(events, assets), new_edges(events, existing)
 
 
 def _edges(pairs: DataFrame, lookup: DataFrame, lineage_type: str) -> DataFrame:

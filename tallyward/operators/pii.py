@@ -14,6 +14,7 @@ from tallyward.constants import (
     UNSCANNED_CATEGORIES,
     VALUE_SCAN_CATEGORIES,
 )
+from tallyward.functions.names import needs_at_sign
 from tallyward.functions.reshape import long_text, stack_rows
 from tallyward.operators.classify import sensitivity_rank
 
@@ -51,6 +52,8 @@ class Recognizer:
 
     def fires(self, text: Column) -> Column:
         found = text.rlike(self.pattern)
+        if needs_at_sign(self.pattern):
+            found = text.contains("@") & found
         if self.check is None:
             return found
         candidates = F.regexp_extract_all(text, F.lit(self.pattern), 0)

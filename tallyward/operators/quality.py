@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyward.constants import AMOUNT_NAME_PATTERN, EMAIL_PATTERN, RULE_DIMENSION
-from tallyward.functions.reshape import is_numeric, long_text, quoted, stack_rows
+from tallyward.functions.reshape import is_numeric, quoted, same_typed, stack_rows
 
 ROW_RULES = ("not_null", "regex", "range", "in_set")
 MAX_RULES_PER_TABLE = 5_000
@@ -116,12 +116,20 @@ def _row_struct(rule: QualityRule, failed: Column, passed: Column, error: str |
 
 
 def duplicate_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, n) for each distinct value of ``columns``; null values kept.
+    """(column, value, n) for each distinct value of ``columns``, values as text; nulls kept.
 
-    The per-value count is combined before the shuffle, so a value that fills a third of the table
-    arrives as one row per task.
+    Columns of one type are grouped together in that type, so numbers are hashed and shuffled as
+    numbers. The per-value count is combined before the shuffle: a value that fills a third of the
+    table arrives as one row per task.
     """
-    return long_text(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    parts = []
+    for kind, names in same_typed(df, columns):
+        values = df.select([quoted(c).cast(kind).alias(c) for c in names]).unpivot(
+            [], [quoted(c) for c in names], "column", "value"
+        )
+        counted = values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        parts.append(counted.withColumn("value", F.col("value").cast("string")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _unique_failures(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -243,12 +243,9 @@ def stored_edges(spark, folder) -> DataFrame:
 
 @_query("table_edges", f"WITH {_EDGES_SQL} SELECT * FROM edges WHERE transform_id <> 't3'")
 def table_edges(spark, folder):
-    edges = stored_edges(spark, folder)
-    return lineage.table_edges(
-        statements(spark, folder),
-        lineage.match_index(catalog(spark, folder)),
-        edges.where("transform_id = 't3'"),
-    )
+    rows, index = statements(spark, folder), lineage.match_index(catalog(spark, folder))
+    stored = lineage.table_edges(rows.where("transform_id = 't3'"), index)
+    return lineage.table_edges(rows, index, stored)
 
 
 def column_refs(spark, folder) -> DataFrame:

@@ -50,10 +50,7 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 def scan_scripts(spark: SparkSession, root: str) -> DataFrame:
     """(path, name, external_id, content) of all .sql and .py files below a folder, .git left out."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{sql,py}")
-        .text(root)
+        spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{sql,py}")
         .select(F.col("_metadata.file_path").alias("full_path"), F.col("value").alias("content"))
     )
     label = root.rstrip("/").rsplit("/", 1)[-1]

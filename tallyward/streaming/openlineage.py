@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyward.operators.openlineage import ingest, parse_openlineage
+from tallyward.operators.openlineage import (
+    event_shapes,
+    new_assets,
+    new_edges,
+    parse_openlineage,
+    resolve_events,
+)
 
 ASSET_COLUMNS = "id string, external_id string, name string, asset_type string, parent_id string, alias string"
 EDGE_COLUMNS = (
@@ -42,15 +48,14 @@ def stream_openlineage(
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.persist()
+        known = read_assets(spark, assets_path).where(F.col("batch") < batch_id).drop("batch")
+        existing = read_edges(spark, edges_path).where(F.col("batch") < batch_id).drop("batch")
+        resolved = resolve_events(event_shapes(parse_openlineage(batch)), known).persist()
         try:
-            known = read_assets(spark, assets_path).where(F.col("batch") < batch_id).drop("batch")
-            existing = read_edges(spark, edges_path).where(F.col("batch") < batch_id).drop("batch")
-            new_assets, new_edges = ingest(parse_openlineage(batch), known, existing)
-            new_edges.write.mode("overwrite").parquet(f"{edges_path}/batch={batch_id}")
-            new_assets.write.mode("overwrite").parquet(f"{assets_path}/batch={batch_id}")
+            new_edges(resolved, existing).write.mode("overwrite").parquet(f"{edges_path}/batch={batch_id}")
+            new_assets(resolved, known).write.mode("overwrite").parquet(f"{assets_path}/batch={batch_id}")
         finally:
-            batch.unpersist()
+            resolved.unpersist()
 
     spark = events.sparkSession
     spark.createDataFrame([], EDGE_COLUMNS).write.mode("ignore").parquet(f"{edges_path}/batch=-1")

@@ -19,33 +19,25 @@ from tallyward.plans import all_queries  # noqa: E402
 HEADLINE = (
     "quality_run",
     "quality_unique",
-    "quality_result_row",
     "profile_columns",
-    "suggest_rules",
     "classify_columns",
     "detect_pii_values",
-    "pick_entity",
     "bias_test",
     "psi",
     "ks_test",
     "drift_check",
-    "column_drift",
-    "monitor_sweep",
     "facets",
     "search_assets",
     "upsert_assets",
     "resolve_refs",
     "table_edges",
-    "merge_edges",
     "impact",
     "openlineage_edges",
     "model_cards",
     "risk_score",
-    "requirements_for_model",
     "etl_customer_revenue",
     "etl_product_performance",
     "etl_payment_summary",
-    "etl_customer_360",
     "stream_quality",
     "stream_drift",
     "global_importance",

@@ -155,9 +155,13 @@ def overwrite_sensitivity(assets: DataFrame, levels: DataFrame, key: str = "asse
 
 def classification_run(findings: DataFrame, columns: DataFrame, run_id: str) -> DataFrame:
     """Columns scanned and total findings of one scan."""
-    scanned = columns.agg(F.count(F.lit(1)).alias("columns_scanned"), F.lit(0).alias("k"))
-    total = findings.agg(F.count(F.lit(1)).alias("total_findings"), F.lit(0).alias("k"))
-    return scanned.join(total, "k").select(
+    tally = columns.select(F.lit(1).alias("column_rows"), F.lit(0).alias("finding_rows")).unionAll(
+        findings.select(F.lit(0), F.lit(1))
+    )
+    return tally.agg(
+        F.coalesce(F.sum("column_rows"), F.lit(0)).alias("columns_scanned"),
+        F.coalesce(F.sum("finding_rows"), F.lit(0)).alias("total_findings"),
+    ).select(
         F.lit(run_id).alias("run_id"),
         F.lit("classification").alias("scan_type"),
         "columns_scanned",

@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from tallyward.functions.names import bare_reference, base_name, segments, suffix, tidy
 from tallyward.operators.graph import neighbours_of
+from tallyward.session import written
 
 LONGEST_SUFFIX = 3
 
+# The joins on a reference would filter nulls in one copy of the pairs only; said up front, all copies
+# have the same plan and share one shuffle.
+_NAMED = "source_ref IS NOT NULL AND target_ref IS NOT NULL"
+
 
 def match_index(assets: DataFrame) -> DataFrame:
     """(kind, key, asset_id, is_unique): every key under which an asset can be found.
@@ -18,7 +23,7 @@ def match_index(assets: DataFrame) -> DataFrame:
     segments, and the name. Uniqueness is min(id) = max(id), which combines before the shuffle, so a
     column name shared by a third of the catalog stays one row per task.
     """
-    segs = segments(F.col("external_id"))
+    segs = F.col("segs")
     exact = [tidy(F.col("external_id"))] + ([bare_reference(F.col("alias"))] if "alias" in assets.columns else [])
     keys = F.concat(
         F.array(*[F.struct(F.lit("exact").alias("kind"), k.alias("key")) for k in exact]),
@@ -32,7 +37,8 @@ def match_index(assets: DataFrame) -> DataFrame:
         ),
     )
     return (
-        assets.select("id", F.inline(keys))
+        assets.withColumn("segs", segments(F.col("external_id")))
+        .select("id", F.inline(keys))
         .where(F.col("key").isNotNull() & (F.col("key") != ""))
         .groupBy("kind", "key")
         .agg(F.min("id").alias("asset_id"), (F.min("id") == F.max("id")).alias("is_unique"))
@@ -46,7 +52,8 @@ def resolve_refs(refs: DataFrame, index: DataFrame) -> DataFrame:
     the name (0.7 when unique, else 0.4 with the smallest id).
     """
     distinct = refs.select("ref").where(F.col("ref").isNotNull()).distinct()
-    segs = segments(F.col("ref"))
+    distinct = distinct.withColumn("segs", segments(F.col("ref")))
+    segs = F.col("segs")
 
     def candidate(preference: int, kind: str, key, score) -> F.Column:
         return F.struct(
@@ -118,6 +125,7 @@ def table_edges(statements: DataFrame, index: DataFrame, existing: DataFrame | N
     pairs = (
         statements.select("transform_id", "logic", F.explode("targets").alias("target_ref"), "sources")
         .select("transform_id", "logic", "target_ref", F.explode("sources").alias("source_ref"))
+        .where(_NAMED)
         .distinct()
     )
     return _to_edges(resolve_pairs(pairs, index), "table", existing)
@@ -130,7 +138,7 @@ def column_edges(columns: DataFrame, index: DataFrame, existing: DataFrame | Non
         "logic",
         F.concat_ws(".", "source_table", "source_column").alias("source_ref"),
         F.concat_ws(".", "target_table", "target_column").alias("target_ref"),
-    ).distinct()
+    ).where(_NAMED).distinct()
     return _to_edges(resolve_pairs(pairs, index), "column", existing)
 
 
@@ -140,11 +148,16 @@ def rebuild_lineage(
     columns: DataFrame | None = None,
     existing: DataFrame | None = None,
 ) -> DataFrame:
-    """New edges of all stored references; running it on its own result adds nothing."""
+    """New edges of all stored references; running it on its own result adds nothing.
+
+    The index serves both edge kinds, and the table edges are both result and filter of the column
+    edges, so each is written once.
+    """
     index = match_index(assets)
-    edges = table_edges(statements, index, existing)
     if columns is None:
-        return edges
+        return table_edges(statements, index, existing)
+    index = written(index, "match-index")
+    edges = written(table_edges(statements, index, existing), "table-edges")
     keys = ["source_id", "target_id", "transform_id"]
     known = edges.select(*keys) if existing is None else edges.select(*keys).union(existing.select(*keys))
     return edges.unionByName(column_edges(columns, index, known))
@@ -152,11 +165,13 @@ def rebuild_lineage(
 
 def rebuild_counts(statements: DataFrame, edges: DataFrame) -> DataFrame:
     """Pipelines with lineage and edges created."""
-    pipelines = statements.agg(
-        F.count_distinct("transform_id").alias("assets_with_lineage"), F.lit(0).alias("k")
+    tally = statements.select("transform_id", F.lit(0).alias("edge_rows")).unionAll(
+        edges.select(F.lit(None).cast("string"), F.lit(1))
+    )
+    return tally.agg(
+        F.count_distinct("transform_id").alias("assets_with_lineage"),
+        F.coalesce(F.sum("edge_rows"), F.lit(0)).alias("edges_created"),
     )
-    created = edges.agg(F.count(F.lit(1)).alias("edges_created"), F.lit(0).alias("k"))
-    return pipelines.join(created, "k").drop("k")
 
 
 def at_level(edges: DataFrame, level: str = "table") -> DataFrame:
@@ -195,13 +210,14 @@ def merge_edges(edges: DataFrame, label_limit: int = 1000) -> DataFrame:
     pair = ["source_id", "target_id"]
     transforms = edge_transforms(edges)
     counted = transforms.groupBy(*pair).agg(F.count("transform").alias("n_transforms"))
-    short = counted.where(F.col("n_transforms") <= label_limit).select(*pair)
+    labelled = F.col("n_transforms") <= label_limit
     labels = (
-        transforms.join(short, pair, "left_semi")
-        .groupBy(*pair)
+        transforms.join(counted.where(labelled), pair)
+        .groupBy(*pair, "n_transforms")
         .agg(F.array_join(F.array_sort(F.collect_list("transform")), " + ").alias("transforms"))
     )
-    return counted.join(labels, pair, "left")
+    crowded = counted.where(~labelled).withColumn("transforms", F.lit(None).cast("string"))
+    return labels.unionByName(crowded)
 
 
 def column_parent_table(nodes: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyward.functions.names import asset_id
 from tallyward.operators.lineage import match_index, resolve_refs
+from tallyward.session import written
 
 # The event fields that are read.
 EVENT_SCHEMA = """
@@ -159,17 +160,13 @@ class ResolvedEvents:
     datasets: DataFrame
     columns: DataFrame
 
-    def persist(self) -> ResolvedEvents:
-        """Keep the three frames while both tables are derived from them."""
-        return ResolvedEvents(*(f.persist() for f in (self.shapes, self.datasets, self.columns)))
-
-    def unpersist(self) -> None:
-        for frame in (self.columns, self.datasets, self.shapes):
-            frame.unpersist()
-
 
 def resolve_events(shapes: DataFrame, assets: DataFrame) -> ResolvedEvents:
-    """Resolve every name of the events once, whatever the number of events."""
+    """Resolve every name of the events once, whatever the number of events.
+
+    Assets and edges both need all three frames, so they are written once and read from there.
+    """
+    shapes = written(shapes, "event-shapes")
     fields = _fields(shapes)
     names = shapes.select(
         F.explode(
@@ -182,7 +179,8 @@ def resolve_events(shapes: DataFrame, assets: DataFrame) -> ResolvedEvents:
     )
     field_ref = F.concat_ws(".", "dataset", "field")
     resolved = resolve_refs(names.union(fields.select(field_ref.alias("ref"))), match_index(assets))
-    datasets = _dataset_lookup(shapes, resolved, assets)
+    resolved = written(resolved, "event-names")
+    datasets = written(_dataset_lookup(shapes, resolved, assets), "event-datasets")
     parents = datasets.select("dataset", F.col("id").alias("parent_id"), F.col("external_id").alias("parent_path"))
     columns = (
         fields.withColumn("ref", field_ref)
@@ -199,7 +197,7 @@ def resolve_events(shapes: DataFrame, assets: DataFrame) -> ResolvedEvents:
             F.col("asset_id").isNull().alias("is_new"),
         )
     )
-    return ResolvedEvents(shapes, datasets, columns)
+    return ResolvedEvents(shapes, datasets, written(columns, "event-columns"))
 
 
 def new_assets(events: ResolvedEvents, assets: DataFrame) -> DataFrame:
@@ -289,9 +287,9 @@ def _edges(pairs: DataFrame, lookup: DataFrame, lineage_type: str) -> DataFrame:
 
 def openlineage_placeholders(parsed: DataFrame, assets: DataFrame) -> DataFrame:
     """Assets that the events mention and the catalog lacks."""
-    return ingest(parsed, assets)[0]
+    return new_assets(resolve_events(event_shapes(parsed), assets), assets)
 
 
 def openlineage_edges(parsed: DataFrame, assets: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Edges of the events that are not stored yet; confidence 1.0."""
-    return ingest(parsed, assets, existing)[1]
+    return new_edges(resolve_events(event_shapes(parsed), assets), existing)

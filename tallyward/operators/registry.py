@@ -113,30 +113,31 @@ def model_cards(models: DataFrame, versions: DataFrame, assessments: DataFrame)
         "risk_factors",
         "required_actions",
     )
-    return (
-        models.withColumnRenamed("id", "model_id")
-        .join(latest, "model_id", "left")
-        .join(versions.select("model_id", "version_number", "stage", "metrics"), "model_id", "left")
-        .select(
-            "model_id",
-            "name",
-            "description",
-            "owner",
-            "use_case",
-            "business_domain",
-            "framework",
-            "model_type",
-            "risk_tier",
-            "deployment_status",
-            "version_number",
-            "stage",
-            "metrics",
-            "assessed_tier",
-            "assessed_category",
-            "required_actions",
-            F.col("use_case").alias("intended_use"),
-            F.coalesce("risk_factors", F.array().cast("array<string>")).alias("ethical_considerations"),
-        )
+    carded = models.withColumnRenamed("id", "model_id").join(latest, "model_id", "left")
+    shown = versions.select("model_id", "version_number", "stage", "metrics")
+    # An inner join lets a model with very many versions be split over tasks, which an outer join
+    # would not; models without versions are added from a second, short branch.
+    versioned = shown.join(carded, "model_id")
+    lone = carded.join(versions.select("model_id").distinct(), "model_id", "left_anti")
+    return versioned.unionByName(lone, allowMissingColumns=True).select(
+        "model_id",
+        "name",
+        "description",
+        "owner",
+        "use_case",
+        "business_domain",
+        "framework",
+        "model_type",
+        "risk_tier",
+        "deployment_status",
+        "version_number",
+        "stage",
+        "metrics",
+        "assessed_tier",
+        "assessed_category",
+        "required_actions",
+        F.col("use_case").alias("intended_use"),
+        F.coalesce("risk_factors", F.array().cast("array<string>")).alias("ethical_considerations"),
     )
 
 

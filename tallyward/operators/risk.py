@@ -17,6 +17,7 @@ from tallyward.constants import (
 )
 
 ANY_TIER = "*"
+BROADCAST_REQUIREMENTS = 10_000
 
 
 def _yes(responses: Column, key: str) -> Column:
@@ -81,13 +82,15 @@ def framework_requirements(spark: SparkSession) -> DataFrame:
 def requirements_for_model(models: DataFrame, required: DataFrame | None = None) -> DataFrame:
     """Requirements that apply to each model's tier, as an equi-join on tier or "any tier".
 
-    The seeded requirements are a fixed short list and are broadcast; a given frame is not.
+    The seeded requirements are a fixed short list. A given frame is counted up to the limit first:
+    a short one is broadcast, since the few tiers would make very uneven shuffle keys; a longer one
+    is shuffled, with the heavy tiers left to the skew handling of adaptive execution.
     """
     rows = requirements(models.sparkSession) if required is None else required
     keyed = rows.withColumn(
         "tier", F.explode(F.coalesce("risk_tiers", F.array(F.lit(ANY_TIER))))
     ).drop("risk_tiers", "description")
-    if required is None:
+    if required is None or required.limit(BROADCAST_REQUIREMENTS + 1).count() <= BROADCAST_REQUIREMENTS:
         keyed = F.broadcast(keyed)
     tiers = F.explode(F.array_distinct(F.array(F.coalesce("risk_tier", F.lit(ANY_TIER)), F.lit(ANY_TIER))))
     return (

@@ -50,12 +50,9 @@ def stream_openlineage(
         spark = batch.sparkSession
         known = read_assets(spark, assets_path).where(F.col("batch") < batch_id).drop("batch")
         existing = read_edges(spark, edges_path).where(F.col("batch") < batch_id).drop("batch")
-        resolved = resolve_events(event_shapes(parse_openlineage(batch)), known).persist()
-        try:
-            new_edges(resolved, existing).write.mode("overwrite").parquet(f"{edges_path}/batch={batch_id}")
-            new_assets(resolved, known).write.mode("overwrite").parquet(f"{assets_path}/batch={batch_id}")
-        finally:
-            resolved.unpersist()
+        resolved = resolve_events(event_shapes(parse_openlineage(batch)), known)
+        new_edges(resolved, existing).write.mode("overwrite").parquet(f"{edges_path}/batch={batch_id}")
+        new_assets(resolved, known).write.mode("overwrite").parquet(f"{assets_path}/batch={batch_id}")
 
     spark = events.sparkSession
     spark.createDataFrame([], EDGE_COLUMNS).write.mode("ignore").parquet(f"{edges_path}/batch=-1")

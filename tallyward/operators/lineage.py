@@ -11,8 +11,6 @@ from tallyward.session import written
 
 LONGEST_SUFFIX = 3
 
-# The joins on a reference would filter nulls in one copy of the pairs only; said up front, all copies
-# have the same plan and share one shuffle.
 _NAMED = "source_ref IS NOT NULL AND target_ref IS NOT NULL"
 
 
@@ -86,11 +84,14 @@ def resolve_refs(refs: DataFrame, index: DataFrame) -> DataFrame:
 def resolve_pairs(pairs: DataFrame, index: DataFrame) -> DataFrame:
     """Resolve ``source_ref`` and ``target_ref`` of distinct pairs; drops unresolved and self pairs.
 
-    Each distinct reference is resolved once. Joining the answers back may meet one very common
-    reference; those joins are plain equi-joins, which adaptive execution splits when skewed.
+    Pairs and answers are written once. Each distinct reference is resolved once, and the answers'
+    size is then known: while it is below the broadcast threshold of the session the pairs stay
+    where they are, beyond it both are shuffled and a very common reference is left to the skew
+    handling of adaptive execution.
     """
+    pairs = written(pairs, "lineage-pairs")
     refs = pairs.select(F.explode(F.array("source_ref", "target_ref")).alias("ref"))
-    resolved = resolve_refs(refs, index)
+    resolved = written(resolve_refs(refs, index), "resolved-refs")
     for side in ("source", "target"):
         answer = resolved.select(
             F.col("ref").alias(f"{side}_ref"),

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyward.functions.names import segments
 from tallyward.operators import graph, lineage, openlineage, scripts
 from tallyward.plans.registry import Registry
 from tallyward.plans.tables import table
+from tallyward.session import scratch_path
+from tallyward.sources import files
 
 REGISTRY = Registry()
 _query = REGISTRY.query
@@ -479,3 +482,28 @@ _SUPPLIER_ID = "'s' || CAST(right(supplier, 9) AS BIGINT)"
 def openlineage_edges(spark, folder):
     parsed = openlineage.parse_openlineage(raw_events(spark, folder))
     return openlineage.openlineage_edges(parsed, _event_catalog(spark, folder))
+
+
+@_query(
+    "read_lineage_events",
+    f"""WITH {_EVENT_SQL} SELECT job_name, count(*)::BIGINT AS events, count(DISTINCT mart)::BIGINT AS outputs FROM ev GROUP BY 1""",
+)
+def read_lineage_events(spark, folder):
+    """Orders written as JSON events and read back."""
+    path = scratch_path(spark, "lineage-events")
+    raw_events(spark, folder).write.text(path)
+    events = files.read_lineage_events(spark, path)
+    return events.groupBy(F.col("job.name").alias("job_name")).agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct(F.col("outputs")[0]["name"]).alias("outputs")
+    )
+
+
+@_query(
+    "segments",
+    f"""SELECT p_partkey, array_to_string(list_filter(string_split_regex(lower({_PATH}), '[./]'), lambda x: x <> ''), '|')
+        AS segments FROM part""",
+)
+def path_segments(spark, folder):
+    """Segments of decorated references: scheme, quotes, white space and empty parts fall away."""
+    refs = table(spark, folder, "part").selectExpr("p_partkey", f"concat('  `S3://', replace({_PATH}, '.', '//'), '` ') AS ref")
+    return refs.select("p_partkey", F.array_join(segments(F.col("ref")), "|").alias("segments"))

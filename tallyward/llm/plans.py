@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyward.llm import top_inner
+from tallyward.llm import packing, top_inner
 from tallyward.plans.registry import Registry
 from tallyward.plans.tables import table
 
@@ -30,3 +30,8 @@ REGISTRY = Registry()
 def op7_top_inner(spark, folder):
     vectors = top_inner.integer_vectors(table(spark, folder, "embeddings"))
     return top_inner.top_inner(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+@REGISTRY.query("op10_packing")
+def op10_packing(spark, folder):
+    return packing.pack(packing.pieces(table(spark, folder, "documents"), packing.VOCABULARY))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyward.llm import packing, top_inner
+from tallyward.llm import packing, pii_spans, top_inner
 from tallyward.plans.registry import Registry
 from tallyward.plans.tables import table
 
@@ -35,3 +35,9 @@ def op7_top_inner(spark, folder):
 @REGISTRY.query("op10_packing")
 def op10_packing(spark, folder):
     return packing.pack(packing.pieces(table(spark, folder, "documents"), packing.VOCABULARY))
+
+
+@REGISTRY.query("op5_personal_data")
+def op5_personal_data(spark, folder):
+    documents = table(spark, folder, "documents")
+    return pii_spans.digest(pii_spans.find_spans(documents, pii_spans.fit(documents)))

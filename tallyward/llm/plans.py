@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyward.llm import packing, pii_spans, top_inner
+from tallyward.llm import near_copies, packing, pii_spans, top_inner
 from tallyward.plans.registry import Registry
 from tallyward.plans.tables import table
 
@@ -41,3 +41,8 @@ def op10_packing(spark, folder):
 def op5_personal_data(spark, folder):
     documents = table(spark, folder, "documents")
     return pii_spans.digest(pii_spans.find_spans(documents, pii_spans.fit(documents)))
+
+
+@REGISTRY.query("op8_near_copies")
+def op8_near_copies(spark, folder):
+    return near_copies.near_copies(table(spark, folder, "documents"), size=4, percent=80)

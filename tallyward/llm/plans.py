@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyward.llm import near_copies, packing, pii_spans, top_inner
+from tallyward.llm import near_copies, packing, pii_spans, quality, top_inner
 from tallyward.plans.registry import Registry
 from tallyward.plans.tables import table
 
@@ -46,3 +46,13 @@ def op5_personal_data(spark, folder):
 @REGISTRY.query("op8_near_copies")
 def op8_near_copies(spark, folder):
     return near_copies.near_copies(table(spark, folder, "documents"), size=4, percent=80)
+
+
+@REGISTRY.query("op9_quality")
+def op9_quality(spark, folder):
+    documents = table(spark, folder, "documents")
+    model = quality.fit(documents, quality.training_labels(table(spark, folder, "labels")))
+    scored = quality.score(documents, model)
+    return scored.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )

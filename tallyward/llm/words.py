@@ -66,14 +66,18 @@ def blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, bounds): hashes of all words in order; text i has those from bounds[i] to bounds[i + 1]."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, spans: bool = False) -> tuple[np.ndarray, ...]:
+    """(hashes, bounds): hashes of all words in order; text i has those from bounds[i] to bounds[i + 1].
+
+    With ``spans`` also where each word begins and ends, counted from the first text's first byte.
+    """
     start, stop = int(offsets[0]), int(offsets[-1])
     raw = data[start:stop]
     n = len(raw)
     edges = offsets - start
     if not n:
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64)
+        none = np.zeros(0, dtype=np.int64)
+        return (np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64), *([none, none] if spans else []))
     inside = ~_SPACE[raw]
     begins = np.empty(n, dtype=bool)
     begins[0] = inside[0]
@@ -90,7 +94,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_LOWER[raw] * up, out=sums[1:])
     hashes = mixed((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64) * _SEEDS[0])
-    return hashes, np.searchsorted(first, edges)
+    return (hashes, np.searchsorted(first, edges), *([first, last] if spans else []))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:

@@ -30,6 +30,7 @@ VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 1024
 END_ID = 2
 ROWS_PER_SALT = 100_000
+LEAST_SALTS = 64
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -188,7 +189,7 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     stored = written(cut_pieces, "pieces")
     counts = {r.length: r.n for r in stored.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     total = sum(counts.values())
-    salts = max(1, total // ROWS_PER_SALT)
+    salts = max(LEAST_SALTS, total // ROWS_PER_SALT)
     salted = stored.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     before = (
         salted.groupBy("length", "salt").agg(F.count("*").alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyward.llm import line_spread, near_copies, packing, pii_spans, quality, top_inner
+from tallyward.llm import byte_bpe, line_spread, near_copies, packing, pii_spans, quality, top_inner
 from tallyward.plans.registry import Registry
 from tallyward.plans.tables import table
 
@@ -87,3 +87,9 @@ def op9_quality(spark, folder):
 def op2_line_spread(spark, folder):
     cleaned = line_spread.without_spread_lines(table(spark, folder, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_removed", "text")
+
+
+@REGISTRY.query("op3_byte_bpe")
+def op3_byte_bpe(spark, folder):
+    codes = byte_bpe.encode(table(spark, folder, "documents"), keep_ids=False)
+    return codes.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyward.llm import byte_bpe, line_spread, near_copies, packing, pii_spans, quality, top_inner
+from tallyward.llm import byte_bpe, line_spread, near_copies, packing, pii_spans, quality, site_templates, top_inner
 from tallyward.plans.registry import Registry
 from tallyward.plans.tables import table
 
@@ -93,3 +93,8 @@ def op2_line_spread(spark, folder):
 def op3_byte_bpe(spark, folder):
     codes = byte_bpe.encode(table(spark, folder, "documents"), keep_ids=False)
     return codes.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@REGISTRY.query("op4_main_text")
+def op4_main_text(spark, folder):
+    return site_templates.main_text(table(spark, folder, "pages"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyward.llm import byte_bpe, line_spread, near_copies, packing, pii_spans, quality, site_templates, top_inner
+from tallyward.llm import byte_bpe, fingerprints, line_spread, near_copies, packing, pii_spans, quality, site_templates, top_inner
 from tallyward.plans.registry import Registry
 from tallyward.plans.tables import table
 
@@ -98,3 +98,9 @@ def op3_byte_bpe(spark, folder):
 @REGISTRY.query("op4_main_text")
 def op4_main_text(spark, folder):
     return site_templates.main_text(table(spark, folder, "pages"))
+
+
+@REGISTRY.query("op1_fingerprints")
+def op1_fingerprints(spark, folder):
+    told = fingerprints.edited_fingerprints(table(spark, folder, "documents"))
+    return told.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")

@@ -15,9 +15,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tallyward.session import written
+from tallyward.llm.ordering import with_next
 
 SHINGLE = 5
 BIN_BITS = 8
@@ -157,23 +156,12 @@ def _keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def successors(rows: DataFrame) -> DataFrame:
     """(k1, k2, n1, n2, n_chars): each row's key, the key of the next in order of doc_id, and its length.
 
-    Only keys and lengths are ordered: ranges of ids are numbered and written, rows find their next inside their
-    range, and the last of a range takes the first of the following one. The last of all takes the first of all.
-    Rows repeated in full stand in one place, rows of equal id follow each other by their hashes, null ids come first.
+    Rows repeated in full stand in one place, rows of equal id follow each other by their hashes, null ids come
+    first, and the last row of all is followed by the first.
     """
     keys = rows.select("doc_id", "k1", "k2", F.length("text").alias("n_chars")).distinct()
-    ranged = keys.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("k1"))
-    stored = written(ranged.withColumn("range", F.spark_partition_id()), "order")
-    order = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "k1", "k2")
-    inside = stored.select("range", "k1", "k2", "n_chars", F.lead(F.struct("k1", "k2")).over(order).alias("next"))
-    first = F.min(F.struct("doc_id", "k1", "k2"))
-    starts = stored.groupBy("range").agg(first.alias("start"))  # one row per range
-    around = Window.orderBy("range")
-    turn = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    following = starts.select("range", F.coalesce(F.lead("start").over(around), F.first("start").over(turn)).alias("follows"))
-    joined = inside.join(F.broadcast(following), "range")
-    n1, n2 = (F.coalesce(F.col(f"next.{k}"), F.col(f"follows.{k}")) for k in ("k1", "k2"))
-    return joined.select("k1", "k2", n1.alias("n1"), n2.alias("n2"), "n_chars")
+    linked = with_next(keys, ["doc_id", "k1", "k2"], around=True)
+    return linked.select("k1", "k2", F.col("next.k1").alias("n1"), F.col("next.k2").alias("n2"), "n_chars")
 
 
 def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyward.llm import byte_bpe, fingerprints, line_spread, near_copies, packing, pii_spans, quality, site_templates, top_inner
+from tallyward.llm import (
+    byte_bpe,
+    fingerprints,
+    line_spread,
+    near_copies,
+    packing,
+    pii_spans,
+    quality,
+    quotes,
+    site_templates,
+    top_inner,
+)
 from tallyward.plans.registry import Registry
 from tallyward.plans.tables import table
 
@@ -104,3 +115,8 @@ def op4_main_text(spark, folder):
 def op1_fingerprints(spark, folder):
     told = fingerprints.edited_fingerprints(table(spark, folder, "documents"))
     return told.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@REGISTRY.query("op6_reply_order")
+def op6_reply_order(spark, folder):
+    return quotes.reply_order(table(spark, folder, "conversations"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from tallyward.llm import (
@@ -120,3 +121,8 @@ def op1_fingerprints(spark, folder):
 @REGISTRY.query("op6_reply_order")
 def op6_reply_order(spark, folder):
     return quotes.reply_order(table(spark, folder, "conversations"))
+
+
+@REGISTRY.query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, folder):
+    return corpus_pipeline.run(spark, folder)

@@ -152,9 +152,9 @@ def possible(piece: str) -> tuple[str, ...]:
     kinds = []
     if len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups):
         kinds.append("ip")
-    if 13 <= len(digits) <= 19 and luhn(digits):
+    if 13 <= len(digits) <= 19 and luhn(digits) and (len(groups) == 1 or all(3 <= len(g) <= 7 for g in groups)):
         kinds.append("card")
-    if 7 <= len(digits) <= 15 and len(digits) < len(piece):
+    if 7 <= len(digits) <= 15 and len(digits) < len(piece) and piece.count("(") == piece.count(")"):
         kinds.append("phone")
     return tuple(kinds)
 
@@ -302,6 +302,9 @@ def variants(rng: random.Random, rounds: int) -> list[Example]:
         year, month = rng.randint(1900, 2099), rng.randint(1, 12)
         for piece in (f"{year}-{month:02d}-{rng.randint(1, 28):02d}", f"{rng.randint(1, 28):02d}.{month:02d}.{year}", f"{year}-{year + 1}"):
             out.append(_example(left, piece, right, None))
+        day, hour = rng.randint(1, 28), rng.randint(0, 23)
+        for piece in (f"{year}-{month:02d}-{day:02d} {hour:02d}", f"{year}/{month:02d}/{day:02d} {hour:02d}", f"{day:02d}.{month:02d}.{year} {hour:02d}"):
+            out.append(_example(left, piece, f":{rng.randint(0, 59):02d}", None))
         isbn = f"978-{rng.randint(0, 9)}-{_digits(rng, 2)}-{_digits(rng, 6)}-{rng.randint(0, 9)}"
         out += [_example(left, isbn, right, None), _example(left, isbn[4:], right, None)]
         ragged = rng.choice(" -.").join(_digits(rng, rng.randint(1, 6)) for _ in range(rng.randint(2, 5)))

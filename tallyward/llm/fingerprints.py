@@ -85,15 +85,19 @@ def densified(minima: Column) -> Column:
             def lowest(p: Column) -> Column:
                 ranked = F.transform(
                     occupied,
-                    lambda q: F.shiftleft(F.shiftright(F.xxhash64(p, q), LOW_BITS), LOW_BITS).bitwiseOR(F.get(m, q).bitwiseAND(F.lit(low))),
+                    lambda q: F.shiftleft(F.shiftright(F.xxhash64(p, q), LOW_BITS), LOW_BITS).bitwiseOR(own(F.get(m, q), p).bitwiseAND(F.lit(low))),
                 )
                 return F.array_min(ranked)
 
+            def own(value: Column, p: Column) -> Column:
+                """A borrowed value as this bin stores it, so that two bins with one lender do not err together."""
+                return F.xxhash64(value, p)
+
             def borrowed(p: Column) -> Column:
                 tries = []
                 for probe in probes:
                     q = F.get(probe, p)
-                    tries.append(F.when(F.get(m, q) != F.get(markers, q), F.get(m, q)))
+                    tries.append(F.when(F.get(m, q) != F.get(markers, q), own(F.get(m, q), p)))
                 return F.coalesce(*tries, lowest(p))
 
             return F.transform(m, lambda x, p: F.when(x != F.get(markers, p), x).otherwise(borrowed(p)).bitwiseAND(F.lit(low)))

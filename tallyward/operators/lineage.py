@@ -202,23 +202,15 @@ def edge_transforms(edges: DataFrame) -> DataFrame:
     return edges.select("source_id", "target_id", base_name(F.col("logic")).alias("transform")).distinct()
 
 
-def merge_edges(edges: DataFrame, label_limit: int = 1000) -> DataFrame:
-    """Parallel edges collapsed, with the sorted script names joined by `` + ``.
+def merge_edges(edges: DataFrame) -> DataFrame:
+    """(source_id, target_id, transform, n_transforms): one row per script behind a pair, with the exact count.
 
-    ``n_transforms`` is exact. A pair with more than ``label_limit`` scripts gets no label, since the
-    label would gather them in one row; ``edge_transforms`` lists all of them row by row.
+    The shape is the same for any number of scripts: no list of names is gathered in one row.
     """
     pair = ["source_id", "target_id"]
     transforms = edge_transforms(edges)
     counted = transforms.groupBy(*pair).agg(F.count("transform").alias("n_transforms"))
-    labelled = F.col("n_transforms") <= label_limit
-    labels = (
-        transforms.join(counted.where(labelled), pair)
-        .groupBy(*pair, "n_transforms")
-        .agg(F.array_join(F.array_sort(F.collect_list("transform")), " + ").alias("transforms"))
-    )
-    crowded = counted.where(~labelled).withColumn("transforms", F.lit(None).cast("string"))
-    return labels.unionByName(crowded)
+    return transforms.join(counted, pair).select(*pair, "transform", "n_transforms")
 
 
 def column_parent_table(nodes: DataFrame) -> DataFrame:

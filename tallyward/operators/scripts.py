@@ -10,16 +10,24 @@ from tallyward.functions.names import base_name
 # The script patterns.
 _PART = r'(?:"[^"]+"|`[^`]+`|\[[^\]]+\]|\w+)'
 _NAME = rf"{_PART}(?:\s*\.\s*{_PART})*"
-_ALIASED = rf"{_NAME}(?:\s+(?:as\s+)?\w+)?"
+# Words that can follow a table name without being its alias.
+_NO_ALIAS = (
+    "anti|as|asof|cross|except|fetch|full|group|having|inner|intersect|join|lateral|left|limit|natural|offset|on|order|outer|pivot"
+    "|qualify|returning|right|select|semi|set|tablesample|then|union|unpivot|using|values|when|where|window|with"
+)
+_ALIASED = rf"{_NAME}(?:\s+(?:as\s+)?(?!(?:{_NO_ALIAS})\b)\w+)?"
+_LED = r"(?is)^\s*(?:with\b.*?\)\s*)?"  # a statement may define its common tables first
 _TARGET = (
-    r"(?is)^\s*(?:insert\s+(?:into\s+|overwrite\s+)?(?:table\s+)?"
+    rf"{_LED}(?:insert\s+(?:into\s+|overwrite\s+)?(?:table\s+)?"
     r"|create\s+(?:or\s+replace\s+)?(?:\w+\s+){0,2}?(?:table|view)\s+(?:if\s+not\s+exists\s+)?"
     rf"|merge\s+into\s+)({_NAME})"
 )
 _SOURCES = rf"(?is)\b(?:from|join|using)\s+({_ALIASED}(?:\s*,\s*{_ALIASED})*)"
-_STATEMENT = r"(?is)^\s*(insert|create|merge)\b"
-_LINE_COMMENT = r"--[^\n]*"
-_BLOCK_COMMENT = r"(?s)/\*.*?\*/"
+_STATEMENT = rf"{_LED}(insert|create|merge)\b"
+_COMMON_TABLE = r"(?is)(?:\bwith\s+(?:recursive\s+)?|\)\s*,\s*)(\w+)\s*(?:\([^()]*\)\s*)?as\s*(?:(?:not\s+)?materialized\s*)?\("
+# Quoted names stay (group 1); literals and comments go, whichever begins first.
+_SILENT = r"""(?s)("[^"]*"|`[^`]*`|\[[^\]']*\])|'[^']*'|--[^\n]*|/\*.*?\*/"""
+_NO_SOURCE = r"(?is)\b(?:is\s+(?:not\s+)?distinct\s+from\b|(?:extract|trim|substring|overlay)\s*\([^()]*?\bfrom\b)"
 _DBT_REF = r"""ref\(\s*['"](\w+)['"]\s*\)"""
 _DBT_SOURCE = r"""source\(\s*['"](\w+)['"]\s*,\s*['"](\w+)['"]\s*\)"""
 _TRIPLE = '(?s)"""(.*?)"""' + "|'''(.*?)'''"
@@ -82,13 +90,19 @@ def _plain_name(name: Column) -> Column:
 
 
 def statements_in_sql(texts: DataFrame) -> DataFrame:
-    """(path, statement, sources, targets) for each INSERT, CREATE or MERGE in (path, sql) rows."""
-    clean = F.regexp_replace(F.regexp_replace("sql", _BLOCK_COMMENT, " "), _LINE_COMMENT, " ")
+    """(path, statement, sources, targets) for each INSERT, CREATE or MERGE in (path, sql) rows.
+
+    Text in literals and comments never counts, nor does the FROM of EXTRACT, TRIM, SUBSTRING, OVERLAY and IS
+    DISTINCT FROM; tables that a statement defines itself are not sources.
+    """
+    clean = F.regexp_replace(F.regexp_replace("sql", _SILENT, "$1 "), _NO_SOURCE, " (")
     statements = texts.select("path", F.explode(F.split(clean, ";")).alias("text")).where(
         F.col("text").rlike(_STATEMENT)
     )
     listed = F.flatten(F.transform(_all(F.col("text"), _SOURCES), lambda item: F.split(item, ",")))
     named = F.transform(listed, lambda item: _plain_name(F.regexp_extract(item, rf"(?s)^\s*({_NAME})", 1)))
+    common = F.transform(_all(F.col("text"), _COMMON_TABLE), lambda name: F.lower(name))
+    named = F.filter(named, lambda name: ~F.array_contains(common, F.lower(name)))
     target = _plain_name(F.regexp_extract("text", _TARGET, 1))
     return statements.select(
         "path",

@@ -22,7 +22,8 @@ def _sql_scripts(spark, folder) -> DataFrame:
     return table(spark, folder, "part").selectExpr(
         "concat('etl/p', p_partkey, '.sql') AS path",
         """concat('-- FROM skipped.t\\nINSERT INTO mart.size_', p_size, ' SELECT * FROM raw.', p_type,
-           ' a JOIN raw."', p_brand, '" AS b ON a.k = b.k;\\nSELECT 1 FROM nowhere;') AS content""",
+           if(p_partkey % 2 = 0, ' a', ''), ' JOIN raw."', p_brand, '"', if(p_partkey % 3 = 0, ' AS b', ''),
+           ' ON a.k = ''; insert into x.y select 1 from z.z -- '';\\nSELECT 1 FROM nowhere;') AS content""",
     )
 
 
@@ -305,10 +306,8 @@ def lineage_graph(spark, folder):
 
 @_query(
     "merge_edges",
-    f"""WITH {_PAIRS_SQL} SELECT source_ref AS source_id, target_ref AS target_id,
-      count(DISTINCT string_split(logic, '/')[-1])::BIGINT AS n_transforms,
-      array_to_string(list_sort(list_distinct(list(string_split(logic, '/')[-1]))), ' + ') AS transforms
-    FROM st GROUP BY 1, 2""",
+    f"""WITH {_PAIRS_SQL}, d AS (SELECT DISTINCT source_ref AS source_id, target_ref AS target_id, string_split(logic, '/')[-1] AS transform FROM st)
+    SELECT *, count(*) OVER (PARTITION BY source_id, target_id)::BIGINT AS n_transforms FROM d""",
 )
 def merge_edges(spark, folder):
     raw = statements(spark, folder).select(
@@ -317,6 +316,64 @@ def merge_edges(spark, folder):
     return lineage.merge_edges(raw)
 
 
+@_query(
+    "lineage_graph_edges",
+    f"WITH {_EDGES_SQL} SELECT source_id AS source, target_id AS target, logic AS transformation, confidence FROM edges",
+)
+def lineage_graph_edges(spark, folder):
+    return lineage.graph_edges(stored_edges(spark, folder))
+
+
+@_query(
+    "rebuild_counts",
+    f"""WITH {_EDGES_SQL} SELECT (SELECT count(DISTINCT transform_id) FROM st)::BIGINT AS assets_with_lineage,
+      (SELECT count(*) FROM edges)::BIGINT AS edges_created""",
+)
+def rebuild_counts(spark, folder):
+    return lineage.rebuild_counts(statements(spark, folder), stored_edges(spark, folder))
+
+
+# One script per part, from text to edges: every fourth takes another form of naming its sources.
+_FIRST, _SECOND = ("concat('Supplier#', lpad(cast({} AS string), 9, '0'))".format(x) for x in ("p_partkey % 9 + 1", "p_partkey % 7 + 1"))
+_FROM_BOTH = """concat(' FROM supply."', first, '" JOIN supply."', second, '" ON a = b')"""
+
+
+def _edge_scripts(spark, folder) -> DataFrame:
+    named = table(spark, folder, "part").selectExpr(
+        "p_partkey % 4 AS form", "concat('etl/e', p_partkey % 50, '.sql') AS path", f"{_FIRST} AS first", f"{_SECOND} AS second",
+        """concat('"', p_brand, '"."', p_type, '"."', replace(p_name, ' ', '_'), '"') AS target""",
+    )
+    return named.selectExpr(
+        "path",
+        f"""CASE form
+          WHEN 0 THEN concat('INSERT INTO ', target, ' SELECT ''; from a.b'' AS d, ''--'' AS e', {_FROM_BOTH}, ';')
+          WHEN 1 THEN concat('WITH x AS (SELECT * FROM supply."', first, '"), y AS (SELECT 1) INSERT INTO ', target,
+            ' SELECT * FROM x JOIN supply."', second, '" USING (id) JOIN y')
+          WHEN 2 THEN concat('CREATE TABLE ', target, ' AS SELECT extract(year FROM o.ts), a IS DISTINCT FROM b', {_FROM_BOTH})
+          ELSE concat('/* from z.z */ MERGE INTO ', target, ' t USING supply."', first, '" s ON t.a = s.a; INSERT INTO ', target,
+            ' SELECT * FROM supply."', second, '" LEFT JOIN supply."', first, '" ON true') END AS content""",
+    )
+
+
+_EDGE_SCRIPTS_SQL = f"""st AS (
+   SELECT 'etl/e' || (p_partkey % 50) || '.sql' AS transform_id, 'etl/e' || (p_partkey % 50) || '.sql' AS logic, unnest([
+     'Supplier#' || lpad((p_partkey % 9 + 1)::VARCHAR, 9, '0'), 'Supplier#' || lpad((p_partkey % 7 + 1)::VARCHAR, 9, '0')]) AS source_ref,
+     {_PATH} AS target_ref FROM part),
+ refs AS (SELECT source_ref AS ref FROM st UNION SELECT target_ref FROM st)"""
+
+
+@_query(
+    "script_edges",
+    f"""WITH {_TABLES_SQL}, {_INDEX_SQL}, {_EDGE_SCRIPTS_SQL}, {_RESOLVE_SQL}, {_edge_sql('edges', 'st', 'table')}
+    SELECT source_id, target_id, transform_id, lineage_type, logic FROM edges""",
+)
+def script_edges(spark, folder):
+    found = scripts.script_statements(_edge_scripts(spark, folder))
+    rows = found.select(F.col("path").alias("transform_id"), F.col("path").alias("logic"), "sources", "targets")
+    edges = lineage.table_edges(rows, lineage.match_index(catalog(spark, folder)))
+    return edges.select("source_id", "target_id", "transform_id", "lineage_type", "logic")
+
+
 @_query(
     "column_parent_table",
     f"""WITH {_COLUMNS_SQL} SELECT id, CASE WHEN ends_with(external_id, '.' || name)

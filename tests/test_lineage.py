@@ -4,15 +4,17 @@ from pyspark.sql import functions as F
 from tallyward.operators import graph, lineage, openlineage, scripts
 
 ETL = """
--- ETL: shop.* -> analytics.*
-INSERT INTO analytics.customer_revenue (customer_id, country)
-SELECT c.id, c.country FROM shop.orders o JOIN shop.customers c ON c.id = o.customer_id; -- FROM nowhere.x
-INSERT INTO analytics.daily_sales SELECT order_date FROM shop.orders WHERE status IN ('paid', 'shipped');
+-- builds mart tables; INSERT INTO dead.a SELECT * FROM dead.b;
+INSERT INTO mart.revenue SELECT * FROM crm.orders JOIN crm.buyers ON buyers.id = orders.buyer; -- FROM nowhere.x
+INSERT INTO mart.daily SELECT ';' AS d, '-- from a.b' AS e, day FROM crm.orders WHERE status IN ('it''s', 'x');
 /* INSERT INTO dead.t SELECT * FROM dead.s; */
-CREATE OR REPLACE TABLE analytics.both AS SELECT * FROM shop.orders o, "shop"."customers" AS c;
-MERGE INTO analytics.customer_360 t USING shop.customers s ON t.id = s.id WHEN MATCHED THEN UPDATE SET a = 1;
-DELETE FROM shop.orders;
-SELECT * FROM shop.payments
+CREATE OR REPLACE TABLE mart.both AS SELECT * FROM crm.orders o, "crm"."buyers" AS c;
+MERGE INTO mart.wide t USING crm.buyers s ON t.id = s.id WHEN MATCHED THEN UPDATE SET a = 1;
+WITH recent AS (SELECT * FROM crm.visits), Named (a) AS (SELECT 1) INSERT INTO mart.seen SELECT * FROM recent r JOIN named USING (id) LEFT JOIN crm.pages;
+CREATE VIEW mart.years AS SELECT extract(year FROM o.ts), trim(both 'x' FROM o.n), o.a IS NOT DISTINCT FROM o.b FROM crm.orders o;
+INSERT INTO mart.chain SELECT * FROM a.x JOIN b.y USING (id) JOIN c.z NATURAL JOIN d.w CROSS JOIN e.v;
+DELETE FROM crm.orders;
+SELECT * FROM crm.payments
 """
 
 
@@ -27,10 +29,9 @@ def test_sql_statements(spark):
     df = spark.createDataFrame([("etl/a.sql", ETL)], "path string, content string")
     got = {(r["targets"][0], tuple(sorted(r["sources"]))) for r in rows(scripts.sql_table_refs(df))}
     assert got == {
-        ("analytics.customer_revenue", ("shop.customers", "shop.orders")),
-        ("analytics.daily_sales", ("shop.orders",)),
-        ("analytics.both", ("shop.customers", "shop.orders")),
-        ("analytics.customer_360", ("shop.customers",)),
+        ("mart.revenue", ("crm.buyers", "crm.orders")), ("mart.daily", ("crm.orders",)), ("mart.both", ("crm.buyers", "crm.orders")),
+        ("mart.wide", ("crm.buyers",)), ("mart.seen", ("crm.pages", "crm.visits")), ("mart.years", ("crm.orders",)),
+        ("mart.chain", ("a.x", "b.y", "c.z", "d.w", "e.v")),
     }
 
 
@@ -83,13 +84,12 @@ def test_name_only_match(spark):
 
 
 def test_rebuild_is_idempotent(spark):
-    names = ["shop.orders", "shop.customers", "analytics.customer_revenue", "analytics.daily_sales",
-             "analytics.both", "analytics.customer_360", "shop.orders.total", "analytics.daily_sales.revenue"]
+    names = ["crm.orders", "crm.buyers", "mart.revenue", "mart.daily", "mart.both", "mart.wide", "crm.orders.total", "mart.daily.amount"]
     assets = _catalog(spark, [(f"id{i}", f"db.{n}") for i, n in enumerate(names)])
     df = spark.createDataFrame([("etl/a.sql", ETL)], "path string, content string")
     statements = scripts.script_statements(df).select(
         F.lit("job").alias("transform_id"), F.col("path").alias("logic"), "sources", "targets")
-    columns = spark.createDataFrame([("job", "etl/a.sql", "shop.orders", "total", "analytics.daily_sales", "revenue")],
+    columns = spark.createDataFrame([("job", "etl/a.sql", "crm.orders", "total", "mart.daily", "amount")],
         "transform_id string, logic string, source_table string, source_column string, target_table string, target_column string")
     edges = lineage.rebuild_lineage(assets, statements, columns).cache()
     assert edges.count() == 7 and edges.where("lineage_type = 'column'").count() == 1
@@ -103,10 +103,11 @@ def test_rebuild_is_idempotent(spark):
 def test_merge_and_parents(spark):
     edges = spark.createDataFrame([("a", "b", "x/one.sql"), ("a", "b", "y/two.py"), ("a", "b", "z/one.sql"), ("b", "c", None)],
                                   "source_id string, target_id string, logic string")
-    got = {(r["source_id"], r["target_id"]): (r["n_transforms"], r["transforms"]) for r in rows(lineage.merge_edges(edges))}
-    assert got == {("a", "b"): (2, "one.sql + two.py"), ("b", "c"): (0, "")}
-    capped = {r["source_id"]: r["transforms"] for r in rows(lineage.merge_edges(edges, label_limit=1))}
-    assert capped["a"] is None and lineage.edge_transforms(edges).count() == 3
+    got = {(r["source_id"], r["target_id"], r["transform"], r["n_transforms"]) for r in rows(lineage.merge_edges(edges))}
+    assert got == {("a", "b", "one.sql", 2), ("a", "b", "two.py", 2), ("b", "c", None, 0)}
+    many = spark.range(3000).selectExpr("'a' AS source_id", "'b' AS target_id", "concat('x/s', id, '.sql') AS logic")
+    merged = lineage.merge_edges(many)
+    assert merged.columns == lineage.merge_edges(edges).columns and merged.where("n_transforms = 3000").count() == 3000
     nodes = spark.createDataFrame([("db.t.c", "c"), ("odd", "c"), (None, "solo")], "external_id string, name string")
     assert [(r["table_key"], r["table_name"]) for r in rows(lineage.column_parent_table(nodes))] == [
         ("db.t", "t"), ("odd", "odd"), ("solo", "solo")]

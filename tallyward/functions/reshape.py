@@ -62,3 +62,10 @@ def as_double(column: Column) -> Column:
 def stack_rows(structs: Sequence[Column]) -> Column:
     """Generator that turns a row into one output row per struct."""
     return F.inline(F.array(*structs))
+
+
+def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key, the same one on every run: the greatest by the text of its other columns."""
+    rest = F.struct(*[quoted(c) for c in df.columns if c not in keys])
+    kept = df.groupBy(*keys).agg(F.max_by(rest, F.to_json(rest)).alias("kept"))
+    return kept.select(*keys, "kept.*").select(*df.columns)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyward.constants import DEFAULT_SENSITIVITY
 from tallyward.functions.names import asset_id
+from tallyward.functions.reshape import one_per_key
 
 DISCOVERED = (
     "external_id string, name string, asset_type string, parent_external_id string, "
@@ -106,22 +107,24 @@ def upsert_assets(catalog: DataFrame, discovered: DataFrame, org_id: str, source
     """The catalog after a crawl: discovered rows update name, type, parent and metadata, or are added.
 
     Business fields (sensitivity, score, domain, first seen) survive; rows that were not discovered
-    stay as they are. Running it twice changes nothing.
+    stay as they are. Running it twice changes nothing. Only rows of the crawled source are merged; the
+    rest of the catalog passes by without a shuffle.
     """
+    own = F.col("org_id").eqNullSafe(F.lit(org_id)) & F.col("source_id").eqNullSafe(F.lit(source_id))
     new = (
-        discovered.dropDuplicates(["external_id"])
+        one_per_key(discovered, ["external_id"])
         .withColumn("org_id", F.lit(org_id))
         .withColumn("source_id", F.lit(source_id))
         .withColumn("found", F.lit(True))
     )
-    old, fresh = catalog.alias("o"), new.alias("n")
+    old, fresh = catalog.where(own).alias("o"), new.alias("n")
     joined = old.join(fresh, ASSET_KEY, "full_outer")
     found = F.coalesce(F.col("n.found"), F.lit(False))
 
     def newest(column):
         return F.when(found, F.col(f"n.{column}")).otherwise(F.col(f"o.{column}")).alias(column)
 
-    return joined.select(
+    merged = joined.select(
         F.coalesce(F.col("o.id"), asset_id(F.col("org_id"), F.col("source_id"), F.col("external_id"))).alias("id"),
         *ASSET_KEY,
         newest("name"),
@@ -133,6 +136,7 @@ def upsert_assets(catalog: DataFrame, discovered: DataFrame, org_id: str, source
         F.col("o.domain").alias("domain"),
         F.coalesce(F.col("o.first_seen_at"), F.lit(seen_at).cast("timestamp_ntz")).alias("first_seen_at"),
     )
+    return merged.unionByName(catalog.where(~own).select(*merged.columns))
 
 
 def resolve_parents(assets: DataFrame) -> DataFrame:
@@ -179,6 +183,10 @@ def drop_source_cascade(
                 ids.select(F.col("id").alias(column)), column, "left_anti"
             ).select(tables[name].columns)
 
+    for parent, column in (("quality_check_runs", "run_id"), ("quality_rules", "rule_id")):
+        if parent in tables and "quality_check_results" in tables and column in tables["quality_check_results"].columns:
+            doomed = doomed_assets.select(F.col("id").alias("asset_id"))
+            without("quality_check_results", column, tables[parent].join(doomed, "asset_id", "left_semi").select("id"))
     for name, columns in _CHILDREN_OF_ASSETS.items():
         for column in columns:
             if name in tables and column in tables[name].columns:

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,32 @@ from tallyward.functions.reshape import long_text, stack_rows
 MAX_RULES = 2_000
 
 
+def spark_pattern(pattern: str) -> str:
+    """A pattern as Spark's engine writes it: named groups of the (?P<name>...) kind become plain numbered ones."""
+    for name in re.findall(r"\(\?P<(\w+)>", pattern):
+        pattern = pattern.replace(f"(?P={name})", f"(?:\\{_group_number(pattern, name)})")
+    return re.sub(r"\(\?P<\w+>", "(", pattern)
+
+
+def _group_number(pattern: str, name: str) -> int:
+    """Which capturing group a name stands for."""
+    before = pattern[: pattern.index(f"(?P<{name}>")]
+    plain = re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]", "", before)
+    return 1 + len(re.findall(r"\((?!\?)|\(\?P<", plain))
+
+
+def compiles(pattern: str) -> bool:
+    """Whether the engine that evaluates ``rlike`` accepts a pattern."""
+    context = SparkContext._active_spark_context
+    if context is None:
+        raise RuntimeError("patterns are checked by a running Spark session")
+    try:
+        context._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, IllegalArgumentException):
+        return False
+    return True
+
+
 @dataclass(frozen=True)
 class ClassificationRule:
     name: str
@@ -35,17 +64,13 @@ class ClassificationRule:
             return bool(self.keywords)
         if self.method != "regex" or not self.pattern:
             return False
-        try:
-            re.compile(self.pattern)
-        except re.error:
-            return False
-        return True
+        return compiles(spark_pattern(self.pattern))
 
     def matches(self, text: Column) -> Column:
         if self.method == "keyword":
             lowered = F.lower(text)
             return reduce(lambda a, b: a | b, [lowered.contains(k.lower()) for k in self.keywords])
-        found = text.rlike(f"(?i){self.pattern}")
+        found = text.rlike(f"(?i){spark_pattern(self.pattern)}")
         return text.contains("@") & found if needs_at_sign(self.pattern) else found
 
 
@@ -184,7 +209,7 @@ def latest_findings(findings: DataFrame, assets: DataFrame, limit: int = 500) ->
     newest = findings.join(assets.select(F.col("id").alias("asset_id")), "asset_id", "left_semi")
     newest = newest.orderBy(F.desc("detected_at"), "id").limit(limit)
     named = assets.select(F.col("id").alias("asset_id"), F.col("name").alias("column"))
-    return named.join(F.broadcast(newest), "asset_id")
+    return named.join(F.broadcast(newest), "asset_id").orderBy(F.desc("detected_at"), "id")
 
 
 def scan_history(runs: DataFrame, org_id: str, limit: int = 100) -> DataFrame:

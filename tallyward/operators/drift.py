@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -415,11 +415,13 @@ def monitor_sweep(
         name = f"{config.reference}\u0001{config.current}"
         pairs[name] = (name, reference, current)
         rows.append((config.config_id, config.model_version_id, name))
-    if not pairs:
-        raise ValueError("no active configuration can be checked")
-    spark = next(iter(pairs.values()))[1].sparkSession
+    spark = next(iter(pairs.values()))[1].sparkSession if pairs else SparkSession.active()
     known = spark.createDataFrame(rows, "config_id string, model_version_id string, dataset string")
-    verdicts = dataset_drift(drift_of_pairs(pairs.values(), **options))
+    if pairs:
+        tests = drift_of_pairs(pairs.values(), **options)
+    else:  # nothing can be checked: no alerts, and a summary that says so
+        tests = spark.createDataFrame([], "dataset string, column string, drift_detected boolean")
+    verdicts = dataset_drift(tests)
     checked = known.join(F.broadcast(verdicts), "dataset")
     alerts = checked.where("dataset_drift").select(
         "model_version_id",

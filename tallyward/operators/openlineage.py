@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.functions.names import asset_id
+from tallyward.functions.reshape import one_per_key
 from tallyward.operators.lineage import match_index, resolve_refs
 from tallyward.session import written
 
@@ -224,7 +225,7 @@ def new_assets(events: ResolvedEvents, assets: DataFrame) -> DataFrame:
     return (
         dataset_nodes.unionByName(column_nodes)
         .unionByName(job_nodes)
-        .dropDuplicates(["id"])
+        .transform(one_per_key, ["id"])
         .join(assets.select("id"), "id", "left_anti")
     )
 
@@ -247,7 +248,7 @@ def new_edges(events: ResolvedEvents, existing: DataFrame | None = None) -> Data
         F.concat_ws(".", "e.output_dataset", "e.output_field").alias("target_ref"),
     ).distinct()
     by_name = events.datasets.select(F.col("dataset").alias("ref"), "id")
-    by_field = events.columns.select("ref", "id").dropDuplicates(["ref"])
+    by_field = events.columns.groupBy("ref").agg(F.min("id").alias("id"))
     edges = _edges(table_pairs, by_name, "table").unionByName(_edges(column_pairs, by_field, "column"))
     if existing is not None:
         keys = ["source_id", "target_id", "transform_id", "lineage_type"]

@@ -63,7 +63,11 @@ class Recognizer:
 # Default recognizers (entity, pattern, confidence, checksum).
 DEFAULT_RECOGNIZERS = (
     Recognizer("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 1.0),
-    Recognizer("PHONE_NUMBER", r"\b\d[\d -]{7,13}\d\b", 0.4),
+    Recognizer(  # a country code, or groups of three, three and four digits: a plain number is no phone
+        "PHONE_NUMBER",
+        r"(?:^|[^\w.])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})\b",
+        0.4,
+    ),
     Recognizer("US_SSN", r"\b\d{3}[- ]\d{2}[- ]\d{4}\b", 0.5),
     Recognizer(
         "IP_ADDRESS",

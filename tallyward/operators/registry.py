@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.functions.names import asset_id
+from tallyward.functions.reshape import one_per_key
 
 DEFAULT_STAGE = "development"
 
@@ -24,7 +25,8 @@ def sync_models(
     the registered one; framework and model type fall back to tags; running it twice adds nothing.
     """
     own = assets.where(F.col("source_id") == source_id)
-    model_assets = own.where(F.col("asset_type") == "ml_model").dropDuplicates(["external_id"])
+    model_assets = own.where(F.col("asset_type") == "ml_model")
+    model_assets = one_per_key(model_assets, ["external_id"])
     crawled = model_assets.select(
         F.lit(org_id).alias("org_id"),
         "external_id",
@@ -65,8 +67,8 @@ def sync_models(
             F.when(F.size("params") > 0, F.col("params")).alias("new_params"),
             _meta("metadata", "stage").alias("new_stage"),
         )
-        .dropDuplicates(["model_id", "version_number"])
     )
+    crawled_versions = one_per_key(crawled_versions, ["model_id", "version_number"])
     all_versions = versions.join(crawled_versions, ["model_id", "version_number"], "full_outer").select(
         F.coalesce("id", F.sha2(F.concat_ws("\u0001", "model_id", "version_number"), 256)).alias("id"),
         "model_id",

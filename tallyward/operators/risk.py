@@ -20,6 +20,8 @@ ANY_TIER = "*"
 BROADCAST_REQUIREMENTS = 10_000
 
 
+LARGEST_AUDIT_PAGE = 2000
+
 def _yes(responses: Column, key: str) -> Column:
     return F.coalesce(responses.getItem(key), F.lit(False))
 
@@ -117,12 +119,14 @@ def compliance_summary(mappings: DataFrame) -> DataFrame:
 def audit_search(
     audit: DataFrame, action: str | None = None, resource_type: str | None = None, limit: int = 200
 ) -> DataFrame:
-    """Newest matching audit rows, at most 2000."""
+    """Newest matching audit rows, at most LARGEST_AUDIT_PAGE; a larger page is refused."""
+    if limit > LARGEST_AUDIT_PAGE:
+        raise ValueError(f"a page holds at most {LARGEST_AUDIT_PAGE} audit rows")
     if action:
         audit = audit.where(F.col("action") == action)
     if resource_type:
         audit = audit.where(F.col("resource_type") == resource_type)
-    return audit.orderBy(F.desc("occurred_at"), "id").limit(min(limit, 2000))
+    return audit.orderBy(F.desc("occurred_at"), "id").limit(limit)
 
 
 def audit_by_family(audit: DataFrame) -> DataFrame:

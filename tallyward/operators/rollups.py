@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tallyward.constants import PII_SENSITIVITIES, QUALITY_BANDS, RECENT_ASSET_TYPES
 
 
+LARGEST_PAGE = 500
+
 def asset_filter(
     assets: DataFrame,
     q: str | None = None,
@@ -33,13 +35,15 @@ def asset_filter(
 def search_assets(
     assets: DataFrame, sort: str = "recent", limit: int = 50, offset: int = 0, **conditions
 ) -> DataFrame:
-    """One page of matching assets; ties are broken by id."""
+    """One page of at most LARGEST_PAGE matching assets; ties are broken by id and a larger page is refused."""
+    if limit > LARGEST_PAGE:
+        raise ValueError(f"a page holds at most {LARGEST_PAGE} assets")
     order = {
         "name": F.asc("name"),
         "quality": F.desc_nulls_last("quality_score"),
     }.get(sort, F.desc("first_seen_at"))
     page = asset_filter(assets, **conditions).orderBy(order, "id")
-    return (page.offset(offset) if offset else page).limit(min(limit, 500))
+    return (page.offset(offset) if offset else page).limit(limit)
 
 
 def search_total(assets: DataFrame, **conditions) -> DataFrame:

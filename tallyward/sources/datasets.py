@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tallyward.functions.reshape import long_numeric, quoted
 
 
+LARGEST_PREVIEW = 100
+
 def table_path(external_id: str, asset_type: str) -> str:
     """A column asset stands for its parent table."""
     if asset_type != "column":
@@ -34,9 +36,11 @@ def numeric_series(df: DataFrame, column: str) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, limit: int = 20, order_by: Sequence[str] = ()) -> DataFrame:
-    """A preview of at most 100 rows, every value as text."""
+    """A preview of at most LARGEST_PREVIEW rows, every value as text; a larger one is refused."""
+    if limit > LARGEST_PREVIEW:
+        raise ValueError(f"a preview holds at most {LARGEST_PREVIEW} rows")
     picked = df.orderBy(*order_by) if order_by else df
-    return picked.limit(min(limit, 100)).select([quoted(c).cast("string").alias(c) for c in df.columns])
+    return picked.limit(limit).select([quoted(c).cast("string").alias(c) for c in df.columns])
 
 
 def write_results(df: DataFrame, path: str, run_date: str, fmt: str = "parquet") -> None:

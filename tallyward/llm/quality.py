@@ -65,6 +65,7 @@ def indicators(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
         raw = data[int(part[0]) : int(part[-1])]
         again = np.zeros(n, dtype=np.uint64)
         again[1:] = words[1:] == words[:-1]
+        again[bounds[:-1][bounds[:-1] < n]] = 0  # a text's first word repeats nothing
         shapes = mixed((_shapes(raw, first, last) | again << np.uint64(32)) * _ODD[0] + np.uint64(1))
         grams = np.empty((5, n), dtype=np.uint64)
         grams[0] = words * _ODD[1]

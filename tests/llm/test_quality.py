@@ -1,0 +1,77 @@
+import zlib
+
+import numpy as np
+import pytest
+from llm_help import document, frame, odd_rows, prose, rng, rows  # noqa: F401
+from pyspark.sql import functions as F
+
+from tallyward.llm import quality
+
+
+def sample(rng, n):
+    docs, labels = [], []
+    for i in range(n):
+        good = i % 4 != 0
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(5, 80))]
+        if not good:
+            words = [w.upper() + "!!" for w in words] if i % 8 else [w + rng.choice(["###", "***"]) for w in words]
+        docs.append(document(i, " ".join(words)))
+        labels.append((i, int(good)))
+    return docs, labels
+
+
+def test_held_out_accuracy(spark, frame, rng):
+    docs, labels = sample(rng, 600)
+    marked = quality.training_labels(spark.createDataFrame(labels, "doc_id long, quality int"))
+    outside = {i for i, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert {r["doc_id"] for r in rows(marked)} == outside
+    scored = rows(quality.score(frame(docs), quality.fit(frame(docs), marked)))
+    right = [(r["score"] >= 0.5) == bool(dict(labels)[r["doc_id"]]) for r in scored if r["doc_id"] not in outside]
+    assert len(right) > 150 and sum(right) / len(right) > 0.98
+    again = rows(quality.score(frame(docs, 5), quality.fit(frame(docs, 5), marked)))
+    assert {r["doc_id"]: r["score"] for r in again} == {r["doc_id"]: r["score"] for r in scored}
+
+
+def test_dual_coordinate_descent_reaches_the_optimum():
+    """The multipliers' solution meets the primal value within a small gap."""
+    gen = np.random.default_rng(2)
+    places = [np.sort(gen.choice(40, 6, replace=False)) for _ in range(80)]
+    values = [np.full(6, 6**-0.5) for _ in places]
+    signs = np.where([p[0] < 4 for p in places], 1.0, -1.0)
+    cost = np.full(80, 1.0)
+    w, bias = quality.dual_coordinate_descent(places, values, signs, cost, 400)
+
+    def value(w, bias):
+        slack = [max(0.0, 1 - y * (w[p] @ x + bias)) for p, x, y in zip(places, values, signs, strict=True)]
+        return (w @ w + bias * bias) / 2 + sum(slack)
+
+    best = value(w, bias)
+    for _ in range(300):
+        step = np.zeros_like(w)
+        step[:40] = gen.normal(scale=0.02, size=40)
+        assert value(w + step, bias + gen.normal(scale=0.02)) >= best - 1e-3
+
+
+def test_indicators_are_distinct_and_in_range(rng):
+    import pyarrow as pa
+
+    from tallyward.llm.words import bytes_of
+
+    texts = ["", "a", "a a a a", prose(rng, 5000), "x" * 3_000_000, None, "b c"]
+    found = list(quality.indicators(*bytes_of(pa.array(texts))))
+    assert [len(f) for f in found][:2] == [0, 2] and len(found) == len(texts) and len(found[5]) == 0
+    for f in found:
+        assert len(set(f.tolist())) == len(f) and (not len(f) or (f.min() >= 0 and f.max() < 1 << quality.BITS))
+    alone = [next(quality.indicators(*bytes_of(pa.array([t])))) for t in texts]
+    assert all(a.tolist() == b.tolist() for a, b in zip(alone, found, strict=True))
+
+
+@pytest.mark.parametrize(("labels", "low", "high"), [([], 0.5, 0.5), ([(5, 1), (6, 1), (8, 1)], 0.6, 1.0), ([(5, 0), (5, 1), (None, 1), (6, None), (7, 3)], 0.5, 0.5)])
+def test_odd_rows(spark, frame, odd_rows, labels, low, high):
+    source = frame(odd_rows).withColumn("label", F.lit("x")).withColumn("score", F.lit(1))
+    marked = quality.training_labels(spark.createDataFrame(labels, "doc_id long, quality int"))
+    model = quality.fit(source, marked)
+    got = rows(quality.score(source, model))
+    assert len(got) == len(odd_rows) and all(low <= r["score"] <= high for r in got)
+    assert quality.accepted(source, model).count() == len(odd_rows) and quality.accepted(source, model).columns == source.columns
+    assert quality.score(frame([]), quality.fit(frame([]), marked)).count() == 0

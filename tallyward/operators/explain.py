@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -20,8 +21,6 @@ from tallyward.functions.reshape import numeric_columns, quoted
 TREES = 80
 SEED = 42
 
-EXACT_FEATURES = 6
-
 
 @dataclass(frozen=True)
 class Surrogate:
@@ -29,6 +28,7 @@ class Surrogate:
     features: tuple[str, ...]
     rows: DataFrame
     classes: int
+    means: tuple[float, ...] | None = None  # the row to compare with; the mean of ``rows`` if not given
 
     def score(self, df: DataFrame) -> DataFrame:
         """Adds the class probabilities as an array."""
@@ -61,91 +61,86 @@ def fit_surrogate(df: DataFrame, label: str, max_depth: int = 5) -> Surrogate:
     return Surrogate(model, tuple(features), rows.select(features), model.numClasses)
 
 
-def _coalitions(n: int, permutations: int) -> list[tuple[list[bool], list[float]]]:
-    """(members, coefficient per feature): a feature's Shapley value is the weighted sum of scores.
+def _leaves(model: RandomForestClassificationModel) -> list[tuple[dict[int, tuple[float, float]], list[float]]]:
+    """(bounds per feature, class shares) of every leaf: values in (low, high] of each feature on its path reach it.
 
-    Up to EXACT_FEATURES features all coalitions are used, beyond that the prefixes of random
-    orders and of their reversals.
+    The forest has a fixed number of trees of limited depth, so its leaves are few whatever the data.
     """
-    weights: dict[tuple[bool, ...], list[float]] = {}
-
-    def add(members: tuple[bool, ...], feature: int, weight: float) -> None:
-        weights.setdefault(members, [0.0] * n)[feature] += weight
-
-    if n <= EXACT_FEATURES:
-        for code in range(1 << n):
-            members = tuple(bool(code >> i & 1) for i in range(n))
-            size = sum(members)
-            for i in range(n):
-                if members[i]:
-                    add(members, i, math.factorial(size - 1) * math.factorial(n - size) / math.factorial(n))
-                else:
-                    add(members, i, -math.factorial(size) * math.factorial(n - size - 1) / math.factorial(n))
-    else:
-        rng = random.Random(SEED)
-        orders = []
-        for _ in range(permutations):
-            order = list(range(n))
-            rng.shuffle(order)
-            orders += [order, order[::-1]]
-        for order in orders:
-            inside = [False] * n
-            for feature in order:
-                add(tuple(inside), feature, -1.0 / len(orders))
-                inside[feature] = True
-                add(tuple(inside), feature, 1.0 / len(orders))
-    return [(list(m), w) for m, w in weights.items()]
-
-
-def shapley_values(surrogate: Surrogate, permutations: int = 16) -> DataFrame:
-    """Attributions per distinct feature row, with the row's multiplicity in ``n``.
-
-    Equal rows are scored once. Each row meets every coalition (features outside it take the mean
-    row) and the weighted scores are summed per row; a row's coalitions are produced by the same
-    task, so the partial sums collapse them before the shuffle.
+    found = []
+    for tree in model.trees:
+        stack = [(tree._call_java("rootNode"), {})]
+        while stack:
+            node, bounds = stack.pop()
+            if node.subtreeDepth() == 0:
+                counts = list(node.impurityStats().stats())
+                whole = sum(counts) or 1.0
+                found.append((bounds, [c / whole for c in counts]))
+                continue
+            split = node.split()
+            feature, at = split.featureIndex(), split.threshold()
+            low, high = bounds.get(feature, (-math.inf, math.inf))
+            stack.append((node.leftChild(), bounds | {feature: (low, min(high, at))}))
+            stack.append((node.rightChild(), bounds | {feature: (max(low, at), high)}))
+    return found
+
+
+def shapley_values(surrogate: Surrogate) -> DataFrame:
+    """Exact attributions of every row against the mean row: a0, a1, ... per feature, averaged over classes.
+
+    A leaf counts for a coalition when the row meets its bounds on the coalition's features and the mean row on the
+    others. With A the features whose bounds only the row meets and B those only the mean row meets, its share in
+    a feature of A is (|A| - 1)! |B|! / (|A| + |B|)! and in one of B the negative of |A|! (|B| - 1)! / (|A| + |B|)!;
+    a feature that neither meets makes it nothing. So no coalition is scored, and rows stay where they are.
     """
-    names = surrogate.features
-    means = surrogate.rows.agg(*[F.avg(quoted(c)).alias(f"m{i}") for i, c in enumerate(names)]).first()
-    distinct = surrogate.rows.groupBy(*[quoted(c) for c in names]).agg(F.count(F.lit(1)).alias("n"))
-    keyed = distinct.select("n", *[quoted(c).alias(f"x{i}") for i, c in enumerate(names)])
-    plan = F.array(
-        *[
-            F.struct(
-                F.array(*[F.lit(m) for m in members]).alias("members"),
-                F.array(*[F.lit(w) for w in weights]).alias("weights"),
-            )
-            for members, weights in _coalitions(len(names), permutations)
-        ]
-    )
-    mixed = keyed.select("*", F.inline(plan)).select(
-        "*",
-        *[
-            F.when(F.col("members")[i], F.col(f"x{i}")).otherwise(F.lit(means[f"m{i}"])).alias(c)
-            for i, c in enumerate(names)
-        ],
-    )
-    classes = surrogate.explained_classes()
-    sums = surrogate.score(mixed).groupBy("n", *[f"x{i}" for i in range(len(names))]).agg(
-        *[
-            F.sum(F.col("weights")[i] * F.col("p")[k]).alias(f"a{i}_{k}")
-            for i in range(len(names))
-            for k in classes
-        ]
-    )
-    return sums.select(
-        "n",
-        *[
-            (sum((F.abs(f"a{i}_{k}") for k in classes), F.lit(0.0)) / len(classes)).alias(f"a{i}")
-            for i in range(len(names))
-        ],
-    )
-
-
-def global_importance(surrogate: Surrogate, permutations: int = 16) -> DataFrame:
+    names, classes = surrogate.features, surrogate.explained_classes()
+    means = surrogate.means or tuple(surrogate.rows.agg(*[F.avg(quoted(c)) for c in names]).first())
+    leaves = _leaves(surrogate.model)
+    depth = max((len(b) for b, _ in leaves), default=0) or 1
+    feature = np.zeros((len(leaves), depth), dtype=np.int64)
+    low, high = np.full((len(leaves), depth), -np.inf), np.full((len(leaves), depth), np.inf)
+    for n, (bounds, _) in enumerate(leaves):
+        for k, (i, (a, b)) in enumerate(sorted(bounds.items())):
+            feature[n, k], low[n, k], high[n, k] = i, a, b
+    shares = np.array([[p[c] for c in classes] for _, p in leaves]) / surrogate.model.getNumTrees
+    usual = np.array([0.0 if m is None else m for m in means])[feature]
+    by_mean = (usual > low) & (usual <= high)
+    factorial = [math.factorial(n) for n in range(2 * depth + 1)]
+    gain = np.zeros((depth + 1, depth + 1))
+    loss = np.zeros((depth + 1, depth + 1))
+    for a in range(depth + 1):
+        for b in range(depth + 1):
+            if a:
+                gain[a, b] = factorial[a - 1] * factorial[b] / factorial[a + b]
+            if b:
+                loss[a, b] = factorial[a] * factorial[b - 1] / factorial[a + b]
+    places = [np.eye(len(names))[feature[:, k]] for k in range(depth)]  # leaves x features
+
+    def attribute(batches):
+        for batch in batches:
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))])
+            total = np.zeros(x.shape)
+            for at in range(0, len(x), 128):
+                part = x[at : at + 128][:, feature]  # rows x leaves x depth
+                by_row = (part > low) & (part <= high)
+                only_row, only_mean = by_row & ~by_mean, by_mean & ~by_row
+                alive = (by_row | by_mean).all(axis=2)
+                a, b = only_row.sum(axis=2), only_mean.sum(axis=2)
+                up, down = gain[a, b] * alive, loss[a, b] * alive
+                for c in range(len(classes)):
+                    value = np.zeros((len(part), len(names)))
+                    for k in range(depth):
+                        value += ((up * only_row[:, :, k] - down * only_mean[:, :, k]) * shares[:, c]) @ places[k]
+                    total[at : at + 128] += np.abs(value) / len(classes)
+            yield pa.RecordBatch.from_arrays([pa.array(total[:, i]) for i in range(len(names))], names=[f"a{i}" for i in range(len(names))])
+
+    return surrogate.rows.select(*[quoted(c) for c in names]).mapInArrow(attribute, ", ".join(f"a{i} double" for i in range(len(names))))
+
+
+def global_importance(surrogate: Surrogate) -> DataFrame:
     """(feature, importance): mean absolute attribution over all rows, scaled to sum 1."""
     names = surrogate.features
-    values = shapley_values(surrogate, permutations)
-    total = values.agg(*[F.sum(F.col(f"a{i}") * F.col("n")).alias(f"a{i}") for i in range(len(names))])
+    values = shapley_values(surrogate)
+    total = values.agg(*[F.sum(f"a{i}").alias(f"a{i}") for i in range(len(names))])
     whole = sum((F.col(f"a{i}") for i in range(len(names))), F.lit(0.0))
     scale = F.when(whole > 0, whole).otherwise(F.lit(1.0))
     rows = [

@@ -81,7 +81,7 @@ def stream_openlineage(spark, folder):
     ol.seed_catalog(lineage_plans.catalog(spark, folder), assets)
     stream = stream_lineage_events(spark, inbox, files_per_batch=1)
     ol.stream_openlineage(stream, assets, edges, state).awaitTermination()
-    return ol.read_edges(spark, edges).drop("batch")
+    return ol.read_edges(spark, edges).drop("run", "batch")
 
 
 def _labelled(spark, folder) -> DataFrame:
@@ -110,6 +110,22 @@ def global_importance(spark, folder):
     return explain.global_importance(explain.fit_surrogate(_labelled(spark, folder), "label"))
 
 
+@_query(
+    "importance_checks",
+    """SELECT 4::BIGINT AS features, true AS sums_to_one, true AS not_negative,
+      (SELECT count(*) FROM documents JOIN labels USING (doc_id))::BIGINT AS attributed""",
+)
+def importance_checks(spark, folder):
+    """What must hold of any importance: one share per feature, none negative, summing to one, over every row."""
+    surrogate = explain.fit_surrogate(_labelled(spark, folder), "label")
+    attributed = explain.shapley_values(surrogate).agg(F.lit(1).alias("one"), F.count(F.lit(1)).alias("attributed"))
+    shares = explain.global_importance(surrogate).agg(
+        F.count(F.lit(1)).alias("features"), (F.abs(F.sum("importance") - 1) < 0.01).alias("sums_to_one"),
+        (F.min("importance") >= 0).alias("not_negative"), F.lit(1).alias("one"),
+    )
+    return shares.join(attributed, "one").drop("one")  # one row each
+
+
 @_query("local_explanation")
 def local_explanation(spark, folder):
     return explain.local_explanation(explain.fit_surrogate(_labelled(spark, folder), "label"), 3)

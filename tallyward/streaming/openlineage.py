@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from threading import Event
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,44 +23,52 @@ EDGE_COLUMNS = (
 
 
 def seed_catalog(assets: DataFrame, path: str) -> None:
-    """Write the starting catalog as the batch before the first."""
+    """Write the starting catalog as a run of its own, before every stream."""
     columns = [c.split()[0] for c in ASSET_COLUMNS.split(", ")]
     for column in columns:
         if column not in assets.columns:
             assets = assets.withColumn(column, F.lit(None).cast("string"))
-    assets.select(columns).write.mode("overwrite").parquet(f"{path}/batch=-1")
+    assets.select(columns).write.mode("overwrite").parquet(f"{path}/run=seed/batch=-1")
 
 
 def read_assets(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"{ASSET_COLUMNS}, batch bigint").parquet(path)
+    return spark.read.schema(f"{ASSET_COLUMNS}, run string, batch bigint").parquet(path)
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"{EDGE_COLUMNS}, batch bigint").parquet(path)
+    return spark.read.schema(f"{EDGE_COLUMNS}, run string, batch bigint").parquet(path)
 
 
 def stream_openlineage(
     events: DataFrame, assets_path: str, edges_path: str, checkpoint: str, **trigger
 ) -> StreamingQuery:
-    """Resolve each micro-batch against the assets of earlier batches and store what is new.
+    """Resolve each micro-batch against the assets of earlier batches and runs, and store what is new.
 
-    A batch owns one partition of each table and overwrites it, and only reads earlier partitions,
-    so a replayed batch leaves the same tables: ingestion is exactly once.
+    A batch owns one partition of each table, named by the stream's id and its number. It overwrites that
+    partition only and never reads it, so a replayed batch leaves the same tables; the id lives in the
+    checkpoint, so a stream with a new checkpoint adds to the tables beside the earlier ones.
     """
+    run: dict[str, str] = {}
+    started = Event()
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = read_assets(spark, assets_path).where(F.col("batch") < batch_id).drop("batch")
-        existing = read_edges(spark, edges_path).where(F.col("batch") < batch_id).drop("batch")
+        started.wait()
+        spark, own = batch.sparkSession, run["id"]
+        earlier = (F.col("run") != own) | (F.col("batch") < batch_id)
+        known = read_assets(spark, assets_path).where(earlier).drop("run", "batch")
+        existing = read_edges(spark, edges_path).where(earlier).drop("run", "batch")
         resolved = resolve_events(event_shapes(parse_openlineage(batch)), known)
-        new_edges(resolved, existing).write.mode("overwrite").parquet(f"{edges_path}/batch={batch_id}")
-        new_assets(resolved, known).write.mode("overwrite").parquet(f"{assets_path}/batch={batch_id}")
+        new_edges(resolved, existing).write.mode("overwrite").parquet(f"{edges_path}/run={own}/batch={batch_id}")
+        new_assets(resolved, known).write.mode("overwrite").parquet(f"{assets_path}/run={own}/batch={batch_id}")
 
     spark = events.sparkSession
-    spark.createDataFrame([], EDGE_COLUMNS).write.mode("ignore").parquet(f"{edges_path}/batch=-1")
-    return (
+    spark.createDataFrame([], EDGE_COLUMNS).write.mode("ignore").parquet(f"{edges_path}/run=seed/batch=-1")
+    query = (
         events.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+    run["id"] = str(query.id)
+    started.set()
+    return query

@@ -1,3 +1,6 @@
+import math
+from dataclasses import replace
+
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -24,12 +27,35 @@ def test_importance(spark):
     assert {r["version_id"] for r in stored} == {"v"}
 
 
-def test_coalition_weights_sum_to_the_gain():
-    for n in (1, 3, 8):
-        plan = explain._coalitions(n, 4)
-        total = {tuple(m): sum(w) for m, w in plan}
-        assert abs(total[(True,) * n] - 1) < 1e-9 and abs(total[(False,) * n] + 1) < 1e-9
-        assert all(abs(v) < 1e-9 for k, v in total.items() if 0 < sum(k) < n)
+def test_shapley_values_are_those_of_all_coalitions(spark):
+    """Each row's attributions against the definition: every coalition scored, features outside it at the mean row."""
+    df = spark.range(80).selectExpr("cast(id % 7 as double) AS a", "cast(id % 11 as double) AS b", "cast(id * 3 % 13 as double) AS c",
+                                    "cast(id as double) AS d", "int(id % 7 + id % 11 > 8) + int(id > 60) AS label")
+    surrogate = explain.fit_surrogate(df, "label", 4)
+    data = [tuple(r) for r in surrogate.rows.limit(4).collect()]
+    mean = tuple(surrogate.rows.agg(*[F.avg(c) for c in surrogate.features]).first())
+    n = len(mean)
+    mixes = [(k, code, *(x[i] if code >> i & 1 else mean[i] for i in range(n))) for k, x in enumerate(data) for code in range(1 << n)]
+    scored = surrogate.score(spark.createDataFrame(mixes, f"k int, code int, {', '.join(f'{c} double' for c in surrogate.features)}"))
+    value = {(r["k"], r["code"]): r["p"] for r in scored.collect()}
+    got = explain.shapley_values(spark_rows(surrogate, data, spark)).collect()
+    for k in range(len(data)):
+        for i in range(n):
+            share = 0.0
+            for cls in surrogate.explained_classes():
+                total = 0.0
+                for code in range(1 << n):
+                    if not code >> i & 1:
+                        size = bin(code).count("1")
+                        weight = math.factorial(size) * math.factorial(n - size - 1) / math.factorial(n)
+                        total += weight * (value[k, code | 1 << i][cls] - value[k, code][cls])
+                share += abs(total) / len(surrogate.explained_classes())
+            assert abs(got[k][f"a{i}"] - share) < 1e-9
+
+
+def spark_rows(surrogate, data, spark):
+    frame = spark.createDataFrame(data, ", ".join(f"{c} double" for c in surrogate.features)).coalesce(1)
+    return replace(surrogate, rows=frame, means=tuple(surrogate.rows.agg(*[F.avg(c) for c in surrogate.features]).first()))
 
 
 def test_stream_quality_windows(spark, tmp_path):
@@ -54,3 +80,8 @@ def test_stream_ingest_twice_adds_nothing(spark, tmp_path):
         lines.write.mode("append").text(inbox)
     assert ol.read_edges(spark, edges).count() == 3
     assert ol.read_assets(spark, assets).where(F.col("batch") >= 0).count() == 5
+    fresh = str(tmp_path / "fresh")
+    spark.createDataFrame([(EVENT.replace("\n", "").replace("orders", "returns"),)], "value string").write.text(fresh)
+    ol.stream_openlineage(stream_lineage_events(spark, fresh), assets, edges, str(tmp_path / "other")).awaitTermination()
+    kept = ol.read_edges(spark, edges)
+    assert kept.select("run").distinct().count() == 2 and kept.count() > 3  # a new checkpoint adds, it does not overwrite

@@ -71,8 +71,8 @@ def pieces(
     return rows.mapInArrow(tokenised, _PIECES)
 
 
-def _exact_runs(left: np.ndarray, capacity: int) -> list[Run]:
-    """Combinations of two, three and four lengths that fill a sequence exactly, as often as counts allow.
+def _exact_runs(left: np.ndarray, capacity: int, most: int) -> list[Run]:
+    """Combinations of up to ``most`` (two to four) lengths that fill a sequence exactly, as often as counts allow.
 
     ``left[n]`` is the number of pieces of length n still to place; it is used up here. Sums of one, two and
     three lengths are looked up by what they lack.
@@ -92,14 +92,14 @@ def _exact_runs(left: np.ndarray, capacity: int) -> list[Run]:
     for a in range(capacity - 1, 0, -1):  # a single length and its complement
         if left[a] and capacity - a <= a and left[capacity - a]:
             consume((a, capacity - a))
-    for a in range(capacity - 2, 0, -1):  # a length whose complement is a pair sum
+    for a in range(capacity - 2, 0, -1) if most >= 3 else ():  # a length whose complement is a pair sum
         for b in range(min(a, capacity - a - 1), 0, -1):
             c = capacity - a - b
             if c > b or not left[a]:
                 break
             if left[b] and left[c]:
                 consume((a, b, c))
-    for a in range(capacity - 3, 0, -1):  # a length whose complement is a triple sum: pairs of pair sums
+    for a in range(capacity - 3, 0, -1) if most >= 4 else ():  # a length whose complement is a triple sum: pairs of pair sums
         for b in range(min(a, capacity - a - 2), 0, -1):
             if not left[a]:
                 break
@@ -158,11 +158,18 @@ def _best_fit_runs(left: np.ndarray, capacity: int) -> list[Run]:
 
 
 def plan_runs(counts: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
-    """(times, lengths) runs that hold every counted piece: exact fillings first, then best fit."""
-    left = np.zeros(capacity + 1, dtype=np.int64)
-    for length, n in counts.items():
-        left[length] = n
-    return _exact_runs(left, capacity) + _best_fit_runs(left, capacity)
+    """(times, lengths) runs that hold every counted piece: exact fillings first, then best fit.
+
+    Filling sequences exactly with many small pieces can leave large ones without fitting company, so the plan is
+    made with exact fillings of up to four, three and two pieces, and the one of fewest sequences is taken.
+    """
+    plans = []
+    for most in (4, 3, 2):
+        left = np.zeros(capacity + 1, dtype=np.int64)
+        for length, n in counts.items():
+            left[length] = n
+        plans.append(_exact_runs(left, capacity, most) + _best_fit_runs(left, capacity))
+    return min(plans, key=lambda runs: sum(times for times, _ in runs))
 
 
 def places(runs: list[Run]) -> pd.DataFrame:

@@ -69,7 +69,7 @@ def test_datasets(spark, tmp_path):
         datasets.load_dataset(assets, "zz", resolve)
     odd = spark.createDataFrame([("1.5",), ("",), (None,), ("x",), ("2",)], "v string")
     assert sorted(r["value"] for r in rows(datasets.numeric_series(odd, "v"))) == [1.5, 2.0]
-    sample = datasets.sample_rows(spark.range(500), 1000, ["id"])
+    sample = datasets.sample_rows(spark.range(500), 100, ["id"])
     assert sample.count() == 100 and sample.first()["id"] == "0"
     out = str(tmp_path / "results")
     for day in ("2024-01-01", "2024-01-02"):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -36,9 +37,39 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: path -> (JVM, Hadoop settings), which outlive a stopped session
+_scratch: dict[str, tuple] = {}
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder, for stream state and written tables."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, for stream state and written tables.
+
+    It lasts until :func:`clear_scratch` or the end of the program, whichever comes first.
+    """
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _scratch[path] = (spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
+    return path
+
+
+def clear_scratch() -> int:
+    """Delete every path that :func:`scratch_path` gave out; call it once the results that read them are stored.
+
+    Returns the number of paths. Nothing else in the shared folder is touched.
+    """
+    count = len(_scratch)
+    while _scratch:
+        path, (jvm, settings) = _scratch.popitem()
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(settings).delete(place, True)
+    return count
+
+
+@atexit.register
+def _clear_at_exit() -> None:
+    try:
+        clear_scratch()
+    except Exception:  # noqa: BLE001 - the JVM may be gone; the folder is then left to its owner
+        _scratch.clear()
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

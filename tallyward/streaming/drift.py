@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyward.constants import CRITICAL_PSI, PSI_BINS
 from tallyward.functions.reshape import as_double, long_numeric, quoted
 from tallyward.operators.drift import slot, stability_index
+from tallyward.session import written
 
 
 def reference_bins(reference: DataFrame, columns: Sequence[str], bins: int = PSI_BINS) -> DataFrame:
@@ -35,10 +36,10 @@ def stream_drift(
 ) -> DataFrame:
     """(window, column, n, psi, severity) for each closed window.
 
-    The stream keeps ten counters per open window and column; the reference's bins are a static
-    frame of one row per column, which bounds both broadcasts.
+    The stream keeps ten counters per open window and column; the reference's bins are written once, before
+    the stream starts, as one row per column, which bounds both broadcasts.
     """
-    facts = reference_bins(reference, columns, bins)
+    facts = written(reference_bins(reference, columns, bins), "reference-bins")
     values = events.select(
         F.col(time).cast("timestamp").alias("_time"), *[as_double(quoted(c)).alias(c) for c in columns]
     ).withWatermark("_time", delay)

@@ -64,3 +64,17 @@ def test_latest_findings_stay_in_order(spark):
     found = spark.createDataFrame([(f"f{n}", f"a{n % 3}", n) for n in range(40)], "id string, asset_id string, detected_at int")
     assets = spark.createDataFrame([(f"a{n}", f"col{n}") for n in range(3)], "id string, name string")
     assert [r["detected_at"] for r in classify.latest_findings(found, assets, 9).collect()] == list(range(39, 30, -1))
+
+
+def test_scratch_is_removed(spark, tmp_path):
+    from pathlib import Path
+
+    from tallyward import session
+
+    held = dict(session._scratch)
+    session._scratch.clear()
+    frame = session.written(spark.range(5), "kept")
+    paths = list(session._scratch)
+    assert frame.count() == 5 and len(paths) == 1 and Path(paths[0]).exists()
+    assert session.clear_scratch() == 1 and not Path(paths[0]).exists() and session.clear_scratch() == 0
+    session._scratch.update(held)

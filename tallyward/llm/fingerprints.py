@@ -177,26 +177,31 @@ def edited_fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col:
     """Per row its fingerprint, that of its edited text, and its likeness to the edited text and to the next row's.
 
     The last quarter of a text's characters is replaced by as many of the next row's first ones, or all it has. A
-    null text is an empty one; an empty table gives no rows. Texts are shuffled once, by key, with their fingerprint.
+    null text is an empty one; an empty table gives no rows. Texts are shuffled once, by key: the same exchange
+    gives a text its next one's head and gives away its own, so both of its readers ask for the same columns.
     """
     rows = _keyed(documents, id_col, text_col)
     links = successors(rows)
-    marked = rows.withColumn("fp", fingerprint(F.col("text")))
     wanted = links.select(
         F.col("n1").alias("k1"), F.col("n2").alias("k2"), F.col("k1").alias("p1"), F.col("k2").alias("p2"),
         F.floor(F.col("n_chars") / 4).cast("int").alias("quarter"),
     )
-    heads = marked.join(wanted, ["k1", "k2"]).select(
-        F.col("p1").alias("k1"), F.col("p2").alias("k2"), F.expr("left(text, quarter)").alias("head"),
-        F.col("fp").alias("next_fp"), F.col("doc_id").alias("next_id"),
-    ).dropDuplicates(["k1", "k2"])  # rows repeated in full are one neighbour
-    both = marked.join(heads, ["k1", "k2"])
+    fp = fingerprint(F.col("text"))
+    met = rows.join(wanted, ["k1", "k2"]).select("k1", "k2", "p1", "p2", "doc_id", F.expr("left(text, quarter)").alias("head"), fp.alias("fp"))
+    own = F.struct("k1", "k2", "doc_id", F.lit(None).cast("string").alias("head"), F.lit(None).cast("array<long>").alias("next_fp"), "fp")
+    given = F.struct(
+        F.col("p1").alias("k1"), F.col("p2").alias("k2"), F.lit(None).cast("long").alias("doc_id"), "head", F.col("fp").alias("next_fp"), F.lit(None).cast("array<long>").alias("fp")
+    )
+    parts = met.select(F.explode(F.array(own, given)).alias("part")).select("part.*")
+    # Rows repeated in full are one neighbour.
+    told = parts.groupBy("k1", "k2").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("doc_id", "head", "next_fp", "fp")))
+    both = rows.join(told.withColumnRenamed("doc_id", "own_id"), ["k1", "k2"])
     n = F.length("text")
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"), F.col("head"))
-    told = both.select("doc_id", n.cast("long").alias("n_chars"), "fp", "next_fp", "next_id", edited.alias("edited"))
+    told = both.select(F.coalesce("doc_id", "own_id").alias("doc_id"), n.cast("long").alias("n_chars"), "fp", "next_fp", edited.alias("edited"))
     told = told.withColumn("edited_fp", fingerprint(F.col("edited")))
     return told.select(
         "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"),
         as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "next_id",
+        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
     )

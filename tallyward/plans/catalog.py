@@ -96,6 +96,18 @@ def scan_files(spark, folder):
     )
 
 
+@_query(
+    "file_inventory",
+    "SELECT name || '.parquet' AS name, 'file' AS asset_type, 'parquet' AS file_format FROM (VALUES "
+    + ", ".join(f"('{t}')" for t in TABLES)
+    + ") t(name)",
+)
+def file_inventory(spark, folder):
+    """What can be known of the listing beforehand: names, type and format of the tables' files."""
+    listed = files.list_files(spark, folder).where(F.endswith("name", F.lit(".parquet")))
+    return listed.select("name", "asset_type", "file_format")
+
+
 @_query("list_files")
 def list_files(spark, folder):
     return files.list_files(spark, folder)

@@ -77,6 +77,11 @@ def discovery_queries(kind: str, database: str) -> dict[str, str]:
         rows = "table_rows"
     else:
         scope, rows = f"table_schema NOT IN {_SYSTEM_SCHEMAS}", "CAST(NULL AS BIGINT)"
+    if kind == "postgresql":  # the live-row estimate of the statistics collector
+        rows = (
+            "(SELECT s.n_live_tup FROM pg_stat_user_tables s "
+            "WHERE s.schemaname = tables.table_schema AND s.relname = tables.table_name)"
+        )
     return {
         "tables": f"SELECT table_schema, table_name, table_type, {rows} AS row_count "
         f"FROM information_schema.tables WHERE {scope}",

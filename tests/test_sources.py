@@ -49,6 +49,8 @@ def test_jdbc_options():
         jdbc.quoted_table("postgresql", "orders")
     with pytest.raises(ValueError):
         jdbc.scan_options("mssql", CONFIG, "db.s.t", "id")
+    counted = jdbc.discovery_queries("postgresql", "db")
+    assert "pg_stat_user_tables" in counted["tables"] and "n_live_tup" in counted["tables"] and "AS row_count" in counted["tables"]
     q = jdbc.discovery_queries("mysql", "db")
     assert "table_schema = 'db'" in q["columns"] and "pg_catalog" in jdbc.discovery_queries("redshift", "d")["tables"]
 

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -26,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.llm.vocabulary import encoding, ranks
-from tallyward.session import written
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BLOCK_CHARS = 4_000_000
@@ -139,6 +139,16 @@ def _cut(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.mapInArrow(run, _PACKED_SQL)
 
 
+def _lists(packed: DataFrame) -> DataFrame:
+    """The word lists among the packed rows. Not a filter: that would move below the shuffle and end its reuse."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select([0, 1, 2]).filter(pc.not_equal(batch.column(1), DOCUMENTS))
+
+    return packed.mapInArrow(run, _ANSWER_SQL)
+
+
 def _answers(lists: DataFrame, vocabulary: str) -> DataFrame:
     """(block, bucket, body): for each list of words their numbers of ids, and the ids."""
 
@@ -186,7 +196,7 @@ def _reassembled(blocks: DataFrame, answers: DataFrame, vocabulary: str, buckets
                 at += n
                 number += buckets
         out: list[list] = [[], [], [], [], []]
-        for row in own.to_pylist():
+        for row in own.filter(pc.equal(own["bucket"], DOCUMENTS)).to_pylist():
             numbers, at = unpacked_numbers(row["body"]).tolist(), 0
             for doc, n in zip(row["doc_ids"], row["counts"], strict=True):
                 part = numbers[at : at + n]
@@ -230,13 +240,12 @@ def encode(
     joined by commas, and of the decoded bytes. A null text is an empty one: no ids. Rows are taken as they are,
     repeated rows and null ids too. An empty table gives no rows.
     """
-    spark = documents.sparkSession
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = written(_cut(rows, buckets), "pretokens")
-    answers = _answers(packed.where(F.col("bucket") != DOCUMENTS).select("block", "bucket", "body"), vocabulary)
-    blocks = packed.where(F.col("bucket") == DOCUMENTS).select("block", "body", "doc_ids", "counts")
-    return _reassembled(blocks, answers, vocabulary, buckets, keep_ids)
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = BUCKETS_PER_PARTITION * parts
+    # One shuffle by block feeds both readers: the buckets, and the documents that wait for their answers.
+    packed = _cut(rows, buckets).repartition(parts, "block")
+    return _reassembled(packed, _answers(_lists(packed), vocabulary), vocabulary, buckets, keep_ids)
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -13,6 +13,7 @@ block. The table of token bytes is bounded by the vocabulary and is held by ever
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +38,11 @@ _PACKED = pa.schema(
     [("block", pa.int64()), ("bucket", pa.int32()), ("body", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))]
 )
 _PACKED_SQL = "block long, bucket int, body binary, doc_ids array<long>, counts array<int>"
+_PATTERN = regex.compile(public_tokenizers.PATTERN)
+# Over these characters the classes of both engines agree, and the standard one is nearly twice as fast.
+_COMMON = re.compile(r"[\t\n\r -~À-ÖØ-öø-ʯ]*")
+_COMMON_PATTERN = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+
 _ANSWER_SQL = "block long, bucket int, body binary"
 _CODES_SQL = "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string"
 
@@ -89,7 +95,12 @@ def _split(data: bytes) -> list[bytes]:
     return out
 
 
-def block_rows(block: int, doc_ids: list, texts: list[str], buckets: int, pattern: regex.Pattern) -> list[tuple]:
+def pre_tokens(text: str) -> list[str]:
+    """All matches of the tokenizers' pattern, in order."""
+    return (_COMMON_PATTERN if _COMMON.fullmatch(text) else _PATTERN).findall(text)
+
+
+def block_rows(block: int, doc_ids: list, texts: list[str], buckets: int) -> list[tuple]:
     """The rows of one block: its documents as word places, and its distinct words by bucket, frequent ones first.
 
     The word at place p of bucket b has number p * buckets + b, so frequent words have small numbers.
@@ -97,7 +108,7 @@ def block_rows(block: int, doc_ids: list, texts: list[str], buckets: int, patter
     words: list[str] = []
     counts = []
     for text in texts:
-        found = pattern.findall(text)
+        found = pre_tokens(text)
         counts.append(len(found))
         words += found
     coded = pa.array(words, pa.large_string()).dictionary_encode()
@@ -117,12 +128,11 @@ def block_rows(block: int, doc_ids: list, texts: list[str], buckets: int, patter
 
 def _cut(rows: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern = regex.compile(public_tokenizers.PATTERN)
         block = TaskContext.get().partitionId() << 32
         doc_ids, texts, chars = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*block_rows(block, doc_ids, texts, buckets, pattern), strict=True))
+            columns = list(zip(*block_rows(block, doc_ids, texts, buckets), strict=True))
             return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _PACKED, strict=True)], schema=_PACKED)
 
         for batch in batches:

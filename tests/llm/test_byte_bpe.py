@@ -1,7 +1,11 @@
 import hashlib
 
 import numpy as np
+import public_tokenizers
 import pytest
+import regex
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from llm_help import document, frame, odd_rows, prose, rng, rows  # noqa: F401
 from tallyward.llm import byte_bpe, vocabulary
@@ -25,6 +29,12 @@ def test_as_the_library_encodes(frame, rng, monkeypatch):
     assert back == {d[0]: d[1] for d in docs}
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="aZ é'sdtrevml019_-.,!\n\r\t ²½×÷ªʯʰ日\x0b\x1c\xa0", max_size=30))
+def test_both_patterns_agree(text):
+    assert byte_bpe.pre_tokens(text) == regex.findall(public_tokenizers.PATTERN, text)
+
+
 def test_odd_rows(frame, odd_rows):
     got = rows(byte_bpe.encode(frame(odd_rows), keep_ids=False))
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["ids_sha256"]) for r in got) == sorted(

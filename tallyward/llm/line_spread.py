@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyward.session import written
 
@@ -83,14 +82,19 @@ def widespread(lines: DataFrame, sites: int = SITES, margin: float = MARGIN, ske
 
 def removals(lines: DataFrame, spread: DataFrame) -> DataFrame:
     """(r1, r2, removed, spread_width): per row the places of its widespread lines, but for the kept ones."""
-    shared = lines.join(spread, _LINE)
-    first = F.rank().over(Window.partitionBy(*_ROW, *_LINE).orderBy("pos")) == 1
-    marked = shared.withColumn("keeps", F.coalesce(F.col("doc_id") == F.col("first_doc"), F.lit(False)) & first)
-    # One entry per place: rows repeated in full name the same places.
-    return marked.groupBy(*_ROW).agg(
-        F.collect_set(F.when(~F.col("keeps"), F.col("pos"))).alias("removed"),
-        F.array_distinct(F.collect_list(F.struct("pos", "width"))).alias("places"),
-    ).select(*_ROW, "removed", F.aggregate("places", F.lit(0).cast("long"), lambda n, p: n + p["width"]).alias("spread_width"))
+    keeps = F.coalesce(F.col("doc_id") == F.col("first_doc"), F.lit(False)).alias("keeps")
+    shared = lines.join(spread, _LINE).select(*_ROW, F.struct(*_LINE, "pos", "width", keeps).alias("place"))
+    # A row's places by line and position, each once: rows repeated in full name the same ones.
+    rows = shared.groupBy(*_ROW).agg(F.array_sort(F.collect_set("place")).alias("places"))
+
+    def goes(place: Column, at: Column) -> Column:
+        before = F.get("places", at - 1)
+        again = (at > 0) & (before["h1"] == place["h1"]) & (before["h2"] == place["h2"])
+        return ~place["keeps"] | again
+
+    removed = F.transform(F.filter("places", goes), lambda place: place["pos"])
+    width = F.aggregate("places", F.lit(0).cast("long"), lambda n, place: n + place["width"])
+    return rows.select(*_ROW, removed.alias("removed"), width.alias("spread_width"))
 
 
 def without_spread_lines(

@@ -12,9 +12,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the (a, b) edges; a component is named by its smallest node.
 
     Alternates two star steps: each node hands its larger neighbours, then its smaller ones, to the smallest
-    node it sees. Node degrees shrink to stars in a number of rounds logarithmic in the size; minima combine
-    before the shuffle and the joins are equi-joins on a unique side, so hot nodes can be split. Every round
-    is cut by a reliable checkpoint. No edges give no rows.
+    node it sees. Node degrees shrink to stars in a number of rounds logarithmic in the size. Minima combine
+    before the shuffle and are checkpointed before they are joined: both sides of a join are then shuffles of
+    their own, so that Spark can split the edges of a hot node. No edges give no rows.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = checkpointed(e)
@@ -25,9 +25,10 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = state
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         big = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = big.groupBy("u").agg(F.min("v").alias("m"))
+        big = checkpointed(big)
+        low = checkpointed(big.groupBy("u").agg(F.min("v").alias("m")))
         linked = big.join(low, "u")
         small = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         e = checkpointed(small.where("u <> v").distinct())

@@ -181,8 +181,10 @@ def near_copies(
     marks = written(_fingerprints(rows, size, permutations), "fingerprints")
     full = marks.where("doc_id is not null and n_shingles > 0")
     classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    copies = full.select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "id"), ["h1", "h2"])
-    same = copies.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    # Copies wait for the components of their classes, so a hot group of them is no node's neighbourhood.
+    copies = written(full.select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "id"), ["h1", "h2"]).select("doc_id", "id"), "copies")
+    several = copies.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("high")).where("b <> high").drop("high")
+    same = copies.join(several, "doc_id").where("id <> b").select(F.col("id").alias("a"), "b")
 
     spread = classes.select("id", F.explode("bands").alias("bucket"))
     leaders = spread.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last")
@@ -199,7 +201,8 @@ def near_copies(
     links = written(_confirmed(pairs, percent).unionByName(same), "links")
     crossing = written(_cross_links(members.select("bucket", "id"), sets, components(links), percent), "links")
     labels = components(links.unionByName(crossing))
-    named = marks.select("doc_id", "n_shingles").join(labels, F.col("doc_id") == labels.node, "left")
+    joined = copies.join(labels, copies.id == labels.node, "left").select("doc_id", F.coalesce("component", "id").alias("component"))
+    named = marks.select("doc_id", "n_shingles").join(joined.distinct(), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return named.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")

@@ -40,6 +40,23 @@ def test_ids_are_those_of_the_library(rng):
         assert encode(text).tolist() == reference.encode(text, add_special_tokens=False).ids
 
 
+MARKED = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  \n y ", "<|endoftext", "  <|endoftext|>\t", "<|<|endoftext|>|>", "ab <|ENDOFTEXT|>"]
+
+
+def test_added_tokens_have_their_own_ids(frame):
+    """The library in its default setting: it matches added tokens in texts whatever add_special_tokens says."""
+    reference = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    texts = [*EDGES, *MARKED]
+    encode = vocabulary.encoder(packing.VOCABULARY, added=True)
+    want = {}
+    for n, text in enumerate(texts):
+        ids = reference.encode(text, add_special_tokens=False).ids
+        assert encode(text).tolist() == ids
+        want[n] = (len(ids) + 1, zlib.crc32(np.array([*ids, packing.END_ID], dtype="<u4").tobytes()))
+    got = rows(packing.pack(packing.pieces(frame([document(n, t) for n, t in enumerate(texts)]), packing.VOCABULARY)))
+    assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in got} == want
+
+
 def check(docs, got, capacity):
     encode = vocabulary.encoder(packing.VOCABULARY)
     places = {}

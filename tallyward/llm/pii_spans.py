@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -208,6 +209,19 @@ def decode(model: SpanModel, text: str, start: int, end: int) -> list[Span]:
     return found[::-1]
 
 
+def _covered(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover together: apart from each other, so both are in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b, _ in spans:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def all_spans(model: SpanModel, text: str) -> list[tuple[int, int, str, bool]]:
     """(start, end, kind, base): base spans and what the model adds beside them, by start and kind."""
     if not text:
@@ -215,13 +229,11 @@ def all_spans(model: SpanModel, text: str) -> list[tuple[int, int, str, bool]]:
     base = base_spans(text)
     added: list[Span] = []
     if model.weights:
-        taken = sorted((a, b) for a, b, _ in base)
-        at = 0
+        starts, ends = _covered(base)
         for start, end in regions(text):
-            while at < len(taken) and taken[at][1] <= start:
-                at += 1
             for a, b, kind in decode(model, text, start, end):
-                clash = any(s < b and a < e for s, e in taken[at : at + 64] if s < end)
+                at = bisect_right(ends, a)
+                clash = at < len(starts) and starts[at] < b
                 if not clash and (not added or added[-1][1] <= a):
                     added.append((a, b, kind))
     out = [(*s, True) for s in base] + [(*s, False) for s in added]

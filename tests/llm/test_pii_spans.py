@@ -71,6 +71,18 @@ def test_base_spans_stay_and_masking(model):
     assert pii_spans.masked_text(text, spans) == "[EMAIL], [IP] and [PHONE]; [CARD]"
 
 
+def test_long_lists_add_nothing_over_base_spans(model):
+    """A list of numbers is one region with as many base spans as it has entries."""
+    text = " ".join(f"10.20.{n}.7" for n in range(200))
+    assert len(pii_spans.regions(text)) == 1
+    spans = pii_spans.all_spans(model, text)
+    assert [s[:3] for s in spans] == plain(text) and len(spans) == 200 and all(s[3] for s in spans)
+    mixed = " ".join(f"10.20.{n}.7 226.555.1909" for n in range(100))
+    kept = pii_spans.all_spans(model, mixed)
+    base = [s for s in kept if s[3]]
+    assert not any(a < d and c < b for a, b, _, own in kept if not own for c, d, _, _ in base)
+
+
 def test_odd_rows(frame, odd_rows):
     docs = [*odd_rows, document(50, "9" * 100_000), document(51, "1 " * 30_000), document(52, "a@" * 20_000), document(53, "to me@x.y"), document(53, "to me@x.y")]
     source = frame(docs).withColumnRenamed("lang", "spans")

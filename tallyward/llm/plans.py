@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from pyspark.sql import functions as F
 
 from tallyward.llm import (
+    benchmark_hits,
     byte_bpe,
     fingerprints,
     line_spread,
@@ -123,6 +123,44 @@ def op6_reply_order(spark, folder):
     return quotes.reply_order(table(spark, folder, "conversations"))
 
 
-@REGISTRY.query("pipeline", corpus_pipeline.ORACLE_SQL)
+@REGISTRY.query(
+    "op12_benchmark_hits",
+    r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM documents
+    ), i AS (
+      SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM benchmark
+    ), windows AS (
+      SELECT DISTINCT item, k, array_to_string(w[p : p + k - 1], ' ') AS s
+      FROM (SELECT item, w, least(len(w), 10) AS k, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM i WHERE len(w) > 0)
+    ), places AS (
+      SELECT r, k, p, array_to_string(w[p : p + k - 1], ' ') AS s
+      FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d JOIN (SELECT DISTINCT k FROM windows) ON len(w) >= k)
+    ), found AS (SELECT r, p, k, item FROM places JOIN windows USING (k, s)
+    ), covered AS (
+      SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS q FROM (SELECT DISTINCT r, p, k FROM found)) GROUP BY r
+    ), held AS (
+      SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM found) GROUP BY r
+    )
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+           CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN covered USING (r) LEFT JOIN held USING (r)
+    """,
+)
+def op12_benchmark_hits(spark, folder):
+    return benchmark_hits.digest(benchmark_hits.benchmark_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
+@REGISTRY.query("pipeline")
 def pipeline(spark, folder):
+    """No SQL states the stages but line dedup: ``corpus_pipeline.ORACLE_SQL`` is None."""
+    import corpus_pipeline
+
     return corpus_pipeline.run(spark, folder)

@@ -66,10 +66,11 @@ def blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, spans: bool = False) -> tuple[np.ndarray, ...]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, spans: bool = False, space: np.ndarray = _SPACE) -> tuple[np.ndarray, ...]:
     """(hashes, bounds): hashes of all words in order; text i has those from bounds[i] to bounds[i + 1].
 
-    With ``spans`` also where each word begins and ends, counted from the first text's first byte.
+    With ``spans`` also where each word begins and ends, counted from the first text's first byte. ``space`` marks
+    the bytes that part words.
     """
     start, stop = int(offsets[0]), int(offsets[-1])
     raw = data[start:stop]
@@ -78,7 +79,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, spans: bool = False) -> t
     if not n:
         none = np.zeros(0, dtype=np.int64)
         return (np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64), *([none, none] if spans else []))
-    inside = ~_SPACE[raw]
+    inside = ~space[raw]
     begins = np.empty(n, dtype=bool)
     begins[0] = inside[0]
     np.logical_and(inside[1:], ~inside[:-1], out=begins[1:])

@@ -11,6 +11,7 @@ from tallyward.llm import (
     line_spread,
     near_copies,
     packing,
+    phrases,
     pii_spans,
     quality,
     quotes,
@@ -158,6 +159,53 @@ def op12_benchmark_hits(spark, folder):
     return benchmark_hits.digest(benchmark_hits.benchmark_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
+@REGISTRY.query(
+    "op13_phrases",
+    r"""
+    WITH d AS (
+      SELECT coalesce(lang, 'und') AS lang,
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+    ), pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d
+    ), words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+    ), f1 AS (SELECT lang, x, count(*) AS f FROM (SELECT lang, unnest(w) AS x FROM words) GROUP BY lang, x
+    ), totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY lang
+    ), g2 AS (
+      SELECT lang, x, y, count(*) AS a
+      FROM (SELECT lang, w[p] AS x, w[p + 1] AS y FROM (SELECT lang, w, unnest(range(1, len(w))) AS p FROM words))
+      GROUP BY lang, x, y HAVING count(*) >= 10
+    ), g3 AS (
+      SELECT lang, x, y, z, count(*) AS a
+      FROM (SELECT lang, w[p] AS x, w[p + 1] AS y, w[p + 2] AS z FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS p FROM words))
+      GROUP BY lang, x, y, z HAVING count(*) >= 10
+    ), s2 AS (
+      SELECT g.lang, g.x, g.y, g.a, p.f AS l, q.f AS r,
+             CAST(CAST(g.a AS HUGEINT) * g.a * 1000000 // (CAST(p.f AS HUGEINT) * q.f) AS BIGINT) AS score
+      FROM g2 g JOIN f1 p ON p.lang = g.lang AND p.x = g.x JOIN f1 q ON q.lang = g.lang AND q.x = g.y
+    ), cuts AS (
+      SELECT g.lang, g.x, g.y, g.z, g.a, p.f AS l1, yz.a AS r1, xy.a AS l2, q.f AS r2,
+             CAST(CAST(g.a AS HUGEINT) * g.a * 1000000 // (CAST(p.f AS HUGEINT) * yz.a) AS BIGINT) AS score1,
+             CAST(CAST(g.a AS HUGEINT) * g.a * 1000000 // (CAST(xy.a AS HUGEINT) * q.f) AS BIGINT) AS score2
+      FROM g3 g JOIN f1 p ON p.lang = g.lang AND p.x = g.x JOIN f1 q ON q.lang = g.lang AND q.x = g.z
+      JOIN g2 xy ON xy.lang = g.lang AND xy.x = g.x AND xy.y = g.y JOIN g2 yz ON yz.lang = g.lang AND yz.x = g.y AND yz.y = g.z
+    ), longer AS (
+      SELECT lang, x, y, max(a) AS held
+      FROM (SELECT lang, x, y, a FROM g3 UNION ALL SELECT lang, y AS x, z AS y, a FROM g3) GROUP BY lang, x, y
+    ), standing AS (
+      SELECT s.lang, concat_ws(' ', s.x, s.y) AS phrase, s.a, s.l, s.r, s.score
+      FROM s2 s LEFT JOIN longer h ON h.lang = s.lang AND h.x = s.x AND h.y = s.y WHERE h.held IS NULL OR 100 * h.held < 50 * s.a
+      UNION ALL
+      SELECT lang, concat_ws(' ', x, y, z), a, CASE WHEN score1 <= score2 THEN l1 ELSE l2 END,
+             CASE WHEN score1 <= score2 THEN r1 ELSE r2 END, least(score1, score2) FROM cuts
+    ), ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM standing
+    )
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
+)
+def op13_phrases(spark, folder):
+    return phrases.mined(table(spark, folder, "documents"))
+
+
 @REGISTRY.query("pipeline")
 def pipeline(spark, folder):
     """No SQL states the stages but line dedup: ``corpus_pipeline.ORACLE_SQL`` is None."""

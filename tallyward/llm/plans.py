@@ -17,6 +17,7 @@ from tallyward.llm import (
     quotes,
     site_templates,
     top_inner,
+    turn_repair,
 )
 from tallyward.plans.registry import Registry
 from tallyward.plans.tables import table
@@ -124,6 +125,87 @@ def op6_reply_order(spark, folder):
     return quotes.reply_order(table(spark, folder, "conversations"))
 
 
+@REGISTRY.query(
+    "op11_turn_repair",
+    r"""
+    WITH RECURSIVE keyed AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+      FROM conversations
+    ), drawn AS (
+      SELECT *, xor(4294967295, list_reduce(list_transform(string_split(name, ''), lambda x: CAST(ascii(x) AS BIGINT)),
+               lambda crc, byte: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(crc, byte)),
+               4294967295)) % 20 AS kind
+      FROM keyed
+    ), harmed AS (
+      SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+             unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+      FROM drawn WHERE kind <> 0
+    ), placed AS (
+      SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g, conv_id, turn, role, text, left(role, 1) AS initial,
+             rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+      FROM harmed
+    ), turns AS (
+      SELECT *, body = '' AS blank, body <> '' AND again AS dup, body <> '' AND NOT again AND right(body, 1) NOT IN ('.', '!', '?') AS cut,
+             i > 1 AND lag(initial) OVER (PARTITION BY g ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS illegal
+      FROM (SELECT *, row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS again FROM placed)
+    ), counts AS (
+      SELECT g, min(conv_id) AS conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+             count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE dup) AS duplicate,
+             count(*) FILTER (WHERE cut) AS truncated, count(*) FILTER (WHERE illegal) AS illegal
+      FROM turns GROUP BY g
+    ), paths AS (
+      SELECT g, CAST(0 AS BIGINT) AS i, {'c': 0, 'p': ''} AS z, {'c': 99999999, 'p': ''} AS s, {'c': 99999999, 'p': ''} AS u, {'c': 99999999, 'p': ''} AS a
+      FROM counts
+      UNION ALL
+      SELECT g, i, {'c': z.c + 3, 'p': z.p || 'D'},
+             CASE WHEN stays AND initial = 's' THEN list_min([{'c': s.c + 3, 'p': s.p || 'D'}, {'c': z.c + x, 'p': z.p || 'K'}])
+                  ELSE {'c': s.c + 3, 'p': s.p || 'D'} END,
+             CASE WHEN NOT stays THEN {'c': u.c + 3, 'p': u.p || 'D'}
+                  ELSE list_min([{'c': u.c + 3, 'p': u.p || 'D'}, {'c': z.c + k, 'p': z.p || ku}, {'c': s.c + k, 'p': s.p || ku}, {'c': a.c + k, 'p': a.p || ku}]) END,
+             CASE WHEN NOT stays THEN {'c': a.c + 3, 'p': a.p || 'D'}
+                  ELSE list_min([{'c': a.c + 3, 'p': a.p || 'D'}, {'c': u.c + l, 'p': u.p || la}]) END
+      FROM (
+        SELECT g, i, z, s, u, list_min([a, {'c': u.c + 2, 'p': u.p || 'I'}]) AS a, stays, initial, x,
+               CASE WHEN initial = 'u' THEN x ELSE 2 + x END AS k, CASE WHEN initial = 'u' THEN 'K' ELSE 'R' END AS ku,
+               CASE WHEN initial = 'a' THEN x ELSE 2 + x END AS l, CASE WHEN initial = 'a' THEN 'K' ELSE 'R' END AS la
+        FROM (
+          SELECT t.g, t.i, z, s, a, NOT (blank OR dup) AS stays, initial, CASE WHEN cut THEN 1 ELSE 0 END AS x,
+                 list_min([u, {'c': z.c + 2, 'p': z.p || 'I'}, {'c': s.c + 2, 'p': s.p || 'I'}, {'c': a.c + 2, 'p': a.p || 'I'}]) AS u
+          FROM paths p JOIN turns t ON t.g = p.g AND t.i = p.i + 1
+        )
+      )
+    ), ends AS (
+      SELECT g, list_min([z, a, {'c': u.c + 2, 'p': u.p || 'I'}, {'c': s.c + 4, 'p': s.p || 'II'}]) AS best
+      FROM paths JOIN counts USING (g) WHERE i = n
+    ), letters AS (
+      SELECT g, spot, best.p[spot] AS letter FROM (SELECT g, best, unnest(range(1, len(best.p) + 1)) AS spot FROM ends)
+    ), told AS (
+      SELECT *, count(*) FILTER (WHERE letter <> 'I') OVER w AS i, count(*) FILTER (WHERE letter <> 'D') OVER w AS nth
+      FROM letters WINDOW w AS (PARTITION BY g ORDER BY spot)
+    ), opened AS (
+      SELECT o.g, bool_or(o.letter = 'K' AND o.nth = 1 AND t.initial = 's') AS system FROM told o LEFT JOIN turns t ON t.g = o.g AND t.i = o.i GROUP BY o.g
+    ), lines AS (
+      SELECT o.g, o.spot, CASE WHEN letter = 'K' THEN t.role WHEN (nth + CASE WHEN system THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                        || ':' || CASE WHEN letter = 'I' THEN '' ELSE t.text END AS line
+      FROM told o JOIN opened USING (g) LEFT JOIN turns t ON t.g = o.g AND t.i = o.i WHERE letter <> 'D'
+    ), hashed AS (SELECT g, string_agg(line, chr(10) ORDER BY spot) AS body FROM lines GROUP BY g
+    ), result AS (
+      SELECT conv_id, gaps, blank, duplicate, truncated, illegal, best.c AS cost, best.p AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+      FROM counts JOIN ends USING (g) LEFT JOIN hashed USING (g)
+    )
+    SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+           coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+           coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN result r ON r.conv_id IS NOT DISTINCT FROM e.conv_id
+    """,
+)
+def op11_turn_repair(spark, folder):
+    return turn_repair.repaired_after_damage(table(spark, folder, "conversations"))
+
+
 @REGISTRY.query(
     "op12_benchmark_hits",
     r"""

@@ -34,7 +34,7 @@ PERCENT = 50
 BITS = 9
 TILE = 1 << BITS
 CROWDED = TILE * TILE // 8
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 ROWS_OUT = 1 << 18
 MOST_RANKED = 1 << 20
 LONG_WORD = 64
@@ -144,6 +144,10 @@ class Ranks:
         self.first: list[np.ndarray] = []  # per length: number of the phrase -> its key
         self.lang: list[np.ndarray] = []  # per length: number of the phrase -> its language
 
+    def __getstate__(self) -> dict:
+        """Tasks do not need the languages of numbers."""
+        return self.__dict__ | {"lang": []}
+
     def add(self, keys: np.ndarray, langs: np.ndarray, counts: np.ndarray, complete: bool) -> None:
         order = np.lexsort((keys, -counts, langs))
         keys, langs = keys[order], langs[order]

@@ -43,12 +43,8 @@ def match_index(assets: DataFrame) -> DataFrame:
     )
 
 
-def resolve_refs(refs: DataFrame, index: DataFrame) -> DataFrame:
-    """(ref, asset_id, confidence) for each distinct reference that resolves.
-
-    Exact match 1.0, then the longest unambiguous suffix (0.9, or 0.75 for a single segment), then
-    the name (0.7 when unique, else 0.4 with the smallest id).
-    """
+def reference_keys(refs: DataFrame) -> DataFrame:
+    """(ref, preference, kind, key, score): every key of :func:`match_index` that a distinct reference may answer to."""
     distinct = refs.select("ref").where(F.col("ref").isNotNull()).distinct()
     distinct = distinct.withColumn("segs", segments(F.col("ref")))
     segs = F.col("segs")
@@ -74,13 +70,27 @@ def resolve_refs(refs: DataFrame, index: DataFrame) -> DataFrame:
             F.when(F.size(segs) > 0, candidate(1 + LONGEST_SUFFIX, "name", F.element_at(segs, -1), None)),
         )
     )
-    found = distinct.select("ref", F.inline(candidates)).join(index, ["kind", "key"])
+    return distinct.select("ref", F.inline(candidates))
+
+
+def best_answers(keys: DataFrame, index: DataFrame) -> DataFrame:
+    """(ref, asset_id, confidence) of the references whose keys meet the index."""
+    found = keys.join(index, ["kind", "key"])
     usable = found.where((F.col("kind") != "suffix") | F.col("is_unique"))
     confidence = F.coalesce("score", F.when(F.col("is_unique"), 0.7).otherwise(0.4))
     best = F.min_by(F.struct("asset_id", confidence.alias("confidence")), "preference")
     return usable.groupBy("ref").agg(best.alias("best")).select("ref", "best.asset_id", "best.confidence")
 
 
+def resolve_refs(refs: DataFrame, index: DataFrame) -> DataFrame:
+    """(ref, asset_id, confidence) for each distinct reference that resolves.
+
+    Exact match 1.0, then the longest unambiguous suffix (0.9, or 0.75 for a single segment), then
+    the name (0.7 when unique, else 0.4 with the smallest id).
+    """
+    return best_answers(reference_keys(refs), index)
+
+
 def resolve_pairs(pairs: DataFrame, index: DataFrame) -> DataFrame:
     """Resolve ``source_ref`` and ``target_ref`` of distinct pairs; drops unresolved and self pairs.
 

@@ -100,105 +100,110 @@ def _job_path() -> Column:
     return F.concat(F.lit("openlineage://"), F.col("job_namespace"), F.lit("/"), F.col("job_name"))
 
 
-def _placeholder(external_id: Column) -> Column:
-    return asset_id(F.lit(""), F.lit(""), external_id)
+def _job_id() -> Column:
+    return asset_id(F.lit(""), F.lit(""), _job_path())
 
 
-def _dataset_lookup(shapes: DataFrame, resolved: DataFrame, assets: DataFrame) -> DataFrame:
-    """(dataset, id, external_id, is_new) for each dataset name in the events.
+def _dataset_id(dataset: Column) -> Column:
+    """Id of the placeholder of a name: by the name alone, so that no namespace seen later changes it."""
+    return asset_id(F.lit(""), F.lit("dataset"), dataset)
 
-    A name that does not resolve becomes ``namespace:name`` with its smallest namespace; names that
-    only occur in column lineage take the default namespace.
+
+def _field_id(parent: Column, field: Column) -> Column:
+    return asset_id(F.lit(""), F.lit("column"), F.concat_ws(".", parent, field))
+
+
+def field_key(dataset: Column, field: Column) -> Column:
+    """A field of a dataset under one key; a dataset's own key is its name."""
+    return F.concat(dataset, F.lit("\u0001"), field)
+
+
+FACT_COLUMNS = ("kind", "source", "target", "dataset", "field", "namespace", "job_namespace", "job_name")
+
+
+def event_facts(shapes: DataFrame) -> DataFrame:
+    """What the events say, one fact a row; each is independent of all other facts, and of the order of events.
+
+    ``job``: a job exists. ``dataset``: a name occurs, under a namespace or none. ``field``: a field of a name occurs.
+    ``table`` and ``column``: a job leads from a source to a target (keys of datasets or fields).
     """
-    named = F.concat(
-        F.transform(
-            F.concat("inputs", "outputs"),
-            lambda d: F.struct(d["name"].alias("dataset"), d["namespace"].alias("namespace")),
-        ),
-        F.flatten(
-            F.transform(
-                "column_edges",
-                lambda e: F.transform(
-                    F.array(e["input_dataset"], e["output_dataset"]),
-                    lambda n: F.struct(n.alias("dataset"), F.lit(None).cast("string").alias("namespace")),
-                ),
-            )
-        ),
-    )
-    names = shapes.select(F.inline(named)).groupBy("dataset").agg(F.min("namespace").alias("namespace"))
-    placeholder = F.concat_ws(":", F.coalesce("namespace", F.lit(DEFAULT_DATASET_NAMESPACE)), "dataset")
-    known = resolved.join(
-        assets.select(F.col("id").alias("asset_id"), F.col("external_id").alias("known_path")), "asset_id"
-    )
-    return names.join(known, names["dataset"] == known["ref"], "left").select(
-        "dataset",
-        F.coalesce("namespace", F.lit(DEFAULT_DATASET_NAMESPACE)).alias("namespace"),
-        F.coalesce("asset_id", _placeholder(placeholder)).alias("id"),
-        F.coalesce("known_path", placeholder).alias("external_id"),
-        F.col("asset_id").isNull().alias("is_new"),
-    )
+    unset = F.lit(None).cast("string")
 
+    def fact(kind: str, **values: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), *[values.get(c, unset).alias(c) for c in FACT_COLUMNS[1:]])
 
-def _fields(shapes: DataFrame) -> DataFrame:
-    """Distinct (dataset, field) of all column edges."""
-    ends = F.flatten(
-        F.transform(
-            "column_edges",
-            lambda e: F.array(
-                F.struct(e["input_dataset"].alias("dataset"), e["input_field"].alias("field")),
-                F.struct(e["output_dataset"].alias("dataset"), e["output_field"].alias("field")),
-            ),
+    job = {"job_namespace": F.col("job_namespace"), "job_name": F.col("job_name")}
+
+    def ends(e: Column) -> Column:
+        pairs = [(e[f"{side}_dataset"], e[f"{side}_field"]) for side in ("input", "output")]
+        return F.array(
+            *[fact("dataset", dataset=d) for d, _ in pairs], *[fact("field", dataset=d, field=f) for d, f in pairs],
+            fact("column", source=field_key(*pairs[0]), target=field_key(*pairs[1]), **job),
         )
+
+    facts = F.concat(
+        F.array(fact("job", **job)),
+        F.transform(F.concat("inputs", "outputs"), lambda d: fact("dataset", dataset=d["name"], namespace=d["namespace"])),
+        F.flatten(F.transform("inputs", lambda i: F.transform("outputs", lambda o: fact("table", source=i["name"], target=o["name"], **job)))),
+        F.flatten(F.transform("column_edges", ends)),
     )
-    return shapes.select(F.inline(ends)).distinct()
+    return shapes.where((F.size("inputs") > 0) | (F.size("outputs") > 0)).select(F.inline(facts))
+
+
+def fact_refs(facts: DataFrame) -> DataFrame:
+    """(ref) of every name and field that the facts mention, to be resolved against a catalog."""
+    ref = F.when(F.col("kind") == "field", F.concat_ws(".", "dataset", "field")).otherwise(F.col("dataset"))
+    return facts.where(F.col("kind").isin("dataset", "field")).select(ref.alias("ref")).distinct()
 
 
 @dataclass(frozen=True)
 class ResolvedEvents:
-    """Event shapes with the asset of every dataset and field that they name."""
+    """Facts of events with the asset of every dataset and field that they name.
+
+    A name or field that no asset of the catalog answers to has a placeholder. Its id depends on the name alone, and
+    its path takes the smallest namespace, so the result is the same however the events are dealt into batches.
+    """
+
+    facts: DataFrame
+    answers: DataFrame
+
+    @property
+    def datasets(self) -> DataFrame:
+        """(dataset, id, external_id, alias, is_new)"""
+        names = self.facts.where("kind = 'dataset'").groupBy("dataset").agg(F.min("namespace").alias("namespace"))
+        known = self.answers.select(F.col("ref").alias("dataset"), "asset_id", "known_path")
+        path = F.concat_ws(":", F.coalesce("namespace", F.lit(DEFAULT_DATASET_NAMESPACE)), "dataset")
+        return names.join(known, "dataset", "left").select(
+            "dataset", F.coalesce("asset_id", _dataset_id(F.col("dataset"))).alias("id"),
+            F.coalesce("known_path", path).alias("external_id"), F.col("asset_id").isNull().alias("is_new"),
+        )
+
+    @property
+    def columns(self) -> DataFrame:
+        """(dataset, field, ref, parent_id, path, id, is_new)"""
+        fields = self.facts.where("kind = 'field'").select("dataset", "field", F.concat_ws(".", "dataset", "field").alias("ref")).distinct()
+        parents = self.datasets.select("dataset", F.col("id").alias("parent_id"), F.col("external_id").alias("parent_path"))
+        known = self.answers.select("ref", "asset_id")
+        return fields.join(parents, "dataset").join(known, "ref", "left").select(
+            "dataset", "field", "ref", "parent_id", F.concat_ws(".", "parent_path", "field").alias("path"),
+            F.coalesce("asset_id", _field_id(F.col("parent_id"), F.col("field"))).alias("id"), F.col("asset_id").isNull().alias("is_new"),
+        )
 
-    shapes: DataFrame
-    datasets: DataFrame
-    columns: DataFrame
+
+def answered(resolved: DataFrame, assets: DataFrame) -> DataFrame:
+    """(ref, asset_id, known_path) of resolved references."""
+    paths = assets.select(F.col("id").alias("asset_id"), F.col("external_id").alias("known_path"))
+    return resolved.select("ref", "asset_id").join(paths, "asset_id").select("ref", "asset_id", "known_path")
 
 
 def resolve_events(shapes: DataFrame, assets: DataFrame) -> ResolvedEvents:
     """Resolve every name of the events once, whatever the number of events.
 
-    Assets and edges both need all three frames, so they are written once and read from there.
+    Assets and edges both need the facts and the answers, so they are written once and read from there.
     """
-    shapes = written(shapes, "event-shapes")
-    fields = _fields(shapes)
-    names = shapes.select(
-        F.explode(
-            F.concat(
-                F.transform(F.concat("inputs", "outputs"), lambda d: d["name"]),
-                F.transform("column_edges", lambda e: e["input_dataset"]),
-                F.transform("column_edges", lambda e: e["output_dataset"]),
-            )
-        ).alias("ref")
-    )
-    field_ref = F.concat_ws(".", "dataset", "field")
-    resolved = resolve_refs(names.union(fields.select(field_ref.alias("ref"))), match_index(assets))
-    resolved = written(resolved, "event-names")
-    datasets = written(_dataset_lookup(shapes, resolved, assets), "event-datasets")
-    parents = datasets.select("dataset", F.col("id").alias("parent_id"), F.col("external_id").alias("parent_path"))
-    columns = (
-        fields.withColumn("ref", field_ref)
-        .join(resolved, "ref", "left")
-        .join(parents, "dataset")
-        .withColumn("path", F.concat_ws(".", "parent_path", "field"))
-        .select(
-            "dataset",
-            "field",
-            "ref",
-            "parent_id",
-            "path",
-            F.coalesce("asset_id", _placeholder(F.col("path"))).alias("id"),
-            F.col("asset_id").isNull().alias("is_new"),
-        )
-    )
-    return ResolvedEvents(shapes, datasets, written(columns, "event-columns"))
+    facts = written(event_facts(shapes).distinct(), "event-facts")
+    resolved = resolve_refs(fact_refs(facts), match_index(assets))
+    return ResolvedEvents(facts, written(answered(resolved, assets), "event-answers"))
 
 
 def new_assets(events: ResolvedEvents, assets: DataFrame) -> DataFrame:
@@ -219,8 +224,8 @@ def new_assets(events: ResolvedEvents, assets: DataFrame) -> DataFrame:
     column_nodes = events.columns.where("is_new").select(
         *node(F.col("id"), F.col("path"), F.col("field"), "column", F.col("parent_id"), F.col("ref"))
     )
-    job_nodes = events.shapes.select("job_namespace", "job_name").distinct().select(
-        *node(_placeholder(_job_path()), _job_path(), F.col("job_name"), "etl_pipeline", nothing, nothing)
+    job_nodes = events.facts.where("kind = 'job'").select("job_namespace", "job_name").distinct().select(
+        *node(_job_id(), _job_path(), F.col("job_name"), "etl_pipeline", nothing, nothing)
     )
     return (
         dataset_nodes.unionByName(column_nodes)
@@ -231,61 +236,30 @@ def new_assets(events: ResolvedEvents, assets: DataFrame) -> DataFrame:
 
 
 def new_edges(events: ResolvedEvents, existing: DataFrame | None = None) -> DataFrame:
-    """Inputs x outputs and column edges of each event shape that are not stored yet."""
-    job = [_placeholder(_job_path()).alias("transform_id"), F.col("job_name").alias("logic")]
-    table_pairs = (
-        events.shapes.select(
-            *job, F.explode(F.transform("inputs", lambda d: d["name"])).alias("source_ref"), "outputs"
-        )
-        .select("transform_id", "logic", "source_ref",
-                F.explode(F.transform("outputs", lambda d: d["name"])).alias("target_ref"))
-        .distinct()
+    """Inputs x outputs and column edges of the events that are not stored yet, both kinds through one pair of joins."""
+    keys = ["source_id", "target_id", "transform_id", "lineage_type"]
+    pairs = events.facts.where("kind IN ('table', 'column')").select(
+        "source", "target", F.col("kind").alias("lineage_type"), _job_id().alias("transform_id"), F.col("job_name").alias("logic")
     )
-    column_pairs = events.shapes.select(*job, F.explode("column_edges").alias("e")).select(
-        "transform_id",
-        "logic",
-        F.concat_ws(".", "e.input_dataset", "e.input_field").alias("source_ref"),
-        F.concat_ws(".", "e.output_dataset", "e.output_field").alias("target_ref"),
-    ).distinct()
-    by_name = events.datasets.select(F.col("dataset").alias("ref"), "id")
-    by_field = events.columns.groupBy("ref").agg(F.min("id").alias("id"))
-    edges = _edges(table_pairs, by_name, "table").unionByName(_edges(column_pairs, by_field, "column"))
+    by_field = events.columns.select(field_key(F.col("dataset"), F.col("field")).alias("key"), "id")
+    ids = events.datasets.select(F.col("dataset").alias("key"), "id").unionByName(by_field)
+    for side in ("source", "target"):
+        pairs = pairs.join(ids.select(F.col("key").alias(side), F.col("id").alias(f"{side}_id")), side)
+    edges = pairs.where("source_id <> target_id").groupBy(*keys).agg(F.min("logic").alias("logic"))
     if existing is not None:
-        keys = ["source_id", "target_id", "transform_id", "lineage_type"]
         edges = edges.join(existing.select(*keys), keys, "left_anti")
-    return edges
+    return edges.select(*keys, "logic", F.lit(1.0).alias("confidence"))
 
 
 def ingest(parsed: DataFrame, assets: DataFrame, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(new placeholder assets, new edges) for a set of events against a catalog.
 
-    Placeholder ids are hashes of their external ids, so ingesting the same events again adds
-    nothing.
+    Placeholder ids are hashes of their names, so ingesting the same events again adds nothing.
     """
     events = resolve_events(event_shapes(parsed), assets)
     return new_assets(events, assets), new_edges(events, existing)
 
 
-def _edges(pairs: DataFrame, lookup: DataFrame, lineage_type: str) -> DataFrame:
-    for side in ("source", "target"):
-        pairs = pairs.join(
-            lookup.select(F.col("ref").alias(f"{side}_ref"), F.col("id").alias(f"{side}_id")), f"{side}_ref"
-        )
-    return (
-        pairs.where(F.col("source_id") != F.col("target_id"))
-        .groupBy("source_id", "target_id", "transform_id")
-        .agg(F.min("logic").alias("logic"))
-        .select(
-            "source_id",
-            "target_id",
-            "transform_id",
-            F.lit(lineage_type).alias("lineage_type"),
-            "logic",
-            F.lit(1.0).alias("confidence"),
-        )
-    )
-
-
 def openlineage_placeholders(parsed: DataFrame, assets: DataFrame) -> DataFrame:
     """Assets that the events mention and the catalog lacks."""
     return new_assets(resolve_events(event_shapes(parsed), assets), assets)

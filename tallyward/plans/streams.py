@@ -71,17 +71,25 @@ def stream_drift(spark, folder):
     return _plain_windows(run_available(spark, stream, "stream-drift"))
 
 
-@_query("stream_openlineage", lineage_plans.REGISTRY.oracles["openlineage_edges"])
-def stream_openlineage(spark, folder):
-    """Orders as JSON events in three files, ingested as three micro-batches."""
-    inbox, assets, edges, state = (
-        scratch_path(spark, f"lineage-{part}") for part in ("inbox", "assets", "edges", "state")
-    )
+def _ingested(spark, folder) -> str:
+    """A store fed with orders as JSON events in three files, as three micro-batches."""
+    inbox, store, state = (scratch_path(spark, f"lineage-{part}") for part in ("inbox", "store", "state"))
     lineage_plans.raw_events(spark, folder).repartition(3).write.text(inbox)
-    ol.seed_catalog(lineage_plans.catalog(spark, folder), assets)
+    ol.seed_catalog(lineage_plans.catalog(spark, folder), store)
     stream = stream_lineage_events(spark, inbox, files_per_batch=1)
-    ol.stream_openlineage(stream, assets, edges, state).awaitTermination()
-    return ol.read_edges(spark, edges).drop("run", "batch")
+    ol.stream_openlineage(stream, store, state).awaitTermination()
+    return store
+
+
+@_query("stream_openlineage", lineage_plans.REGISTRY.oracles["openlineage_edges"])
+def stream_openlineage(spark, folder):
+    return ol.read_edges(spark, _ingested(spark, folder))
+
+
+@_query("stream_openlineage_assets", lineage_plans.REGISTRY.oracles["openlineage_placeholders"])
+def stream_openlineage_assets(spark, folder):
+    """The placeholders of the same stream."""
+    return ol.read_placeholders(spark, _ingested(spark, folder)).select("id", "external_id", "name", "asset_type")
 
 
 def _labelled(spark, folder) -> DataFrame:

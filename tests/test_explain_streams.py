@@ -6,11 +6,8 @@ from pyspark.sql import functions as F
 
 from tallyward.operators import explain
 from tallyward.operators.quality import QualityRule
-from tallyward.streaming import openlineage as ol
 from tallyward.streaming.quality import stream_quality
 from tallyward.streaming.runs import run_available
-from tallyward.sources.files import stream_lineage_events
-from test_lineage import EVENT
 
 
 def test_importance(spark):
@@ -66,22 +63,3 @@ def test_stream_quality_windows(spark, tmp_path):
     out = run_available(spark, stream_quality(stream, [QualityRule("v", "not_null", "v")], "ts", "12 hours"), "t")
     got = rows(out, "window_start")
     assert [(r["records_evaluated"], r["records_failed"], r["status"]) for r in got] == [(12, 2, "failed")] * 3
-
-
-def test_stream_ingest_twice_adds_nothing(spark, tmp_path):
-    inbox, assets, edges = (str(tmp_path / n) for n in ("inbox", "assets", "edges"))
-    lines = spark.createDataFrame([(EVENT.replace("\n", ""),)], "value string")
-    lines.write.text(inbox)
-    ol.seed_catalog(spark.createDataFrame([("o1", "orders", "db.shop.orders", "table")],
-                                          "id string, name string, external_id string, asset_type string"), assets)
-    for run in range(2):
-        stream = stream_lineage_events(spark, inbox)
-        ol.stream_openlineage(stream, assets, edges, str(tmp_path / "state")).awaitTermination()
-        lines.write.mode("append").text(inbox)
-    assert ol.read_edges(spark, edges).count() == 3
-    assert ol.read_assets(spark, assets).where(F.col("batch") >= 0).count() == 5
-    fresh = str(tmp_path / "fresh")
-    spark.createDataFrame([(EVENT.replace("\n", "").replace("orders", "returns"),)], "value string").write.text(fresh)
-    ol.stream_openlineage(stream_lineage_events(spark, fresh), assets, edges, str(tmp_path / "other")).awaitTermination()
-    kept = ol.read_edges(spark, edges)
-    assert kept.select("run").distinct().count() == 2 and kept.count() > 3  # a new checkpoint adds, it does not overwrite

@@ -1,14 +1,14 @@
-"""Closures over the lineage graph by frontier joins."""
+"""Closures over the lineage graph by frontier joins, of one set of starts or of many starts at once."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyward.session import checkpointed
+from tallyward.session import checkpointed, written
 
 
 # Ids that a closure broadcasts at most: some 64 MB of hashed ids.
@@ -40,11 +40,7 @@ def closure(
     shuffled like any other join.
     """
     near, far = ("source_id", "target_id") if direction == "down" else ("target_id", "source_id")
-    hops = (
-        edges.select(F.col(near).alias("id"), F.col(far).alias("next"))
-        .distinct()
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    hops = edges.select(F.col(near).alias("id"), F.col(far).alias("next")).persist(StorageLevel.MEMORY_AND_DISK)
     frontier = checkpointed(_start_frame(edges, starts).withColumn("depth", F.lit(0)))
     size = visited = frontier.count()
     rounds = [frontier]
@@ -90,6 +86,57 @@ def focus_lineage(edges: DataFrame, asset: str | Sequence[str] | DataFrame) -> D
     )
 
 
+BITS = 64
+FRONTIERS_KEPT = 12
+
+
+def reach(edges: DataFrame, starts: DataFrame | None = None, direction: str = "down", max_depth: int | None = None) -> DataFrame:
+    """(start, id, depth) of everything that each start reaches, for all starts in one walk; ``depth`` 0 is the start.
+
+    Starts are dealt into words of 64 bits, and a frontier row is (node, word, bits): the starts of that word which
+    have just arrived at the node. Arrivals of a round combine by bit-or before they are shuffled, and only bits that
+    the node has not had go on, so parallel edges and cycles cost nothing more and need no clearing beforehand. The
+    number of rounds is the depth of the graph, whatever the number of starts. Without ``starts`` every node that an
+    edge leaves is one. Frontiers are written to the shared folder; null ids take no part.
+    """
+    near, far = ("source_id", "target_id") if direction == "down" else ("target_id", "source_id")
+    hops = edges.select(F.col(near).alias("id"), F.col(far).alias("next")).where("id IS NOT NULL AND next IS NOT NULL")
+    from_ = hops.select("id") if starts is None else starts.select(F.col(starts.columns[0]).alias("id")).where("id IS NOT NULL")
+    dealt = from_.distinct().withColumn("part", F.spark_partition_id())
+    place = F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1
+    word = F.col("part").cast("long") * (1 << 32) + F.floor(place / BITS)
+    numbered = written(
+        written(dealt, "starts").select(F.col("id").alias("start"), word.alias("word"), (place % BITS).cast("int").alias("bit")), "start-bits"
+    )
+    hops = hops.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        first = numbered.select(F.col("start").alias("id"), "word", F.expr("shiftleft(1L, bit)").alias("bits"), F.lit(0).alias("depth"))
+        frontier = written(first, "arrivals")
+        rounds, depth = [frontier], 0
+        while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
+            depth += 1
+            arrived = frontier.join(hops, "id").groupBy(F.col("next").alias("id"), "word").agg(F.bit_or("bits").alias("got"))
+            had = _union(rounds).groupBy("id", "word").agg(F.bit_or("bits").alias("had"))
+            fresh = arrived.join(had, ["id", "word"], "left").select(
+                "id", "word", F.expr("got & ~coalesce(had, 0L)").alias("bits"), F.lit(depth).alias("depth")
+            )
+            frontier = written(fresh.where("bits <> 0"), "arrivals")
+            rounds.append(frontier)
+            if len(rounds) > FRONTIERS_KEPT:
+                rounds = [written(_union(rounds), "arrivals")]
+    finally:
+        hops.unpersist()
+    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda b: F.getbit("bits", b) == 1)).alias("bit")
+    return _union(rounds).select("id", "word", "depth", bit).join(numbered, ["word", "bit"]).select("start", "id", "depth")
+
+
+def impact_of_all(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """(start, reached, deepest): how many assets lie downstream of each start, and how far away the last of them."""
+    return reach(edges, starts).groupBy("start").agg(
+        F.count_if(F.col("depth") > 0).alias("reached"), F.max("depth").alias("deepest")
+    )
+
+
 def neighbours_of(edges: DataFrame, asset: str) -> DataFrame:
     """The asset's id and the ids one hop up and down."""
     touching = edges.where((F.col("source_id") == asset) | (F.col("target_id") == asset))

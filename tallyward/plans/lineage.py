@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.functions.names import segments
+from tallyward.operators import column_refs as text_columns
 from tallyward.operators import graph, lineage, openlineage, scripts
 from tallyward.plans.registry import Registry
 from tallyward.plans.tables import table
@@ -374,6 +375,56 @@ def script_edges(spark, folder):
     return edges.select("source_id", "target_id", "transform_id", "lineage_type", "logic")
 
 
+def _column_scripts(spark, folder) -> DataFrame:
+    """One script per part that fills two columns of a table: by alias, common table, derived table or set operation."""
+    named = table(spark, folder, "part").selectExpr(
+        "p_partkey % 4 AS form", "concat('etl/c', p_partkey % 50, '.sql') AS path",
+        f"""concat('supply."', {_FIRST}, '"') AS first""", f"""concat('supply."', {_SECOND}, '"') AS second""",
+        """concat('"', p_brand, '"."', p_type, '"."', replace(p_name, ' ', '_'), '"') AS target""",
+    )
+    return named.selectExpr(
+        "path",
+        """CASE form
+          WHEN 0 THEN concat('INSERT INTO ', target, ' (amount, "rate") SELECT o.amount * coalesce(c.fee, (0)), c.amount FROM ', first,
+            ' o JOIN ', second, ' AS c ON o.id = c.id; -- select x.y from x')
+          WHEN 1 THEN concat('WITH x AS (SELECT amount, id FROM ', first, '), y (id, total) AS (SELECT id, max(amount) FROM ', second,
+            ' GROUP BY id) INSERT INTO ', target, ' SELECT x.amount, y.total AS rate FROM x JOIN y USING (id)')
+          WHEN 2 THEN concat('CREATE TABLE ', target, ' AS SELECT q.amount, q.rate, q.* FROM (SELECT a.amount, sum(b.amount) AS rate FROM ', first,
+            ' a JOIN (SELECT id, amount FROM ', second, ') b ON a.id = b.id GROUP BY a.amount) q')
+          ELSE concat('INSERT INTO ', target, ' SELECT amount, ''; insert into a.b select c from d'' AS rate FROM ', first,
+            ' UNION ALL SELECT fee, amount FROM ', second) END AS content""",
+    )
+
+
+_SQL_FIRST, _SQL_SECOND = ("'Supplier#' || lpad((p_partkey % {} + 1)::VARCHAR, 9, '0')".format(n) for n in (9, 7))
+_COLUMN_SCRIPTS_SQL = f"""cref AS (
+   SELECT 'etl/c' || (p_partkey % 50) || '.sql' AS path, {_PATH} AS target_table, 'amount' AS target_column,
+     'supply.' || {_SQL_FIRST} AS source_table, 'amount' AS source_column FROM part
+   UNION SELECT 'etl/c' || (p_partkey % 50) || '.sql', {_PATH}, 'rate', 'supply.' || {_SQL_SECOND}, 'amount' FROM part
+   UNION SELECT 'etl/c' || (p_partkey % 50) || '.sql', {_PATH}, 'amount', 'supply.' || {_SQL_SECOND}, 'fee' FROM part WHERE p_partkey % 4 IN (0, 3))"""
+
+
+@_query("script_column_refs", f"WITH {_COLUMN_SCRIPTS_SQL} SELECT * FROM cref")
+def script_column_refs(spark, folder):
+    """What each column that a script fills is made of."""
+    return text_columns.column_refs(_column_scripts(spark, folder)).distinct()
+
+
+@_query(
+    "script_column_edges",
+    f"""WITH {_COLUMNS_SQL}, {_INDEX_SQL}, {_COLUMN_SCRIPTS_SQL},
+    cst AS (SELECT path AS transform_id, path AS logic, source_table || '.' || source_column AS source_ref,
+      target_table || '.' || target_column AS target_ref FROM cref),
+    refs AS (SELECT source_ref AS ref FROM cst UNION SELECT target_ref FROM cst), {_RESOLVE_SQL},
+    {_edge_sql('edges', 'cst', 'column')} SELECT * FROM edges""",
+)
+def script_column_edges(spark, folder):
+    """From script text to edges between columns of the catalog."""
+    found = text_columns.column_refs(_column_scripts(spark, folder))
+    rows = found.selectExpr("path AS transform_id", "path AS logic", "source_table", "source_column", "target_table", "target_column")
+    return lineage.column_edges(rows, lineage.match_index(catalog(spark, folder, with_columns=True)))
+
+
 @_query(
     "column_parent_table",
     f"""WITH {_COLUMNS_SQL} SELECT id, CASE WHEN ends_with(external_id, '.' || name)
@@ -432,6 +483,19 @@ def focus_lineage(spark, folder):
     return graph.focus_lineage(supply_edges(spark, folder), "s1")
 
 
+@_query(
+    "impact_of_all",
+    f"""WITH RECURSIVE {_SUPPLY_SQL}, down AS (
+      SELECT DISTINCT source_id AS start, source_id AS id, 0 AS depth FROM e
+      UNION SELECT start, target_id, depth + 1 FROM down JOIN e ON source_id = id WHERE depth < 6),
+    nearest AS (SELECT start, id, min(depth) AS depth FROM down GROUP BY 1, 2)
+    SELECT start, (count(*) FILTER (WHERE depth > 0))::BIGINT AS reached, max(depth)::INT AS deepest FROM nearest GROUP BY 1""",
+)
+def impact_of_all(spark, folder):
+    """The reach of every asset that has something downstream, in one walk."""
+    return graph.impact_of_all(supply_edges(spark, folder))
+
+
 @_query(
     "asset_neighbours",
     f"""WITH {_EDGES_SQL} SELECT id, name, asset_type, 'unclassified' AS sensitivity_level, id = 's3' AS is_center
@@ -497,14 +561,25 @@ def parse_openlineage(spark, folder):
 
 
 _ID = "sha256(chr(1) || chr(1) || {})"
+_DATASET_ID = "sha256(chr(1) || 'dataset' || chr(1) || {})"
+_SUPPLIER_ID = "'s' || CAST(right(supplier, 9) AS BIGINT)"
+
+
+def _field_id(parent: str, field: str) -> str:
+    return f"sha256(chr(1) || 'column' || chr(1) || {parent} || '.{field}')"
+
+
+_ACCOUNT_ID, _MART_ID = _DATASET_ID.format("account"), _DATASET_ID.format("mart")
+_JOB_PATH = "'openlineage://' || job_namespace || '/' || job_name"
+_JOB_ID = _ID.format(_JOB_PATH)
 _NODES_SQL = f"""{_EVENT_SQL}, nodes AS (
-   SELECT DISTINCT 'pg:' || account AS external_id, string_split(account, '.')[-1] AS name, 'dataset' AS asset_type FROM ev
-   UNION SELECT 'wh:' || mart, string_split(mart, '.')[-1], 'dataset' FROM ev
-   UNION SELECT 'pg:' || account || '.total', 'total', 'column' FROM ev
-   UNION SELECT supplier || '.weight', 'weight', 'column' FROM ev
-   UNION SELECT 'wh:' || mart || '.revenue', 'revenue', 'column' FROM ev
-   UNION SELECT 'wh:' || mart || '.rank', 'rank', 'column' FROM ev
-   UNION SELECT 'openlineage://' || job_namespace || '/' || job_name, job_name, 'etl_pipeline' FROM ev)"""
+   SELECT DISTINCT {_ACCOUNT_ID} AS id, 'pg:' || account AS external_id, string_split(account, '.')[-1] AS name, 'dataset' AS asset_type FROM ev
+   UNION SELECT {_MART_ID}, 'wh:' || mart, string_split(mart, '.')[-1], 'dataset' FROM ev
+   UNION SELECT {_field_id(_ACCOUNT_ID, 'total')}, 'pg:' || account || '.total', 'total', 'column' FROM ev
+   UNION SELECT {_field_id(_SUPPLIER_ID, 'weight')}, supplier || '.weight', 'weight', 'column' FROM ev
+   UNION SELECT {_field_id(_MART_ID, 'revenue')}, 'wh:' || mart || '.revenue', 'revenue', 'column' FROM ev
+   UNION SELECT {_field_id(_MART_ID, 'rank')}, 'wh:' || mart || '.rank', 'rank', 'column' FROM ev
+   UNION SELECT {_JOB_ID}, {_JOB_PATH}, job_name, 'etl_pipeline' FROM ev)"""
 
 
 def _event_catalog(spark, folder) -> DataFrame:
@@ -513,7 +588,7 @@ def _event_catalog(spark, folder) -> DataFrame:
 
 @_query(
     "openlineage_placeholders",
-    f"WITH {_NODES_SQL} SELECT {_ID.format('external_id')} AS id, external_id, name, asset_type FROM nodes",
+    f"WITH {_NODES_SQL} SELECT id, external_id, name, asset_type FROM nodes",
 )
 def openlineage_placeholders(spark, folder):
     parsed = openlineage.parse_openlineage(raw_events(spark, folder))
@@ -522,18 +597,13 @@ def openlineage_placeholders(spark, folder):
     )
 
 
-_JOB_ID = _ID.format("'openlineage://' || job_namespace || '/' || job_name")
-_SUPPLIER_ID = "'s' || CAST(right(supplier, 9) AS BIGINT)"
-
-
 @_query(
     "openlineage_edges",
     f"""WITH {_EVENT_SQL}, pairs AS (
-      SELECT {_ID.format("'pg:' || account")} AS source_id, {_ID.format("'wh:' || mart")} AS target_id, 'table' AS lineage_type,
-        {_JOB_ID} AS transform_id, job_name AS logic FROM ev
-      UNION SELECT {_SUPPLIER_ID}, {_ID.format("'wh:' || mart")}, 'table', {_JOB_ID}, job_name FROM ev
-      UNION SELECT {_ID.format("'pg:' || account || '.total'")}, {_ID.format("'wh:' || mart || '.revenue'")}, 'column', {_JOB_ID}, job_name FROM ev
-      UNION SELECT {_ID.format("supplier || '.weight'")}, {_ID.format("'wh:' || mart || '.rank'")}, 'column', {_JOB_ID}, job_name FROM ev)
+      SELECT {_ACCOUNT_ID} AS source_id, {_MART_ID} AS target_id, 'table' AS lineage_type, {_JOB_ID} AS transform_id, job_name AS logic FROM ev
+      UNION SELECT {_SUPPLIER_ID}, {_MART_ID}, 'table', {_JOB_ID}, job_name FROM ev
+      UNION SELECT {_field_id(_ACCOUNT_ID, 'total')}, {_field_id(_MART_ID, 'revenue')}, 'column', {_JOB_ID}, job_name FROM ev
+      UNION SELECT {_field_id(_SUPPLIER_ID, 'weight')}, {_field_id(_MART_ID, 'rank')}, 'column', {_JOB_ID}, job_name FROM ev)
     SELECT DISTINCT *, CAST(1.0 AS DOUBLE) AS confidence FROM pairs""",
 )
 def openlineage_edges(spark, folder):

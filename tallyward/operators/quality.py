@@ -12,10 +12,13 @@ from pyspark.sql import types as T
 
 from tallyward.constants import AMOUNT_NAME_PATTERN, EMAIL_PATTERN, RULE_DIMENSION
 from tallyward.functions.reshape import is_numeric, quoted, same_typed, stack_rows
+from tallyward.session import written
 
 ROW_RULES = ("not_null", "regex", "range", "in_set")
 MAX_RULES_PER_TABLE = 5_000
 MAX_SAMPLES = 10
+#: Bits of the filter for repeated texts: at most 2^27, two million words of 64 bits in the broadcast.
+LEAST_FILTER_BITS, MOST_FILTER_BITS = 1 << 16, 1 << 27
 
 RESULT_SCHEMA = (
     "asset string, rule_id string, rule_type string, column string, status string, "
@@ -115,6 +118,12 @@ def _row_struct(rule: QualityRule, failed: Column, passed: Column, error: str |
     )
 
 
+def _texts_and_others(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], list[str]]:
+    """Columns whose values are compared as text, and those with a short type of their own."""
+    texts = [c for kind, names in same_typed(df, columns) if kind == "string" for c in names]
+    return texts, [c for c in columns if c not in texts]
+
+
 def duplicate_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, n) for each distinct value of ``columns``, values as text; nulls kept.
 
@@ -132,16 +141,40 @@ def duplicate_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _unique_failures(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return (
-        duplicate_counts(df, columns)
-        .groupBy("column")
-        .agg(
-            F.coalesce(
-                F.sum(F.when(F.col("value").isNotNull() & (F.col("n") > 1), F.col("n"))), F.lit(0)
-            ).alias("unique_failed")
-        )
-    )
+def _long_texts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.select([quoted(c).cast("string").alias(c) for c in columns]).unpivot([], [quoted(c) for c in columns], "column", "value")
+
+
+def repeated_texts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, n) of the texts that occur more than once; a text that occurs once is not shuffled.
+
+    The first pass counts 64-bit hashes and finds those seen twice. They fill a bit filter of bounded size, which is
+    broadcast; the second pass groups only the texts that pass it, by their values. A hash that two texts share, or a
+    full filter, lets more texts through but changes no count.
+    """
+    keyed = _long_texts(df, columns).where("value IS NOT NULL").withColumn("h", F.xxhash64("column", "value"))
+    twice = written(keyed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "seen-twice")
+    bits = LEAST_FILTER_BITS
+    wanted = min(16 * twice.count(), MOST_FILTER_BITS)
+    while bits < wanted:
+        bits *= 2
+    place = F.pmod(F.col("h"), F.lit(bits))
+    word, bit = F.floor(place / 64).cast("int"), (place % 64).cast("int")
+    filled = twice.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    passing = (word == F.col("word")) & (F.getbit(F.col("bits"), bit) == 1)
+    likely = keyed.join(F.broadcast(filled), passing, "left_semi")  # at most MOST_FILTER_BITS / 64 rows
+    return likely.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def repeated_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, n) of all values that occur more than once, as text; nulls never repeat."""
+    texts, others = _texts_and_others(df, columns)
+    parts = []
+    if others:
+        parts.append(duplicate_counts(df, others).where(F.col("value").isNotNull() & (F.col("n") > 1)))
+    if texts:
+        parts.append(written(repeated_texts(df, texts), "repeated-texts"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _first_per_rule(candidates: DataFrame, samples: int) -> DataFrame:
@@ -155,8 +188,10 @@ def _first_per_rule(candidates: DataFrame, samples: int) -> DataFrame:
     )
 
 
-def failing_samples(df: DataFrame, rules: Sequence[QualityRule], samples: int = MAX_SAMPLES) -> DataFrame:
-    """Up to ``samples`` failing values per rule as text, smallest first."""
+def failing_samples(
+    df: DataFrame, rules: Sequence[QualityRule], samples: int = MAX_SAMPLES, repeated: DataFrame | None = None
+) -> DataFrame:
+    """Up to ``samples`` failing values per rule as text, smallest first; ``repeated`` as of :func:`repeated_values`."""
     row_rules = [r for r in rules if r.rule_type in ROW_RULES and r.rule_type != "not_null"]
     unique_rules = [r for r in rules if r.rule_type == "unique"]
     parts = []
@@ -177,9 +212,8 @@ def failing_samples(df: DataFrame, rules: Sequence[QualityRule], samples: int =
         )
         parts.append(_first_per_rule(df.select(F.inline(hits)), samples))
     if unique_rules:
-        repeated = duplicate_counts(df, sorted({r.column for r in unique_rules})).where(
-            F.col("value").isNotNull() & (F.col("n") > 1)
-        )
+        if repeated is None:
+            repeated = repeated_values(df, sorted({r.column for r in unique_rules}))
         by_column = F.create_map(
             *[
                 x
@@ -250,10 +284,12 @@ def evaluate_rules(
     results = df.agg(*aggregates).select("n", stack_rows(structs))
 
     unique_columns = sorted({r.column for r in valid if r.rule_type == "unique"})
-    if unique_columns:
+    repeated = repeated_values(df, unique_columns) if unique_columns else None
+    if repeated is not None:
+        failures = repeated.groupBy("column").agg(F.sum("n").alias("unique_failed"))
         results = (
             results.join(
-                _unique_failures(df, unique_columns).withColumn("rule_type", F.lit("unique")),
+                failures.withColumn("rule_type", F.lit("unique")),
                 ["column", "rule_type"],
                 "left",
             )
@@ -261,7 +297,7 @@ def evaluate_rules(
             .withColumn("passed", F.col("passed") & (F.coalesce("unique_failed", F.lit(0)) == 0))
         )
     if samples and valid:
-        results = results.join(failing_samples(df, valid, samples), "rule_id", "left")
+        results = results.join(failing_samples(df, valid, samples, repeated), "rule_id", "left")
     else:
         results = results.withColumn("failing_values", F.lit(None).cast("array<string>"))
 
@@ -331,11 +367,26 @@ def latest_runs(runs: DataFrame, n: int = 20) -> DataFrame:
     return runs.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= n).drop("rank")
 
 
+def _value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, filled, n) per distinct value; texts and other wide values travel as two 64-bit hashes."""
+    wide, short = _texts_and_others(df, columns)
+    parts = []
+    if short:
+        parts.append(duplicate_counts(df, short).select("column", F.col("value").isNotNull().alias("filled"), "n"))
+    if wide:
+        keys = df.select([F.when(quoted(c).isNotNull(), F.struct(F.xxhash64(quoted(c)), F.xxhash64(F.lit(c), quoted(c)))).alias(c) for c in wide])
+        long = keys.unpivot([], [quoted(c) for c in wide], "column", "value")
+        counted = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        parts.append(counted.select("column", F.col("value").isNotNull().alias("filled"), "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
     """Row, null, non-null and distinct counts per column.
 
-    Exact distinct counts group (column, value) once for all columns. ``approximate=True`` trades
-    them for sketches and needs no shuffle of values at all.
+    Exact distinct counts group (column, value) once for all columns, long values under 128 bits of hash.
+    ``approximate=True`` trades them for sketches and needs no shuffle of values at all; see
+    :mod:`tallyward.operators.profiles` for sketches that are stored and merged.
     """
     columns = list(columns or df.columns)
     numeric = F.col("column").isin([c for c in columns if is_numeric(df, c)])
@@ -358,12 +409,12 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, approxi
         profile = df.agg(*aggregates).select(stack_rows(structs))
     else:
         profile = (
-            duplicate_counts(df, columns)
+            _value_counts(df, columns)
             .groupBy("column")
             .agg(
                 F.sum("n").alias("row_count"),
-                F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"),
-                F.count("value").alias("distinct_count"),
+                F.coalesce(F.sum(F.when(F.col("filled"), F.col("n"))), F.lit(0)).alias("non_null"),
+                F.count_if("filled").alias("distinct_count"),
             )
         )
     return profile.select(

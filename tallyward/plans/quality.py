@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyward.operators import profiles
 from tallyward.operators import quality as q
 from tallyward.operators.quality import QualityRule
 from tallyward.plans.registry import Registry
+from tallyward.plans.sensitive import SCANNED
 from tallyward.plans.tables import table
+from tallyward.session import scratch_path
 
 REGISTRY = Registry()
 _query = REGISTRY.query
@@ -72,6 +75,18 @@ def quality_unique(spark, folder):
     return _flat(q.evaluate_rules(table(spark, folder, "lineitem"), rules))
 
 
+_TEXTS_UNIQUE = {"text_unique": ("documents", "text"), "source_unique": ("documents", "source"), "url_unique": ("pages", "url")}
+
+
+@_query("quality_unique_text", " UNION ALL ".join(_unique_oracle(rule, column, name) for rule, (name, column) in _TEXTS_UNIQUE.items()))
+def quality_unique_text(spark, folder):
+    """Whole texts: those that occur once are never shuffled."""
+    found = [
+        q.evaluate_rules(table(spark, folder, name), [QualityRule(rule, "unique", column)]) for rule, (name, column) in _TEXTS_UNIQUE.items()
+    ]
+    return _flat(found[0].unionByName(found[1]).unionByName(found[2]))
+
+
 @_query(
     "quality_regex",
     _oracle("language_code", "lang", "documents", "NOT regexp_matches(lang, '^e')")
@@ -225,15 +240,12 @@ def quality_latest_runs(spark, folder):
     return q.latest_runs(runs, 3)
 
 
-_PROFILED = {
-    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
-    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
-    "lineitem": ["l_orderkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag"],
-}
+_PROFILED = SCANNED | {"embeddings": [*SCANNED["embeddings"], "embedding"]}
 _NUMBERS = {
-    "c_custkey", "c_nationkey", "c_acctbal", "o_orderkey", "o_custkey", "o_totalprice", "p_partkey",
-    "p_size", "p_retailprice", "l_orderkey", "l_quantity", "l_extendedprice",
+    "r_regionkey", "n_nationkey", "n_regionkey", "c_custkey", "c_nationkey", "c_acctbal", "s_suppkey", "s_nationkey", "s_acctbal",
+    "p_partkey", "p_size", "p_retailprice", "o_orderkey", "o_custkey", "o_totalprice", "l_orderkey", "l_partkey", "l_suppkey",
+    "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "event_id", "user_id", "value", "doc_id", "n_chars",
+    "vec_id", "label", "page_id", "item_id", "quality", "toxic", "conv_id", "turn",
 }
 _PROFILE_SQL = " UNION ALL ".join(
     f"""SELECT '{t}' AS asset, '{c}' AS "column", count(*)::BIGINT AS row_count,
@@ -257,9 +269,49 @@ def _profiles(spark, folder):
 
 @_query("profile_columns", _PROFILE_SQL)
 def profile_columns(spark, folder):
+    """Every column of every table."""
     return _profiles(spark, folder)
 
 
+_EVENT_COLUMNS = SCANNED["events"]
+
+
+@_query(
+    "profile_sketches",
+    "WITH "
+    + "p AS ("
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*)::BIGINT AS row_count, (count(*) - count({c}))::BIGINT AS null_count,
+        {str(c in _NUMBERS).lower()} AS is_numeric FROM events"""
+        for c in _EVENT_COLUMNS
+    )
+    + """) SELECT *, true AS distinct_fits, CASE WHEN is_numeric THEN true END AS median_fits,
+      (SELECT count(DISTINCT CAST(ts AS DATE)) FROM events)::BIGINT AS parts FROM p""",
+)
+def profile_sketches(spark, folder):
+    """Events profiled by day, the last day alone, and merged: counts are exact, estimates within their bounds.
+
+    Distinct counts may err by four standard errors, the rank of the median by three hundredths.
+    """
+    events = table(spark, folder, "events").withColumn("day", F.to_date("ts").cast("string"))
+    path = scratch_path(spark, "profile-parts")
+    last = events.agg(F.max("day")).first()[0]
+    profiles.write_parts(events.where(F.col("day") < last), path, "day", _EVENT_COLUMNS)
+    profiles.write_part(events.where(F.col("day") == last), path, last, _EVENT_COLUMNS)
+    merged = profiles.merged_profile(profiles.read_parts(spark, path))
+    exact = q.profile_columns(table(spark, folder, "events"), _EVENT_COLUMNS).select("column", F.col("distinct_count").alias("exact"))
+    medians = {r.column: r.quantiles[1] for r in merged.where("quantiles IS NOT NULL").select("column", "quantiles").collect()}
+    below = [F.avg((F.col(c) <= F.lit(m)).cast("double")) for c, m in medians.items()]
+    ranks = events.agg(*[F.struct(F.lit(c).alias("column"), b.alias("rank")).alias(f"r{i}") for i, (c, b) in enumerate(zip(medians, below, strict=True))])
+    ranks = ranks.select(F.inline(F.array(*ranks.columns)))
+    fits = F.abs(F.col("distinct_count") - F.col("exact")) <= 4 * profiles.theta_error() * F.col("exact")
+    parts = profiles.read_parts(spark, path).agg(F.count_distinct("part").alias("parts"))
+    return merged.join(exact, "column").join(ranks, "column", "left").join(parts, F.lit(True)).select(
+        "column", "row_count", "null_count", "is_numeric", fits.alias("distinct_fits"),
+        (F.abs(F.col("rank") - 0.5) <= 0.03).alias("median_fits"), "parts",
+    )
+
+
 @_query(
     "suggest_rules",
     f"""

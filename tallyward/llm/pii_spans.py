@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyward.functions.reshape import quoted
+
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_REGIONS = 2_000
 EPOCHS = 4
@@ -77,7 +79,8 @@ def base_spans(text: str) -> list[Span]:
     if _DIGIT.search(text):
         if "." in text:
             for m in _IP.finditer(text):
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+                parts = [p.lstrip("0") for p in m.group().split(".")]
+                if all(len(p) <= 3 and int(p or "0") <= 255 for p in parts):
                     found.append((m.start(), m.end(), "ip"))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12:
@@ -349,8 +352,8 @@ def _selected(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def fit(documents: DataFrame, sample_regions: int = SAMPLE_REGIONS, id_col: str = "doc_id", text_col: str = "text") -> SpanModel:
     """Fit the model on at most ``sample_regions`` regions of the corpus, chosen by a hash of their text.
 
-    Regions travel with a few characters of context, so the sample is small; a corpus without any region
-    gives a model of the written variants alone.
+    Regions travel with a few characters of context, so the sample is small; those of more than 200 characters are not
+    drawn. A corpus without any region gives a model of the written variants alone.
     """
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,7 +432,10 @@ def masked_text(text: str, spans: list[tuple[int, int, str, bool]]) -> str:
 
 
 def mask(documents: DataFrame, model: SpanModel, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """The rows with personal data replaced in the text, and the length column set where there is one."""
+    """The rows with personal data replaced in the text, and the length column set where there is one.
+
+    A null text stays null and keeps its length; an empty one stays empty. Repeated rows are changed alike.
+    """
     names = documents.columns
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,5 +447,6 @@ def mask(documents: DataFrame, model: SpanModel, text_col: str = "text", length_
 
     rows = documents.mapInArrow(replace, documents.schema)
     if length_col in names:
-        rows = rows.withColumn(length_col, F.coalesce(F.length(text_col), F.lit(0)).cast(documents.schema[length_col].dataType))
-    return rows.select(*names)
+        length = F.when(quoted(text_col).isNull(), quoted(length_col)).otherwise(F.length(quoted(text_col)))
+        rows = rows.withColumn(length_col, length.cast(documents.schema[length_col].dataType))
+    return rows.select(*[quoted(c) for c in names])

@@ -75,26 +75,25 @@ def op9_quality(spark, folder):
 @REGISTRY.query(
     "op2_line_spread",
     r"""
-    WITH lines AS (
-      SELECT doc_id, coalesce('s' || source, '-') AS site, pos, trim(raw, chr(32) || chr(9) || chr(13) || chr(12) || chr(11)) AS line
-      FROM (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS raw,
-                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)
+    WITH bodies AS (
+      SELECT doc_id, source, list_transform(string_split(coalesce(text, ''), chr(10)),
+             lambda x: trim(x, chr(32) || chr(9) || chr(13) || chr(12) || chr(11))) AS body FROM documents
+    ), lines AS (
+      SELECT doc_id, coalesce('s' || source, '-') AS site, sha256(array_to_string(list_filter(body, lambda x: x <> ''), chr(10))) AS sequence,
+             unnest(body) AS line, generate_subscripts(body, 1) AS pos FROM bodies
     ), spread AS (
-      SELECT line, min(doc_id) AS first_doc FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 8
+      SELECT line, arg_min(sequence, doc_id) AS first_sequence FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 8
     ), marked AS (
-      SELECT l.doc_id, l.pos, length(l.line) AS width,
-             l.doc_id = s.first_doc AND row_number() OVER (PARTITION BY l.doc_id, l.line ORDER BY l.pos) = 1 AS keeps
+      SELECT l.doc_id, l.pos, l.sequence = s.first_sequence AND row_number() OVER (PARTITION BY l.doc_id, l.line ORDER BY l.pos) = 1 AS keeps
       FROM lines l JOIN spread s ON s.line = l.line
-    ), gone AS (
-      SELECT doc_id, list(pos) FILTER (WHERE NOT keeps) AS removed, sum(width) AS spread_width FROM marked GROUP BY doc_id
-    ), widths AS (SELECT doc_id, sum(length(line)) AS width FROM lines GROUP BY doc_id
+    ), gone AS (SELECT doc_id, list(pos) FILTER (WHERE NOT keeps) AS removed FROM marked GROUP BY doc_id
     ), joined AS (
-      SELECT d.doc_id, d.text, string_split(coalesce(d.text, ''), chr(10)) AS body, coalesce(g.removed, []) AS removed,
-             coalesce(len(g.removed), 0) = 0 OR g.spread_width > 0.5 * w.width AS whole
-      FROM documents d JOIN widths w USING (doc_id) LEFT JOIN gone g USING (doc_id)
+      SELECT d.doc_id, d.text, string_split(coalesce(d.text, ''), chr(10)) AS body, coalesce(g.removed, []) AS removed
+      FROM documents d LEFT JOIN gone g USING (doc_id)
     )
-    SELECT doc_id, CAST(len(body) AS BIGINT) AS n_lines, CASE WHEN whole THEN 0 ELSE len(removed) END AS n_removed,
-           CASE WHEN whole THEN text ELSE array_to_string(list_filter(body, lambda x, i: NOT list_contains(removed, i)), chr(10)) END AS text
+    SELECT doc_id, CAST(len(body) AS BIGINT) AS n_lines, len(removed) AS n_removed,
+           CASE WHEN len(removed) = 0 THEN text
+                ELSE array_to_string(list_filter(body, lambda x, i: NOT list_contains(removed, i)), chr(10)) END AS text
     FROM joined
     """,
 )

@@ -1,13 +1,16 @@
 """Main text of web pages, with site templates found by counting element subtrees per host.
 
 Method: every page is read into a tree; each element's subtree gets a hash of its tags, attributes and text. Spark
-counts, per host, on how many different pages a subtree stands; subtrees that recur on many pages of their host are
-the site's template and go. What stands for menus, headers, footers, sidebars, notices, adverts, forms and reader
-comments by its tag, role or name goes too.
+counts, per host, on how many different pages a subtree stands; subtrees that stand on ``LEAST_PAGES`` of them are the
+site's template and go, whatever the size of the host. What stands for menus, headers, footers, sidebars, notices,
+adverts, forms and reader comments by its tag, role or name goes too, as does what lies beside an article.
 
-A page counts once per host however often it is copied: pages are told apart by the hash of their whole text. The
-paragraphs and headings of an article are never taken for template, only boxes around or beside them: a passage that
-many articles quote is still theirs.
+A page counts once per host however often it is copied: pages are told apart by their main text, so near copies that
+differ in their menus only are one. The paragraphs and headings of an article are never taken for template, only boxes
+around or beside them: a passage that many articles quote is still theirs.
+
+Reading takes time in proportion to the page: a tag that never ends is looked for once, and where a quote swallows the
+end of the page, quotes are no longer trusted from there on.
 """
 
 from __future__ import annotations
@@ -23,9 +26,7 @@ from pyspark.sql import functions as F
 
 from tallyward.session import written
 
-LEAST_PAGES = 10
-LEAST_SHARE = 0.1
-WHOLE_PAGE = 0  # stands for the page itself among its boxes
+LEAST_PAGES = 3
 
 # Element names of the HTML standard by how they are parsed and shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,10 +59,13 @@ HEADINGS = frozenset(("h1", "h2"))
 CONTENT = frozenset(("article", "main"))
 ROOTS = frozenset(("html", "body", "article", "main"))
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)", re.DOTALL)
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+# A quote matters behind an equals sign only.
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>|<[!?/][^>]*(?:>|\Z)", re.DOTALL
+)
+_LOOSE = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_CUT_TAG = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
+_TAG_START = re.compile(r"<[a-zA-Z/!?]")
 _SCHEME = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*:")
 
 
@@ -84,15 +88,19 @@ class Node:
         self.tag, self.attributes, self.children, self.digest = tag, attributes, [], 0
 
 
-def _tags(html: str) -> Iterator[tuple[int, int, re.Match | None]]:
+def _tags(html: str) -> Iterator[tuple[int, int, re.Match]]:
+    last, pattern = html.rfind(">"), _TAG
     at = html.find("<")
     while at >= 0:
-        match = _TAG.match(html, at) or _LOOSE.match(html, at)
+        if at > last and html[at + 1 : at + 2] not in ("!", "?", "/"):
+            return  # nothing ends a tag from here on
+        match = pattern.match(html, at)
+        if match is None and pattern is _TAG and _TAG_START.match(html, at):
+            pattern = _LOOSE
+            match = pattern.match(html, at)
         if match:
             yield at, match.end(), match
-            at = html.find("<", match.end())
-        else:
-            at = html.find("<", at + 1)
+        at = html.find("<", match.end() if match else at + 1)
 
 
 def parse(html: str) -> Node:
@@ -124,7 +132,7 @@ def parse(html: str) -> Node:
             continue
         text(html[done:start])
         done = end
-        tag = (match.group(2) or "").lower() if match.re is _LOOSE or match.lastindex else ""
+        tag = (match.group(2) or "").lower()
         if not tag:
             continue
         if match.group(1):
@@ -149,7 +157,7 @@ def parse(html: str) -> Node:
             stack.append(node)
             opened[tag] = opened.get(tag, 0) + 1
     rest = html[done:]
-    cut = _CUT_TAG.search(rest)
+    cut = _TAG_START.search(rest, rest.rfind(">") + 1)
     text(rest[: cut.start()] if cut else rest)
     return root
 
@@ -213,25 +221,27 @@ def _articles(root: Node) -> list[Node]:
     return [root]
 
 
-Piece = tuple[str, list[int]]  # a block of text, the hashes of the boxes around it
+Piece = tuple[str, int]  # a block of text, the number of the innermost box around it or -1
+Box = tuple[int, int]  # the number of the box around it or -1, the hash of its subtree
 
 
-def pieces(root: Node) -> list[Piece]:
-    """The blocks of the main text in page order, each with the hashes of boxes that may turn out to be template.
+def pieces(root: Node) -> tuple[list[Piece], list[Box]]:
+    """The blocks of the main text in page order, and the boxes around them that may turn out to be template.
 
     Headers go, but for headings in the header of an article. Outside articles every block is a box of its own.
     """
     out: list[Piece] = []
+    found: list[Box] = []
     for top in _articles(root):
         inside = top.tag in CONTENT
         line: list[str] = []
-        around: list[int] = []
+        around = [-1]
 
         def flush() -> None:
             text = " ".join("".join(line).split())
             line.clear()
             if text:
-                out.append((text, list(around)))
+                out.append((text, around[-1]))
 
         stack: list[tuple[Node | str, bool, bool]] = [(top, False, False)]  # item, closing, silent
         while stack:
@@ -260,21 +270,48 @@ def pieces(root: Node) -> list[Piece]:
             elif inside and item.tag in HEADINGS:
                 silent = False
             if boxed:
-                around.append(item.digest)
+                found.append((around[-1], item.digest))
+                around.append(len(found) - 1)
             stack.append((item, True, silent))
             stack += [(c, False, silent) for c in reversed(item.children)]
         flush()
-    return out
+    return out, found
+
 
+def without_boxes(blocks: list[Piece], boxes: list[Box], gone: set[int]) -> list[str]:
+    """The blocks that stand in no box of ``gone``, at any depth; a box comes after the one around it."""
+    away: list[bool] = []
+    for outer, digest in boxes:
+        away.append(digest in gone or (outer >= 0 and away[outer]))
+    return [text for text, box in blocks if box < 0 or not away[box]]
 
-def boxes(root: Node) -> set[int]:
-    """Hashes of the subtrees of a page that count towards its host's template."""
+
+def subtrees(root: Node) -> set[int]:
+    """Hashes of the subtrees of a whole page that count towards its host's template."""
     return {n.digest for n, up in _walk(root) if up and n is not root and n.tag not in ROOTS and n.tag not in INLINE}
 
 
-_PAGES_SQL = "page_id long, url string, host string, k1 long, k2 long, blocks array<struct<text:string,around:array<long>>>"
-_BOXES_SQL = "host string, box long, page long"
-_BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))
+def set_aside(root: Node) -> list[int]:
+    """Hashes of the outermost elements of a page's body that lists of tags and names take out, or that lie beside its article."""
+    tops = {id(n) for n in _articles(root)}
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.tag in RAW or node.tag in ("head", "noscript", "template"):
+            continue
+        if node is not root and (unwanted(node) or node.tag == "header"):
+            out.append(node.digest)
+        elif id(node) not in tops:
+            stack += [c for c in reversed(node.children) if isinstance(c, Node)]
+    return out
+
+
+_PAGES_SQL = (
+    "page_id long, url string, host string, k1 long, k2 long, page long, blocks array<struct<text:string,box:int>>, "
+    "boxes array<struct<outer:int,digest:long>>, subtrees array<long>, aside array<long>"
+)
+_BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("box", pa.int32())]))
+_BOXES = pa.list_(pa.struct([("outer", pa.int32()), ("digest", pa.int64())]))
 
 
 def _selected(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -287,71 +324,76 @@ def _content_hash(html: str, size: int = 8) -> bytes:
     return blake2b(html.encode("utf-8", "replace"), digest_size=size).digest()
 
 
-def _boxes(rows: DataFrame) -> DataFrame:
-    """(host, box, page): every page and its subtrees, once each; ``page`` names the page by its text."""
+def _read(rows: DataFrame) -> DataFrame:
+    """Every page read once: its blocks and boxes, the hashes of all its subtrees, and ``page``, which names it by its main text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, found, pages = [], [], []
+            made: dict[str, list] = {name: [] for name in ("host", "k1", "k2", "page", "blocks", "boxes", "subtrees", "aside")}
             for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 root = parse(html or "")
                 hash_subtrees(root)
-                own = boxes(root) | {WHOLE_PAGE}
-                hosts += [host(url)] * len(own)
-                found += own
-                pages += [int.from_bytes(_content_hash(html or ""), "little", signed=True)] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(pages, pa.int64())], names=["host", "box", "page"])
+                key = _content_hash(html or "", 16)
+                blocks, boxes = pieces(root)
+                main = _content_hash("\n".join(t for t, _ in blocks) or html or "")
+                for name, value in (
+                    ("host", host(url)), ("k1", int.from_bytes(key[:8], "little", signed=True)), ("k2", int.from_bytes(key[8:], "little", signed=True)),
+                    ("page", int.from_bytes(main, "little", signed=True)), ("blocks", [{"text": t, "box": b} for t, b in blocks]),
+                    ("boxes", [{"outer": o, "digest": d} for o, d in boxes]), ("subtrees", list(subtrees(root))), ("aside", set_aside(root)),
+                ):
+                    made[name].append(value)
+            kinds = {"host": pa.string(), "blocks": _BLOCKS, "boxes": _BOXES, "subtrees": pa.list_(pa.int64()), "aside": pa.list_(pa.int64())}
+            arrays = [batch.column(0), batch.column(1), *[pa.array(v, kinds.get(name, pa.int64())) for name, v in made.items()]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", *made])
 
-    return rows.mapInArrow(run, _BOXES_SQL)
+    return rows.mapInArrow(run, _PAGES_SQL)
 
 
-def templates(rows: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, box) of the subtrees on at least ``least_pages`` different pages and ``least_share`` of their host's."""
-    counted = (
-        _boxes(rows).groupBy("host", "box", "page").agg(F.lit(1).alias("one")).groupBy("host", "box").agg(F.count("*").alias("n"))
-    )
-    sizes = counted.where(F.col("box") == WHOLE_PAGE).select("host", F.col("n").alias("pages"))
-    counted = counted.where(F.col("box") != WHOLE_PAGE)
-    common = counted.where(F.col("n") >= least_pages).join(sizes, "host")
-    return common.where(F.col("n") >= F.col("pages") * least_share).select("host", "box")
+def templates(read: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(host, digest) of the subtrees that stand on at least ``least_pages`` different pages of their host."""
+    each = read.select("host", "page", F.explode("subtrees").alias("digest"))
+    pages = each.groupBy("host", "digest", "page").agg(F.lit(1).alias("one"))
+    return pages.groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages).select("host", "digest")
 
 
-def _read(rows: DataFrame) -> DataFrame:
+def _judged(rows: DataFrame) -> DataFrame:
+    """The texts of (page_id, url, blocks, boxes, gone) rows without the boxes that are gone."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, k1, k2, blocks = [], [], [], []
-            for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                root = parse(html or "")
-                hash_subtrees(root)
-                key = _content_hash(html or "", 16)
-                hosts.append(host(url))
-                k1.append(int.from_bytes(key[:8], "little", signed=True))
-                k2.append(int.from_bytes(key[8:], "little", signed=True))
-                blocks.append([{"text": t, "around": h} for t, h in pieces(root)])
-            arrays = [batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(blocks, _BLOCKS)], names=["page_id", "url", "host", "k1", "k2", "blocks"])
+            texts = []
+            for blocks, boxes, gone in zip(*(batch.column(n).to_pylist() for n in ("blocks", "boxes", "gone")), strict=True):
+                kept = without_boxes([(b["text"], b["box"]) for b in blocks], [(b["outer"], b["digest"]) for b in boxes], set(gone))
+                texts.append(kept)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.list_(pa.string()))], names=["page_id", "url", "texts"])
 
-    return rows.mapInArrow(run, _PAGES_SQL)
+    return rows.select("page_id", "url", "blocks", "boxes", "gone").mapInArrow(run, "page_id long, url string, texts array<string>")
 
 
 def main_text(
-    pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE,
-    id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
+    pages: DataFrame, least_pages: int = LEAST_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
     """(page_id, url, text, n_chars) per row: the blocks of the main text, joined by an empty line.
 
     A null or empty page gives an empty text; a null url stays null and belongs to the host without a name. Rows
     are taken as they are, repeated rows and null ids too. An empty table gives no rows.
     """
-    rows = _selected(pages, id_col, url_col, html_col)
-    found = written(templates(rows, least_pages, least_share), "templates")
-    read = written(_read(rows), "pages")
-    boxed = F.exists("blocks", lambda b: F.size(b["around"]) > 0)
-    held = read.where(boxed).select("host", "k1", "k2", F.explode(F.array_distinct(F.flatten("blocks.around"))).alias("box"))
-    gone = held.join(found, ["host", "box"]).groupBy("host", "k1", "k2").agg(F.collect_set("box").alias("gone"))
+    read = written(_read(_selected(pages, id_col, url_col, html_col)), "pages")
+    found = written(templates(read, least_pages), "templates")
+    # A block outside every box stays whatever the counts say: such pages need not meet them.
+    boxed = F.exists("blocks", lambda b: b["box"] >= 0)
+    held = read.where(boxed).select("host", "k1", "k2", F.explode(F.array_distinct(F.col("boxes.digest"))).alias("digest"))
+    gone = held.join(found, ["host", "digest"]).groupBy("host", "k1", "k2").agg(F.collect_set("digest").alias("gone"))
     judged = read.where(boxed).join(gone, ["host", "k1", "k2"], "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<long>")))
-    stay = F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], F.col("gone")))
     plain = read.where(~boxed).select("page_id", "url", F.col("blocks.text").alias("texts"))
-    texts = plain.unionByName(judged.select("page_id", "url", F.transform(stay, lambda b: b["text"]).alias("texts")))
+    texts = plain.unionByName(_judged(judged))
     text = F.array_join("texts", "\n\n")
     return texts.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+
+
+def shares_of_counts(pages: DataFrame, least_pages: int = LEAST_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One row: pages, elements that lists or the choice of the article set aside, and how many of these the counts take by themselves."""
+    read = written(_read(_selected(pages, id_col, url_col, html_col)), "pages")
+    aside = read.select("host", F.explode("aside").alias("digest"))
+    met = aside.join(templates(read, least_pages).withColumn("counted", F.lit(1)), ["host", "digest"], "left")
+    return met.agg(F.count("*").alias("set_aside"), F.count("counted").alias("by_counts")).join(read.agg(F.count("*").alias("pages")), F.lit(True))

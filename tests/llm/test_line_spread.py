@@ -4,32 +4,32 @@ from llm_help import document, frame, odd_rows, prose, rng, rows  # noqa: F401
 from tallyward.llm import line_spread
 
 
-def brute(docs, sites, share=0.5):
+def brute(docs, sites):
+    """Widespread lines go everywhere but from the smallest document that has them, and its exact copies."""
+
+    def trimmed(text):
+        return [line.strip(" \t\r\f\v") for line in (text or "").split("\n")]
+
+    def sequence(text):
+        return tuple(line for line in trimmed(text) if line)
+
     spread, first = {}, {}
     for doc, text, _, source, _ in docs:
-        for line in (text or "").split("\n"):
-            if line.strip(" \t\r\f\v"):
-                key = line.strip(" \t\r\f\v")
-                spread.setdefault(key, set()).add(source)
-                if doc is not None:
-                    first[key] = min(doc, first.get(key, doc))
+        for line in sequence(text):
+            spread.setdefault(line, set()).add(source)
+            if doc is not None and (line not in first or doc < first[line][0]):
+                first[line] = (doc, sequence(text))
     wide = {line for line, on in spread.items() if len(on) >= sites}
     out = []
     for doc, text, _, _, _ in docs:
-        lines = (text or "").split("\n")
-        trimmed = [line.strip(" \t\r\f\v") for line in lines]
-        seen, gone = set(), []
-        for n, line in enumerate(trimmed):
+        lines, seen, gone = (text or "").split("\n"), set(), []
+        for n, line in enumerate(trimmed(text)):
             if line in wide:
-                if doc is not None and first.get(line) == doc and line not in seen:
+                if line in first and first[line][1] == sequence(text) and line not in seen:
                     seen.add(line)
                 else:
                     gone.append(n)
-        total, covered = sum(map(len, trimmed)), sum(len(line) for line in trimmed if line in wide)
-        if not gone or covered > share * total:
-            out.append((doc, text, 0))
-        else:
-            out.append((doc, "\n".join(line for n, line in enumerate(lines) if n not in gone), len(gone)))
+        out.append((doc, "\n".join(line for n, line in enumerate(lines) if n not in gone) if gone else text, len(gone)))
     return out
 
 
@@ -44,6 +44,8 @@ def test_against_brute_force(frame, rng):
                 own.insert(rng.randrange(len(own)), rng.choice(["", "  ", "\t"]) + line)
         docs.append(document(n, "\n".join(own), f"s{source}"))
     docs += [document(900 + n, common[11] + "\n" + common[10] + "\nend", f"s{n}") for n in range(20)]
+    docs += [document(1000 + n, "copied line\n\nanother copied line\n copied line", f"s{n}") for n in range(20)]  # all of it widespread
+    docs += [document(1100 + n, common[11] + "\nown " + str(n), f"s{n}") for n in range(20)]  # most of it widespread
     got = {(r["doc_id"], r["text"], r["n_removed"]) for r in rows(line_spread.without_spread_lines(frame(docs, 6)))}
     assert got == set(brute(docs, line_spread.SITES))
     assert sum(r[2] for r in got) > 100

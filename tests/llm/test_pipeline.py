@@ -75,3 +75,50 @@ def test_contract(spark):
     names = entry.queries()
     assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11))
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "near_dedup", "personal_data", "best_fit_packing"]
+
+
+def through(spark, docs, tmp_path, stages=corpus_pipeline.STAGES[:-1]):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in stages:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    return docs
+
+
+def test_extra_columns_keep_their_values(spark, frame, rng, tmp_path):
+    """Names that the operators use themselves, and names with dots and backticks."""
+    from pyspark.sql import functions as F
+
+    docs = frame([document(n, f"{prose(rng, 30)}\nshared line", f"s{n}") for n in range(12)])
+    names = ["n_lines", "n_removed", "a.b", "x`y", "row", "removed", "again", "kept", "spans", "c0", "h1"]
+    for name in names:
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name} "), F.col("doc_id").cast("string")))
+    got = [r.asDict() for r in through(spark, docs, tmp_path).collect()]
+    assert len(got) == 12
+    for r in got:
+        assert all(r[name] == f"{name} {r['doc_id']}" for name in names)
+        assert r["n_chars"] == len(r["text"])
+    assert sum("shared line" in r["text"] for r in got) == 1
+
+
+def test_repeated_rows_and_null_lengths(spark, frame, rng, tmp_path):
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    docs = [document(1, a), document(2, b), document(3, c), document(3, c), document(4, None), document(4, None), document(5, ""),
+            document(None, b + " x"), document(6, c), document(7, "only"), document(7, "other")]
+    docs = [(*d[:4], 99 if d[1] is None else d[4]) for d in docs]
+    got = through(spark, frame(docs), tmp_path, corpus_pipeline.STAGES[1:-1])
+    found = sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in rows(got)), key=str)
+    assert found == sorted([(1, a, len(a)), (2, b, len(b)), (3, c, len(c)), (4, None, 99), (5, "", 0), (None, b + " x", len(b) + 2),
+                            (7, "only", 4), (7, "other", 5)], key=str)
+
+
+def test_hostile_texts_end(spark, frame, tmp_path):
+    """Long runs of a few characters pass every stage in bounded time."""
+    import time
+
+    docs = [document(n, run * (60_000 // len(run))) for n, run in enumerate(["0", "0.", "9", "<a ", "<a'", "@", "a@", ">", "'", '"', "+1 ", "\n", " ", "a "])]
+    docs.append(document(99, "1." + "0" * 5000 + ".0.1"))
+    start = time.perf_counter()
+    assert through(spark, frame(docs, 8), tmp_path).count() >= len(docs) - 4
+    assert time.perf_counter() - start < 240

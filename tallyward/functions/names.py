@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,14 +49,3 @@ def asset_id(org: Column, source: Column, external_id: Column) -> Column:
     return F.sha2(
         F.concat_ws("\u0001", F.coalesce(org, F.lit("")), F.coalesce(source, F.lit("")), external_id), 256
     )
-
-
-def needs_at_sign(pattern: str) -> bool:
-    """Whether every match of a pattern contains ``@``, seen from its text.
-
-    A substring search is far cheaper than a scan that tries an address at every word, so such
-    patterns only run on texts that contain the sign. Patterns with groups or alternatives are left
-    alone.
-    """
-    bare = re.sub(r"\[[^\]]*\]", "", pattern)
-    return not re.search(r"[()|\[\]]|\\@", bare) and bool(re.search(r"@(?![?*{])", bare))

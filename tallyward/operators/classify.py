@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.constants import RULE_CONFIDENCE, SENSITIVITY_LEVELS, SYSTEM_RULES
-from tallyward.functions.names import needs_at_sign
+from tallyward.functions.digests import EMAIL_PATTERN, has_email, near_digits
 from tallyward.functions.reshape import long_text, stack_rows
 
 MAX_RULES = 2_000
+#: The seed patterns that find near the digits of a text what they find in the text.
+_NEAR_DIGITS = frozenset(pattern for name, _, _, _, pattern, _ in SYSTEM_RULES if name in {"US SSN", "Credit Card", "Phone Number", "IP Address"})
 
 
 def spark_pattern(pattern: str) -> str:
@@ -66,12 +68,15 @@ class ClassificationRule:
             return False
         return compiles(spark_pattern(self.pattern))
 
-    def matches(self, text: Column) -> Column:
+    def matches(self, text: Column, around: Column | None = None, lowered: Column | None = None) -> Column:
+        """Whether the text matches; ``around`` is its :func:`near_digits`, both computed once for all rules."""
         if self.method == "keyword":
-            lowered = F.lower(text)
+            lowered = F.lower(text) if lowered is None else lowered
             return reduce(lambda a, b: a | b, [lowered.contains(k.lower()) for k in self.keywords])
-        found = text.rlike(f"(?i){spark_pattern(self.pattern)}")
-        return text.contains("@") & found if needs_at_sign(self.pattern) else found
+        if self.pattern == EMAIL_PATTERN:
+            return has_email(text)
+        scanned = (near_digits(text) if around is None else around) if self.pattern in _NEAR_DIGITS else text
+        return scanned.rlike(f"(?i){spark_pattern(self.pattern)}")
 
 
 def seed_rules() -> list[ClassificationRule]:
@@ -119,10 +124,12 @@ def classify_columns(
             [], "asset string, column string, rule string, category string, "
             "sensitivity_level string, confidence double"
         )
+    value = F.col("value")
     by_value = (
         long_text(df, columns)
+        .withColumns({"around": near_digits(value), "lowered": F.lower(value)})
         .groupBy("column")
-        .agg(*[F.bool_or(r.matches(F.col("value"))).alias(f"hit_{i}") for i, r in enumerate(rules)])
+        .agg(*[F.bool_or(r.matches(value, F.col("around"), F.col("lowered"))).alias(f"hit_{i}") for i, r in enumerate(rules)])
     )
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
     # by_value holds one row per column of the schema, which bounds the broadcast.

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.functions.reshape import numeric_columns, quoted
+from tallyward.functions.selection import nth_row
 
 # Size and seed of the surrogate.
 TREES = 80
@@ -42,7 +43,11 @@ class Surrogate:
 
 
 def fit_surrogate(df: DataFrame, label: str, max_depth: int = 5) -> Surrogate:
-    """Random forest on the numeric columns, missing values as 0."""
+    """Random forest on the numeric columns, missing values as 0.
+
+    Trees end at ``max_depth``, 30 at the most, so a forest has at most 80 x 2^depth leaves whatever the data; a
+    deeper one follows the label more closely, and its attributions cost in proportion to its leaves.
+    """
     features = [c for c in numeric_columns(df) if c != label]
     if not features:
         raise ValueError("no numeric feature")
@@ -84,24 +89,36 @@ def _leaves(model: RandomForestClassificationModel) -> list[tuple[dict[int, tupl
     return found
 
 
-def shapley_values(surrogate: Surrogate) -> DataFrame:
-    """Exact attributions of every row against the mean row: a0, a1, ... per feature, averaged over classes.
+Leaf = tuple[dict[int, tuple[float, float]], list[float]]
 
-    A leaf counts for a coalition when the row meets its bounds on the coalition's features and the mean row on the
-    others. With A the features whose bounds only the row meets and B those only the mean row meets, its share in
-    a feature of A is (|A| - 1)! |B|! / (|A| + |B|)! and in one of B the negative of |A|! (|B| - 1)! / (|A| + |B|)!;
-    a feature that neither meets makes it nothing. So no coalition is scored, and rows stay where they are.
-    """
+
+def shapley_values(surrogate: Surrogate) -> DataFrame:
+    """Exact attributions of every row against the mean row: a0, a1, ... per feature, averaged over classes."""
     names, classes = surrogate.features, surrogate.explained_classes()
     means = surrogate.means or tuple(surrogate.rows.agg(*[F.avg(quoted(c)) for c in names]).first())
-    leaves = _leaves(surrogate.model)
+    trees = surrogate.model.getNumTrees
+    leaves = [(bounds, [p[c] / trees for c in classes]) for bounds, p in _leaves(surrogate.model)]
+    return attributions(surrogate.rows, names, leaves, means)
+
+
+def attributions(rows: DataFrame, names: Sequence[str], leaves: Sequence[Leaf], means: Sequence[float | None]) -> DataFrame:
+    """Mean absolute Shapley values over the outputs of a forest given by its leaves: a0, a1, ... per feature and row.
+
+    ``leaves`` are (bounds per feature, outputs): a row whose values lie in (low, high] of each bounded feature gets the
+    outputs, and a forest's output is the sum over its leaves. A leaf counts for a coalition when the row meets its
+    bounds on the coalition's features and the mean row on the others. With A the features whose bounds only the row
+    meets and B those only the mean row meets, its share in a feature of A is (|A| - 1)! |B|! / (|A| + |B|)! and in one
+    of B the negative of |A|! (|B| - 1)! / (|A| + |B|)!; a feature that neither meets makes it nothing. So no coalition
+    is scored, and rows stay where they are.
+    """
+    outputs = range(len(leaves[0][1]) if leaves else 1)
     depth = max((len(b) for b, _ in leaves), default=0) or 1
     feature = np.zeros((len(leaves), depth), dtype=np.int64)
     low, high = np.full((len(leaves), depth), -np.inf), np.full((len(leaves), depth), np.inf)
     for n, (bounds, _) in enumerate(leaves):
         for k, (i, (a, b)) in enumerate(sorted(bounds.items())):
             feature[n, k], low[n, k], high[n, k] = i, a, b
-    shares = np.array([[p[c] for c in classes] for _, p in leaves]) / surrogate.model.getNumTrees
+    shares = np.array([p for _, p in leaves]).reshape(len(leaves), len(outputs))
     usual = np.array([0.0 if m is None else m for m in means])[feature]
     by_mean = (usual > low) & (usual <= high)
     factorial = [math.factorial(n) for n in range(2 * depth + 1)]
@@ -126,20 +143,23 @@ def shapley_values(surrogate: Surrogate) -> DataFrame:
                 alive = (by_row | by_mean).all(axis=2)
                 a, b = only_row.sum(axis=2), only_mean.sum(axis=2)
                 up, down = gain[a, b] * alive, loss[a, b] * alive
-                for c in range(len(classes)):
+                for c in outputs:
                     value = np.zeros((len(part), len(names)))
                     for k in range(depth):
                         value += ((up * only_row[:, :, k] - down * only_mean[:, :, k]) * shares[:, c]) @ places[k]
-                    total[at : at + 128] += np.abs(value) / len(classes)
+                    total[at : at + 128] += np.abs(value) / len(outputs)
             yield pa.RecordBatch.from_arrays([pa.array(total[:, i]) for i in range(len(names))], names=[f"a{i}" for i in range(len(names))])
 
-    return surrogate.rows.select(*[quoted(c) for c in names]).mapInArrow(attribute, ", ".join(f"a{i} double" for i in range(len(names))))
+    return rows.select(*[quoted(c) for c in names]).mapInArrow(attribute, ", ".join(f"a{i} double" for i in range(len(names))))
 
 
 def global_importance(surrogate: Surrogate) -> DataFrame:
     """(feature, importance): mean absolute attribution over all rows, scaled to sum 1."""
-    names = surrogate.features
-    values = shapley_values(surrogate)
+    return scaled_importance(shapley_values(surrogate), surrogate.features)
+
+
+def scaled_importance(values: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(feature, importance) of attributions a0, a1, ...: their sums over all rows, scaled to sum 1, to four decimals."""
     total = values.agg(*[F.sum(f"a{i}").alias(f"a{i}") for i in range(len(names))])
     whole = sum((F.col(f"a{i}") for i in range(len(names))), F.lit(0.0))
     scale = F.when(whole > 0, whole).otherwise(F.lit(1.0))
@@ -171,8 +191,7 @@ def local_explanation(
         *[F.percentile_approx(quoted(c), [0.25, 0.5, 0.75]).alias(f"q{i}") for i, c in enumerate(names)],
     ).first()
     index = max(0, min(index, facts["n"] - 1))
-    keys = [quoted(c) for c in (order_by or names)]
-    row = rows.orderBy(*keys).offset(index).limit(1).first()
+    row = nth_row(rows, order_by or names, index)
     bins = [sum(row[c] > cut for cut in facts[f"q{i}"]) for i, c in enumerate(names)]
 
     spark = rows.sparkSession

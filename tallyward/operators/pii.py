@@ -14,7 +14,7 @@ from tallyward.constants import (
     UNSCANNED_CATEGORIES,
     VALUE_SCAN_CATEGORIES,
 )
-from tallyward.functions.names import needs_at_sign
+from tallyward.functions.digests import EMAIL_PATTERN, has_email, near_digits
 from tallyward.functions.reshape import long_text, stack_rows
 from tallyward.operators.classify import sensitivity_rank
 
@@ -43,38 +43,43 @@ _CHECKS = {"luhn": _luhn, "iban": _iban}
 
 @dataclass(frozen=True)
 class Recognizer:
-    """A pattern with its confidence; ``check`` names a checksum that a match must also satisfy."""
+    """A pattern with its confidence; ``check`` names a checksum that a match must also satisfy.
+
+    ``near`` says that the pattern finds in the surroundings of the digits what it finds in the text (see
+    :func:`tallyward.functions.digests.near_digits`).
+    """
 
     entity: str
     pattern: str
     score: float
     check: str | None = None
+    near: bool = False
 
-    def fires(self, text: Column) -> Column:
-        found = text.rlike(self.pattern)
-        if needs_at_sign(self.pattern):
-            found = text.contains("@") & found
+    def fires(self, text: Column, around: Column | None = None) -> Column:
+        """Whether the text matches; ``around`` is its :func:`near_digits`, computed once for all recognizers."""
+        if self.pattern == EMAIL_PATTERN and self.check is None:
+            return has_email(text)
+        scanned = (near_digits(text) if around is None else around) if self.near else text
         if self.check is None:
-            return found
-        candidates = F.regexp_extract_all(text, F.lit(self.pattern), 0)
-        return found & F.exists(candidates, _CHECKS[self.check])
+            return scanned.rlike(self.pattern)
+        return F.exists(F.regexp_extract_all(scanned, F.lit(self.pattern), 0), _CHECKS[self.check])
 
 
-# Default recognizers (entity, pattern, confidence, checksum).
+# Default recognizers (entity, pattern, confidence, checksum, near digits).
 DEFAULT_RECOGNIZERS = (
-    Recognizer("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 1.0),
+    Recognizer("EMAIL_ADDRESS", EMAIL_PATTERN, 1.0),
     Recognizer(  # a country code, or groups of three, three and four digits: a plain number is no phone
         "PHONE_NUMBER",
         r"(?:^|[^\w.])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})\b",
-        0.4,
+        0.4, near=True,
     ),
-    Recognizer("US_SSN", r"\b\d{3}[- ]\d{2}[- ]\d{4}\b", 0.5),
+    Recognizer("US_SSN", r"\b\d{3}[- ]\d{2}[- ]\d{4}\b", 0.5, near=True),
     Recognizer(
         "IP_ADDRESS",
         r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b",
-        0.6,
+        0.6, near=True,
     ),
-    Recognizer("CREDIT_CARD", r"\b\d(?:[ -]?\d){12,15}\b", 1.0, "luhn"),
+    Recognizer("CREDIT_CARD", r"\b\d(?:[ -]?\d){12,15}\b", 1.0, "luhn", near=True),
     Recognizer("IBAN_CODE", r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", 1.0, "iban"),
 )
 
@@ -96,15 +101,17 @@ def detect_pii_values(
 ) -> DataFrame:
     """(asset, column, entity, score): best score per entity over all values of a column.
 
-    One maximum per recognizer, combined before the shuffle: a task sends one row per column.
+    One maximum per recognizer, combined before the shuffle: a task sends one row per column. What surrounds the
+    digits of a text is found once and serves all recognizers of numbers.
     """
     columns = list(columns or df.columns)
-    text = F.col("value")
+    text, around = F.col("value"), F.col("around")
     best = (
         long_text(df, columns)
         .where(text != "")
+        .withColumn("around", near_digits(text))
         .groupBy("column")
-        .agg(*[F.max(F.when(r.fires(text), r.score)).alias(f"score_{i}") for i, r in enumerate(recognizers)])
+        .agg(*[F.max(F.when(r.fires(text, around), r.score)).alias(f"score_{i}") for i, r in enumerate(recognizers)])
     )
     rows = [
         F.struct(F.lit(r.entity).alias("entity"), F.col(f"score_{i}").alias("score"))

@@ -12,6 +12,7 @@ from tallyward.constants import PII_SENSITIVITIES, QUALITY_BANDS, RECENT_ASSET_T
 
 LARGEST_PAGE = 500
 
+
 def asset_filter(
     assets: DataFrame,
     q: str | None = None,
@@ -32,20 +33,58 @@ def asset_filter(
     return assets.where(reduce(lambda a, b: a & b, tests)) if tests else assets
 
 
+#: Sort -> (column, falls). Nulls come last in a falling order and first in a rising one.
+SORTS = {"recent": ("first_seen_at", True), "name": ("name", False), "quality": ("quality_score", True)}
+
+
+def _order(sort: str) -> tuple[str, bool, list[Column]]:
+    column, falls = SORTS.get(sort, SORTS["recent"])
+    return column, falls, [F.desc_nulls_last(column) if falls else F.asc_nulls_first(column), F.asc("id")]
+
+
+def _behind(sort: str, value: object, last_id: object) -> Column:
+    """Rows that come after (value, last_id) in a sort order."""
+    column, falls, _ = _order(sort)
+    col = F.col(column)
+    if value is None:
+        rest = col.isNull() & (F.col("id") > F.lit(last_id))
+        return rest if falls else rest | col.isNotNull()
+    tied = (col == F.lit(value)) & (F.col("id") > F.lit(last_id))
+    return (col < F.lit(value)) | tied | col.isNull() if falls else (col > F.lit(value)) | tied
+
+
 def search_assets(
-    assets: DataFrame, sort: str = "recent", limit: int = 50, offset: int = 0, **conditions
+    assets: DataFrame, sort: str = "recent", limit: int = 50, offset: int = 0, after: tuple | None = None, **conditions
 ) -> DataFrame:
-    """One page of at most LARGEST_PAGE matching assets; ties are broken by id and a larger page is refused."""
+    """One page of at most LARGEST_PAGE matching assets; ties are broken by id and a larger page is refused.
+
+    ``after`` is the sort value and the id of the last row seen: the page then costs the same however far down it is,
+    and over :func:`write_search_layout` only files that can hold later rows are read. ``offset`` skips rows instead,
+    all of which are ranked again for every page.
+    """
     if limit > LARGEST_PAGE:
         raise ValueError(f"a page holds at most {LARGEST_PAGE} assets")
-    order = {
-        "name": F.asc("name"),
-        "quality": F.desc_nulls_last("quality_score"),
-    }.get(sort, F.desc("first_seen_at"))
-    page = asset_filter(assets, **conditions).orderBy(order, "id")
+    found = asset_filter(assets, **conditions)
+    if after is not None:
+        found = found.where(_behind(sort, *after))
+    page = found.orderBy(*_order(sort)[2])
     return (page.offset(offset) if offset else page).limit(limit)
 
 
+def page_end(page: DataFrame, sort: str = "recent") -> tuple | None:
+    """What ``after`` takes for the page behind this one; None behind the last. A page is at most LARGEST_PAGE rows."""
+    column, falls, order = _order(sort)
+    turned = [F.asc_nulls_first(column) if falls else F.desc_nulls_last(column), F.desc("id")]
+    last = page.orderBy(*turned).select(column, "id").first()
+    return None if last is None else tuple(last)
+
+
+def write_search_layout(assets: DataFrame, path: str, sort: str = "recent") -> None:
+    """Store assets ranged and sorted by a sort order, so that statistics of files and row groups cut a page's scan."""
+    order = _order(sort)[2]
+    assets.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
 def search_total(assets: DataFrame, **conditions) -> DataFrame:
     return asset_filter(assets, **conditions).agg(F.count(F.lit(1)).alias("total"))
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from tallyward.operators import catalog as c
 from tallyward.operators import registry as r
 from tallyward.operators import rollups as q
+from tallyward.operators import scripts
 from tallyward.plans.registry import Registry
 from tallyward.plans.tables import TABLES, table
-from tallyward.sources import datasets, files
+from tallyward.sources import datasets, files, listing
 from tallyward.session import scratch_path
 
 REGISTRY = Registry()
@@ -98,14 +99,46 @@ def scan_files(spark, folder):
 
 @_query(
     "file_inventory",
-    "SELECT name || '.parquet' AS name, 'file' AS asset_type, 'parquet' AS file_format FROM (VALUES "
-    + ", ".join(f"('{t}')" for t in TABLES)
-    + ") t(name)",
+    " UNION ALL ".join(f"SELECT '{t}' AS name, 'parquet' AS file_format, count(*)::BIGINT AS row_count, true AS size_matches FROM {t}" for t in TABLES),
 )
 def file_inventory(spark, folder):
-    """What can be known of the listing beforehand: names, type and format of the tables' files."""
-    listed = files.list_files(spark, folder).where(F.endswith("name", F.lit(".parquet")))
-    return listed.select("name", "asset_type", "file_format")
+    """Listed files of every table with the rows they hold; the size listed is the one that the scan of the rows sees."""
+    kept = listing.listed(spark, folder).where(F.endswith("name", F.lit(".parquet")))
+    ends = F.regexp_extract("path", r"(?:^|/)([^/]+)\.parquet(?:/|$)", 1)
+    listed = kept.select("name", "size_bytes", ends.alias("table"), F.lower(F.element_at(F.split("name", r"\."), -1)).alias("file_format"))
+    scanned = reduce(
+        DataFrame.unionByName,
+        [
+            table(spark, folder, t).groupBy(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("scanned_bytes"))
+            .agg(F.count(F.lit(1)).alias("rows")).withColumn("table", F.lit(t))
+            for t in TABLES
+        ],
+    )
+    met = listed.join(scanned, ["table", "name"], "left")
+    return met.groupBy(F.col("table").alias("name"), "file_format").agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("row_count"), F.bool_and(F.coalesce(F.col("size_bytes") == F.col("scanned_bytes"), F.lit(True))).alias("size_matches")
+    )
+
+
+@_query(
+    "scan_scripts",
+    """SELECT p_size AS size, count(*)::BIGINT AS statements, count(DISTINCT p_type)::BIGINT AS sources,
+       count(DISTINCT p_partkey % 5)::BIGINT AS targets FROM part GROUP BY 1""",
+)
+def scan_scripts(spark, folder):
+    """A statement per part, written as .sql files by size and scanned again."""
+    root = scratch_path(spark, "script-corpus")
+    lines = table(spark, folder, "part").selectExpr(
+        "p_size AS size", "concat('INSERT INTO mart.m', p_partkey % 5, ' SELECT 1 FROM raw.\"', p_type, '\"; -- from x.y') AS line"
+    )
+    writer = lines.repartition(4, "size").write.partitionBy("size").option("quote", "").option("sep", "\u0001").option("escape", "\u0002")
+    writer.option("extension", "sql").csv(f"{root}/etl")
+    found = scripts.sql_table_refs(files.scan_scripts(spark, root))
+    each = found.select(F.regexp_extract("path", r"size=(\d+)", 1).cast("int").alias("size"), "sources", "targets")
+    return each.groupBy("size").agg(
+        F.count(F.lit(1)).alias("statements"), F.count_distinct(F.element_at("sources", 1)).alias("sources"),
+        F.count_distinct(F.element_at("targets", 1)).alias("targets"),
+    )
 
 
 @_query("list_files")
@@ -294,6 +327,20 @@ def search_assets(spark, folder):
     return page.select(*_SHOWN)
 
 
+@_query(
+    "search_pages",
+    f"WITH {ASSETS_SQL} SELECT {_SHOWN_SQL} FROM assets WHERE asset_type = 'column' ORDER BY quality_score DESC NULLS LAST, id LIMIT 40 OFFSET 120",
+)
+def search_pages(spark, folder):
+    """The fourth page over a stored layout, each found from the end of the one before it."""
+    path = scratch_path(spark, "search-layout")
+    q.write_search_layout(governed_assets(spark, folder).drop("metadata"), path, "quality")
+    stored, after = spark.read.parquet(path), None
+    for _ in range(3):
+        after = q.page_end(q.search_assets(stored, "quality", 40, after=after, asset_type="column"), "quality")
+    return q.search_assets(stored, "quality", 40, after=after, asset_type="column").select(*_SHOWN)
+
+
 @_query(
     "search_total",
     f"WITH {ASSETS_SQL} SELECT count(*)::BIGINT AS total FROM assets WHERE name ILIKE '%ring%' OR external_id ILIKE '%ring%'",

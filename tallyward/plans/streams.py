@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyward.functions.selection import nth_row
 from tallyward.operators import explain
 from tallyward.operators.quality import QualityRule
 from tallyward.plans import lineage as lineage_plans
@@ -118,6 +121,52 @@ def global_importance(spark, folder):
     return explain.global_importance(explain.fit_surrogate(_labelled(spark, folder), "label"))
 
 
+# A forest of two trees with known leaves: bounds (low, high] by feature, and the output.
+_FOREST = [
+    ({0: (-math.inf, 1500.0), 2: (-math.inf, 0.5)}, [0.1]), ({0: (-math.inf, 1500.0), 2: (0.5, math.inf)}, [0.25]),
+    ({0: (1500.0, math.inf), 3: (-math.inf, 0.5)}, [0.45]), ({0: (1500.0, math.inf), 3: (0.5, math.inf)}, [0.05]),
+    ({1: (-math.inf, 200.0)}, [0.15]), ({1: (200.0, math.inf), 0: (-math.inf, 4000.0)}, [0.3]), ({1: (200.0, math.inf), 0: (4000.0, math.inf)}, [0.4]),
+]
+
+
+@_query(
+    "known_forest_importance",
+    """WITH x AS (
+      SELECT row_number() OVER () AS r, coalesce(n_chars::DOUBLE, 0) AS a, coalesce((length(text) - length(replace(text, ' ', '')))::DOUBLE, 0) AS b,
+        coalesce((lang = 'en')::INT::DOUBLE, 0) AS c, coalesce(toxic::DOUBLE, 0) AS d FROM documents JOIN labels USING (doc_id)
+    ), m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(d) AS md FROM x
+    ), mixed AS (
+      SELECT r, code, bit_count(code) AS k, CASE WHEN code & 1 > 0 THEN a ELSE ma END AS a, CASE WHEN code & 2 > 0 THEN b ELSE mb END AS b,
+        CASE WHEN code & 4 > 0 THEN c ELSE mc END AS c, CASE WHEN code & 8 > 0 THEN d ELSE md END AS d
+      FROM x, m, (SELECT unnest(range(16)) AS code)
+    ), scored AS (
+      SELECT r, code, k, CASE WHEN a <= 1500 THEN CASE WHEN c <= 0.5 THEN 0.1 ELSE 0.25 END ELSE CASE WHEN d <= 0.5 THEN 0.45 ELSE 0.05 END END
+        + CASE WHEN b <= 200 THEN 0.15 WHEN a <= 4000 THEN 0.3 ELSE 0.4 END AS v FROM mixed
+    ), phi AS (
+      SELECT r, i, abs(sum(CAST(v AS DOUBLE) * CASE WHEN (code >> i) & 1 = 1 THEN [0.25, 1.0 / 12, 1.0 / 12, 0.25][k] ELSE -([0.25, 1.0 / 12, 1.0 / 12, 0.25][k + 1]) END)) AS p
+      FROM scored, (SELECT unnest(range(4)) AS i) GROUP BY r, i
+    )
+    SELECT ['n_chars', 'blanks', 'english', 'toxic'][i + 1] AS feature, round(sum(p) / (SELECT sum(p) FROM phi), 4) AS importance FROM phi GROUP BY i""",
+)
+def known_forest_importance(spark, folder):
+    """The attributions of a forest with known leaves; the SQL scores every coalition of features by definition."""
+    names = ("n_chars", "blanks", "english", "toxic")
+    rows = _labelled(spark, folder).select([F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
+    means = tuple(rows.agg(*[F.avg(c) for c in names]).first())
+    return explain.scaled_importance(explain.attributions(rows, names, _FOREST, means), names)
+
+
+@_query(
+    "explained_row",
+    """SELECT l_extendedprice, l_orderkey, l_linenumber FROM lineitem ORDER BY ALL
+       LIMIT 1 OFFSET (SELECT count(*) // 3 FROM lineitem)""",
+)
+def explained_row(spark, folder):
+    """The row at a third of an order, as a local explanation picks it: found by counts of ranges, not by a sort."""
+    rows = table(spark, folder, "lineitem").select("l_extendedprice", "l_orderkey", "l_linenumber")
+    return spark.createDataFrame([nth_row(rows, rows.columns, rows.count() // 3)], rows.schema)
+
+
 @_query(
     "importance_checks",
     """SELECT 4::BIGINT AS features, true AS sums_to_one, true AS not_negative,

@@ -6,6 +6,7 @@ from llm_help import document, frame, odd_rows, prose, rng, rows  # noqa: F401
 from pyspark.sql import functions as F
 
 from tallyward.llm import quality
+from tallyward.llm import words as words_module
 
 
 def sample(rng, n):
@@ -75,3 +76,67 @@ def test_odd_rows(spark, frame, odd_rows, labels, low, high):
     assert len(got) == len(odd_rows) and all(low <= r["score"] <= high for r in got)
     assert quality.accepted(source, model).count() == len(odd_rows) and quality.accepted(source, model).columns == source.columns
     assert quality.score(frame([]), quality.fit(frame([]), marked)).count() == 0
+
+
+M = (1 << 64) - 1
+
+
+def spread(h):
+    h = (h ^ (h >> 33)) * 0xFF51AFD7ED558CCD & M
+    h = (h ^ (h >> 33)) * 0xC4CEB9FE1A85EC53 & M
+    return h ^ (h >> 33)
+
+
+def plain_places(text):
+    """The table places of a text's n-grams by their definition, word by word in whole numbers."""
+    odd = [int(x) for x in quality._ODD]
+    seed = int(words_module._SEEDS[0])
+
+    def kind(b):
+        return 1 if 97 <= b <= 122 or b >= 128 else 2 if 65 <= b <= 90 else 4 if 48 <= b <= 57 else 8
+
+    hashes, shapes = [], []
+    for word in text.encode().split():
+        value = sum((b + 32 if 65 <= b <= 90 else b) * pow(words_module._BASE, i, 1 << 64) + pow(words_module._BASE, i, 1 << 64) for i, b in enumerate(word))
+        h = spread((value + len(word) * seed) & M)
+        classes = 0
+        for b in word:
+            classes |= kind(b) & 7
+        last, before = word[-1], word[-2] if len(word) > 1 else 0
+        closing = last if kind(last) == 8 else 0
+        second = before if len(word) > 1 and kind(last) == 8 and kind(before) == 8 else 0
+        code = kind(word[0]) | classes << 4 | closing << 8 | second << 16 | min(len(word), 4) << 24
+        again = int(bool(hashes) and hashes[-1] == h)
+        hashes.append(h)
+        shapes.append(spread(((code | again << 32) * odd[0] + 1) & M))
+    grams = [h * odd[1] for h in hashes] + [a * odd[2] + b * odd[3] for a, b in zip(hashes, hashes[1:], strict=False)]
+    grams += [s * odd[4] for s in shapes] + [a * odd[5] + b * odd[6] for a, b in zip(shapes, shapes[1:], strict=False)]
+    grams += [a * odd[6] + b * odd[7] + c * odd[1] for a, b, c in zip(shapes, shapes[1:], shapes[2:], strict=False)]
+    return sorted({spread(g & M) >> (64 - quality.BITS) for g in grams})
+
+
+def test_scores_by_definition(spark, frame, rng):
+    """Scales, margins and scores recomputed from texts, labels and the fitted weights by other code."""
+    docs, labels = sample(rng, 240)
+    docs += [document(900, ""), document(901, None), document(902, "Éa! a a A?! 12 x")]
+    marked = quality.training_labels(spark.createDataFrame(labels, "doc_id long, quality int"))
+    model = quality.fit(frame(docs), marked)
+    text = {d[0]: d[1] or "" for d in docs}
+    places = {i: plain_places(t) for i, t in text.items()}
+    counts = {0: {}, 1: {}}
+    for label in (0, 1):
+        of_class = [i for i, mark in sorted(labels) if mark == label and zlib.crc32(str(i).encode()) % 3 != 1]
+        for i in (i for n, i in enumerate(of_class) if n % 5 != 4):  # every fifth is kept for the line
+            for p in places[i]:
+                counts[label][p] = counts[label].get(p, 0) + 1
+    size = 1 << quality.BITS
+    total = {label: sum(c.values()) + size for label, c in counts.items()}
+
+    def ratio(p):
+        return np.log((counts[1].get(p, 0) + 1) / total[1]) - np.log((counts[0].get(p, 0) + 1) / total[0])
+
+    for r in rows(quality.score(frame(docs, 4), model)):
+        own = places[r["doc_id"]]
+        length = sum(ratio(p) ** 2 for p in own) ** 0.5
+        margin = (sum(float(model.weights[p]) for p in own) / length if length else 0.0) + model.bias
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-(model.slope * margin + model.shift))), abs=1e-5)

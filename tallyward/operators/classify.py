@@ -75,8 +75,11 @@ class ClassificationRule:
             return reduce(lambda a, b: a | b, [lowered.contains(k.lower()) for k in self.keywords])
         if self.pattern == EMAIL_PATTERN:
             return has_email(text)
-        scanned = (near_digits(text) if around is None else around) if self.pattern in _NEAR_DIGITS else text
-        return scanned.rlike(f"(?i){spark_pattern(self.pattern)}")
+        pattern = f"(?i){spark_pattern(self.pattern)}"
+        if self.pattern not in _NEAR_DIGITS:
+            return text.rlike(pattern)
+        scanned = near_digits(text) if around is None else around
+        return F.coalesce(scanned.rlike(pattern), F.lit(False))  # no digits, no surroundings
 
 
 def seed_rules() -> list[ClassificationRule]:

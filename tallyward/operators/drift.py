@@ -384,37 +384,62 @@ class MonitorConfig:
     is_active: bool = True
 
 
-def monitor_sweep(
-    configs: Sequence[MonitorConfig], load: Callable[[str], DataFrame], **options
-) -> tuple[DataFrame, DataFrame]:
-    """(alerts, summary) over every active configuration.
+@dataclass
+class _Sweep:
+    """The dataset pairs of active configurations, which configuration checks which pair, and why others are left out."""
+
+    pairs: dict[str, tuple[str, DataFrame, DataFrame]]
+    rows: list[tuple[str, str, str]]
+    skipped: list[tuple[str, str]]
 
-    Configurations that name the same pair of datasets share one test, and all pairs share the same
-    shuffles. A configuration without both datasets, with a dataset that cannot be loaded or with an
-    empty side is skipped.
-    """
-    active = [c for c in configs if c.is_active]
-    frames: dict[str, DataFrame | None] = {}
 
-    def loaded(name: str) -> DataFrame | None:
+def _prepared(configs: Sequence[MonitorConfig], load: Callable[[str], DataFrame]) -> _Sweep:
+    frames: dict[str, DataFrame | str] = {}
+
+    def loaded(name: str) -> DataFrame | str:
+        """A dataset, or why it cannot be read."""
         if name not in frames:
             try:
                 frames[name] = load(name)
-            except Exception:  # noqa: BLE001 - an unreadable dataset skips its configurations
-                frames[name] = None
+            except Exception as error:  # noqa: BLE001 - an unreadable dataset skips its configurations, with its reason
+                frames[name] = f"{name}: {type(error).__name__}: {str(error).strip().splitlines()[0] if str(error).strip() else ''}"
         return frames[name]
 
-    pairs: dict[str, tuple[str, DataFrame, DataFrame]] = {}
-    rows = []
-    for config in active:
+    sweep = _Sweep({}, [], [])
+    for config in (c for c in configs if c.is_active):
         if not (config.reference and config.current):
+            sweep.skipped.append((config.config_id, "no reference or no current dataset"))
             continue
         reference, current = loaded(config.reference), loaded(config.current)
-        if reference is None or current is None or not any(shared_columns(reference, current)):
-            continue
-        name = f"{config.reference}\u0001{config.current}"
-        pairs[name] = (name, reference, current)
-        rows.append((config.config_id, config.model_version_id, name))
+        unread = [x for x in (reference, current) if isinstance(x, str)]
+        if unread:
+            sweep.skipped.append((config.config_id, "; ".join(dict.fromkeys(unread))))
+        elif not any(shared_columns(reference, current)):
+            sweep.skipped.append((config.config_id, "no column in common"))
+        else:
+            name = f"{config.reference}\u0001{config.current}"
+            sweep.pairs[name] = (name, reference, current)
+            sweep.rows.append((config.config_id, config.model_version_id, name))
+    return sweep
+
+
+def skipped_configs(spark: SparkSession, configs: Sequence[MonitorConfig], load: Callable[[str], DataFrame]) -> DataFrame:
+    """(config_id, reason) of the active configurations that a sweep leaves out before any test."""
+    return spark.createDataFrame(_prepared(configs, load).skipped, "config_id string, reason string")
+
+
+def monitor_sweep(
+    configs: Sequence[MonitorConfig], load: Callable[[str], DataFrame], **options
+) -> tuple[DataFrame, DataFrame]:
+    """(alerts, summary) over every active configuration.
+
+    Configurations that name the same pair of datasets share one test, and all pairs share the same
+    shuffles. A configuration without both datasets, with a dataset that cannot be loaded or with an
+    empty side is skipped; :func:`skipped_configs` tells why.
+    """
+    active = [c for c in configs if c.is_active]
+    sweep = _prepared(configs, load)
+    pairs, rows = sweep.pairs, sweep.rows
     spark = next(iter(pairs.values()))[1].sparkSession if pairs else SparkSession.active()
     known = spark.createDataFrame(rows, "config_id string, model_version_id string, dataset string")
     if pairs:

@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyward.session import checkpointed, written
+from tallyward.session import written
 
 
 # Ids that a closure broadcasts at most: some 64 MB of hashed ids.
@@ -34,14 +34,14 @@ def closure(
     """(id, depth) of everything reachable from ``starts``, the starts at depth 0.
 
     One round per hop: the frontier meets the edges on their start column, new ids are those not
-    visited yet, so cycles end by themselves. Each round writes its frontier to a reliable
-    checkpoint, which keeps the plan short and survives lost executors. Frontier and visited set are
+    visited yet, so cycles end by themselves. Each round writes its frontier to the shared folder,
+    which keeps the plan short, survives lost executors and goes with the other scratch tables. Frontier and visited set are
     counted; while they are small they are broadcast and the edges never move, beyond that they are
     shuffled like any other join.
     """
     near, far = ("source_id", "target_id") if direction == "down" else ("target_id", "source_id")
     hops = edges.select(F.col(near).alias("id"), F.col(far).alias("next")).persist(StorageLevel.MEMORY_AND_DISK)
-    frontier = checkpointed(_start_frame(edges, starts).withColumn("depth", F.lit(0)))
+    frontier = written(_start_frame(edges, starts).withColumn("depth", F.lit(0)), "frontier")
     size = visited = frontier.count()
     rounds = [frontier]
     depth = 0
@@ -51,12 +51,12 @@ def closure(
             step = hops.join(_small(frontier.select("id"), size), "id")
             reached = step.select(F.col("next").alias("id")).distinct()
             seen = _small(_union(rounds).select("id"), visited)
-            frontier = checkpointed(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
+            frontier = written(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
             size = frontier.count()
             visited += size
             rounds.append(frontier)
             if len(rounds) > 16:
-                rounds = [checkpointed(_union(rounds))]
+                rounds = [written(_union(rounds), "frontier")]
     finally:
         hops.unpersist()
     return _union(rounds)

@@ -61,8 +61,10 @@ class Recognizer:
             return has_email(text)
         scanned = (near_digits(text) if around is None else around) if self.near else text
         if self.check is None:
-            return scanned.rlike(self.pattern)
-        return F.exists(F.regexp_extract_all(scanned, F.lit(self.pattern), 0), _CHECKS[self.check])
+            found = scanned.rlike(self.pattern)
+        else:
+            found = F.exists(F.regexp_extract_all(scanned, F.lit(self.pattern), 0), _CHECKS[self.check])
+        return F.coalesce(found, F.lit(False)) if self.near else found  # no digits, no surroundings
 
 
 # Default recognizers (entity, pattern, confidence, checksum, near digits).

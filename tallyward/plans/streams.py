@@ -55,6 +55,17 @@ def stream_quality(spark, folder):
     return _plain_windows(run_available(spark, stream, "stream-quality"))
 
 
+@_query(
+    "window_quality",
+    """WITH c AS (SELECT date_trunc('day', ts) AS window_start, count(*)::BIGINT AS n, (count(*) FILTER (WHERE value < 1))::BIGINT AS low FROM events GROUP BY 1)
+        SELECT window_start, n AS records_evaluated, 'low_value' AS rule_id, low AS records_failed,
+          CASE WHEN low = 0 THEN 'passed' ELSE 'failed' END AS status FROM c""",
+)
+def window_quality(spark, folder):
+    """The same windows over stored events: all of them, with the last one that a stream still holds open."""
+    return _plain_windows(windowed_quality(table(spark, folder, "events"), [QualityRule("low_value", "range", "value", min_value=1)], "ts"))
+
+
 @_query(
     "stream_drift",
     f"""WITH {_CLOSED_SQL}, base AS (SELECT value FROM events WHERE ts < TIMESTAMP '2024-01-08'),

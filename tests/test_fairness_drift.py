@@ -109,6 +109,8 @@ def test_dataset_drift_and_sweep(spark):
     alerts, summary = d.monitor_sweep(configs, lambda name: tables[name])
     assert {(r["config_id"], r["severity"]) for r in rows(alerts)} == {("1", "critical"), ("6", "critical")}
     assert rows(summary) == [{"active_configs": 5, "checked": 3, "alerts_raised": 2, "skipped": 2}]
+    reasons = {r["config_id"]: r["reason"] for r in rows(d.skipped_configs(spark, configs, lambda name: tables[name]))}
+    assert set(reasons) == {"3", "4"} and reasons["4"] == "gone: KeyError: 'gone'"
 
 
 def test_new_category_is_certain_drift(spark):

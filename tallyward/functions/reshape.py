@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,6 +64,11 @@ def stack_rows(structs: Sequence[Column]) -> Column:
     return F.inline(F.array(*structs))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used; inside a lambda nothing else shares it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key, the same one on every run: the greatest by the text of its other columns."""
     rest = F.struct(*[quoted(c) for c in df.columns if c not in keys])

@@ -12,10 +12,13 @@ its own (through a derived ``*`` over one source a named column is followed).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.operators.scripts import extension, script_kind
+from tallyward.functions.reshape import once, stack_rows
+from tallyward.operators.scripts import extension, is_sql_script
 
 # Marks in private characters: bracket, end of bracket, comma inside one, literal, block number and its end.
 _OPEN, _CLOSE, _COMMA, _TEXT, _BLOCK, _END = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004", "\ue005"
@@ -70,6 +73,10 @@ def _all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _unless_empty(text: Column) -> Column:
+    return once(text, lambda t: F.when(t != "", t))
+
+
 def _plain(name: Column) -> Column:
     return F.regexp_replace(name, r'["`\[\]\s]', "")
 
@@ -94,18 +101,24 @@ def _without_brackets(text: Column, depth: Column) -> Column:
     start = F.struct(text.alias("text"), F.array().cast("array<string>").alias("blocks"))
 
     def step(state: Column, _: Column) -> Column:
-        found = _all(state["text"], _SELECT_BLOCK, 0)
         known = F.size(state["blocks"])
         around = F.split(state["text"], _SELECT_BLOCK, -1)
         numbered = F.transform(
             around, lambda part, n: F.when(n == 0, part).otherwise(F.concat(F.lit(_BLOCK), (known + n).cast("string"), F.lit(_END), part))
         )
-        left = F.array_join(numbered, "")
         innermost = r"\([^()]*\)"
-        held = F.transform(_all(left, innermost, 0), lambda inside: F.translate(inside, "(,)", _OPEN + _COMMA + _CLOSE))
-        marked = F.array_join(F.transform(F.split(left, innermost, -1), lambda part, n: F.concat(F.coalesce(F.get(held, n - 1), F.lit("")), part)), "")
-        inner = F.transform(found, lambda block: F.regexp_replace(block, r"^\(|\)$", ""))
-        return F.struct(marked.alias("text"), F.concat(state["blocks"], inner).alias("blocks"))
+
+        def marked(left: Column) -> Column:
+            inside = F.transform(_all(left, innermost, 0), lambda held: F.translate(held, "(,)", _OPEN + _COMMA + _CLOSE))
+            return once(
+                inside,
+                lambda held: F.array_join(
+                    F.transform(F.split(left, innermost, -1), lambda part, n: F.concat(F.coalesce(F.get(held, n - 1), F.lit("")), part)), ""
+                ),
+            )
+
+        inner = F.transform(_all(state["text"], _SELECT_BLOCK, 0), lambda block: F.regexp_replace(block, r"^\(|\)$", ""))
+        return F.struct(once(F.array_join(numbered, ""), marked).alias("text"), F.concat(state["blocks"], inner).alias("blocks"))
 
     return F.aggregate(F.sequence(F.lit(0), depth), start, step)
 
@@ -116,7 +129,7 @@ def _refs(projection: Column) -> Column:
     named = F.filter(_all(bare, _REFERENCE, 0), lambda r: ~F.lower(r).rlike(rf"^(?:{_WORDS})$") & ~r.rlike(r"^\s*\d"))
     own = F.transform(
         F.transform(named, _plain),
-        lambda r: F.struct(F.lit(0).alias("block"), F.nullif(F.regexp_extract(r, r"(?s)^(.*)\.[^.]*$", 1), F.lit("")).alias("qualifier"), _last(r).alias("name")),
+        lambda r: F.struct(F.lit(0).alias("block"), _unless_empty(F.regexp_extract(r, r"(?s)^(.*)\.[^.]*$", 1)).alias("qualifier"), _last(r).alias("name")),
     )
     unset = F.lit(None).cast("string")
     inner = F.transform(
@@ -126,23 +139,29 @@ def _refs(projection: Column) -> Column:
 
 
 def _projection(text: Column) -> Column:
-    alias = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in (_AS_ALIAS, _BARE_ALIAS)])
+    out = _plain(F.coalesce(*[_unless_empty(F.regexp_extract(text, p, 1)) for p in (_AS_ALIAS, _BARE_ALIAS, _COLUMN)]))
     bare = F.regexp_replace(F.regexp_replace(text, _AS_ALIAS, ""), _BARE_ALIAS, "")
-    return F.struct(
-        _plain(F.coalesce(alias, F.nullif(F.regexp_extract(text, _COLUMN, 1), F.lit("")))).alias("out"),
-        text.rlike(_STAR).alias("star"), F.when(text.rlike(_STAR), F.array().cast("array<struct<block:int,qualifier:string,name:string>>")).otherwise(_refs(bare)).alias("refs"),
+    nothing = F.array().cast("array<struct<block:int,qualifier:string,name:string>>")
+    return once(
+        text.rlike(_STAR),
+        lambda star: F.struct(out.alias("out"), star.alias("star"), F.when(star, nothing).otherwise(once(bare, _refs)).alias("refs")),
     )
 
 
 def _source(item: Column, common: Column) -> Column:
     """(alias, table, block) of one item of a FROM; a common table of the statement is its block."""
-    name = F.nullif(_plain(F.regexp_extract(item, _SOURCE_NAME, 1)), F.lit(""))
-    block = F.coalesce(
-        F.regexp_extract(item, _SOURCE_BLOCK, 1).try_cast("int"),
-        F.get(F.filter(common, lambda c: c["name"] == F.lower(name))["block"], F.lit(0)),
-    )
-    alias = F.coalesce(F.nullif(_plain(F.regexp_extract(item, _SOURCE_ALIAS, 1)), F.lit("")), _last(name))
-    return F.struct(F.lower(alias).alias("alias"), F.when(block.isNull(), name).alias("table"), block.alias("block"))
+
+    def named(name: Column) -> Column:
+        block = F.coalesce(
+            _unless_empty(F.regexp_extract(item, _SOURCE_BLOCK, 1)).try_cast("int"),
+            once(F.lower(name), lambda low: F.get(F.filter(common, lambda c: c["name"] == low)["block"], F.lit(0))),
+        )
+        alias = F.coalesce(_unless_empty(_plain(F.regexp_extract(item, _SOURCE_ALIAS, 1))), _last(name))
+        return once(
+            block, lambda at: F.struct(F.lower(alias).alias("alias"), F.when(at.isNull(), name).alias("table"), at.alias("block"))
+        )
+
+    return once(_unless_empty(_plain(F.regexp_extract(item, _SOURCE_NAME, 1))), named)
 
 
 def _branches(block: Column, common: Column) -> Column:
@@ -172,9 +191,9 @@ def _step(state: Column, blocks: Column) -> Column:
         """The references behind a column of a block, in each of its branches; all of its columns for no name."""
         branches = target_of(sub)["branches"]
         outs = F.transform(F.get(branches, F.lit(0))["projections"], lambda p, i: F.coalesce(F.get(target_of(sub)["names"], i), p["out"]))
-        at = F.array_position(F.transform(outs, lambda o: F.coalesce(F.lower(o), F.lit(""))), F.lower(name)).cast("int") - 1
+        place = F.array_position(F.transform(outs, lambda o: F.coalesce(F.lower(o), F.lit(""))), F.lower(name)).cast("int") - 1
 
-        def of_branch(branch: Column, n: Column) -> Column:
+        def of_branch(branch: Column, n: Column, at: Column) -> Column:
             wanted = F.when(name.isNull(), F.flatten(F.transform(branch["projections"], lambda p: p["refs"]))).when(
                 at >= 0, F.get(branch["projections"], at)["refs"]
             ).when(
@@ -186,7 +205,8 @@ def _step(state: Column, blocks: Column) -> Column:
                 lambda r: F.struct(target.alias("target"), sub.alias("block"), n.alias("branch"), r.alias("ref")),
             )
 
-        return F.coalesce(F.flatten(F.transform(branches, of_branch)), F.array().cast(_PENDING))
+        below = once(place, lambda at: F.flatten(F.transform(branches, lambda branch, n: of_branch(branch, n, at))))
+        return F.coalesce(below, F.array().cast(_PENDING))
 
     def source_of(p: Column) -> Column:
         """The source that an open reference names: the only one, or the one of that alias."""
@@ -194,7 +214,12 @@ def _step(state: Column, blocks: Column) -> Column:
         by_alias = F.filter(sources, lambda s: s["alias"] == F.lower(p["ref"]["qualifier"]))
         return F.when(p["ref"]["qualifier"].isNull(), F.when(F.size(sources) == 1, F.get(sources, F.lit(0)))).otherwise(F.get(by_alias, F.lit(0)))
 
-    told = F.transform(state["pending"], lambda p: F.struct(p.alias("p"), source_of(p).alias("s")))
+    opened = F.transform(state["pending"], lambda p: F.struct(p.alias("p"), source_of(p).alias("s")))
+    return once(opened, lambda told: _told(told, state["done"], within))
+
+
+def _told(told: Column, done: Column, within: Callable[[Column, Column, Column], Column]) -> Column:
+    """The state after a step, from the open references with their sources."""
     sub = lambda x: F.when(x["p"]["ref"]["block"] > 0, x["p"]["ref"]["block"]).otherwise(x["s"]["block"])
     deeper = F.flatten(F.transform(F.filter(told, lambda x: sub(x).isNotNull()), lambda x: within(sub(x), x["p"]["ref"]["name"], x["p"]["target"])))
     # A qualifier that is no alias is taken for a table; an unqualified column among several sources names none.
@@ -205,7 +230,7 @@ def _step(state: Column, blocks: Column) -> Column:
             x["p"]["ref"]["name"].alias("source_column"),
         ),
     )
-    return F.struct(F.array_distinct(deeper).alias("pending"), F.array_union(state["done"], F.filter(ended, lambda e: e["source_table"].isNotNull())).alias("done"))
+    return F.struct(F.array_distinct(deeper).alias("pending"), F.array_union(done, F.filter(ended, lambda e: e["source_table"].isNotNull())).alias("done"))
 
 
 def column_refs_in_sql(texts: DataFrame) -> DataFrame:
@@ -224,25 +249,26 @@ def column_refs_in_sql(texts: DataFrame) -> DataFrame:
     statements = texts.select("path", F.explode(F.split(clean, ";")).alias("text")).where(
         F.col("text").rlike(r"(?i)\b(?:insert|create)\b") & F.col("text").rlike(r"(?i)\bselect\b")
     )
-    flat = statements.select("path", _without_brackets(F.col("text"), _depth(F.col("text"))).alias("flat")).select("path", "flat.*")
+    # Rows go through a generator after each costly step: what a filter or a later column refers to is then computed
+    # once, where a plain projection would be computed again for each of them.
+    flat = statements.select("path", stack_rows([_without_brackets(F.col("text"), _depth(F.col("text")))]))
     common = F.flatten(
         F.transform(
             F.concat(F.array("text"), "blocks"),
             lambda t: F.transform(
-                _all(t, _COMMON, 1),
-                lambda name, i: F.struct(
-                    F.lower(name).alias("name"), F.get(_all(t, _COMMON, 2), i).alias("names"), F.get(_all(t, _COMMON, 3), i).cast("int").alias("block")
-                ),
+                F.when(t.contains(_BLOCK), F.arrays_zip(*[_all(t, _COMMON, group).alias(f"g{group}") for group in (1, 2, 3)])).otherwise(F.array()),
+                lambda g: F.struct(F.lower(g["g1"]).alias("name"), g["g2"].alias("names"), g["g3"].cast("int").alias("block")),
             ),
         )
     )
-    named = flat.where(F.col("text").rlike(_IS_TARGET)).select(
-        "path", "text", "blocks", common.alias("common"), _plain(F.regexp_extract("text", _TARGET, 1)).alias("target_table"),
-        F.regexp_extract("text", _TARGET, 2).alias("listed"),
-    ).where("target_table <> ''")
+    target = F.struct(
+        F.col("text").alias("text"), F.col("blocks").alias("blocks"), common.alias("common"),
+        _plain(F.regexp_extract("text", _TARGET, 1)).alias("target_table"), F.regexp_extract("text", _TARGET, 2).alias("listed"),
+    )
+    named = flat.where(F.col("text").rlike(_IS_TARGET)).select("path", stack_rows([target])).where("target_table <> ''")
     # The statement's own block: from its first SELECT outside brackets on, or the bracketed SELECT at its end.
     own = F.regexp_extract("text", r"(?is)\b(select\b.*)$", 1)
-    ending = F.regexp_extract("text", rf"{_BLOCK}(\d+){_END}[\s{_CLOSE}]*$", 1).try_cast("int")
+    ending = _unless_empty(F.regexp_extract("text", rf"{_BLOCK}(\d+){_END}[\s{_CLOSE}]*$", 1)).try_cast("int")
     whole = F.concat(F.array(F.when(own != "", own).otherwise(F.get("blocks", ending - 1))), "blocks")
     blocks = F.transform(
         whole,
@@ -254,7 +280,9 @@ def column_refs_in_sql(texts: DataFrame) -> DataFrame:
         ),
     )
     head = F.transform(F.split("listed", _COMMA), lambda c: _plain(F.regexp_extract(c, rf"^\s*({_IDENT})", 1)))
-    parsed = named.select("path", "target_table", F.filter(head, lambda c: c != "").alias("listed"), blocks.alias("tree"))
+    parsed = named.select(
+        "path", "target_table", stack_rows([F.struct(F.filter(head, lambda c: c != "").alias("listed"), blocks.alias("tree"))])
+    )
 
     tree, listed = F.col("tree"), F.col("listed")
     outer = F.get(tree, F.lit(0))["branches"]
@@ -287,7 +315,7 @@ def column_refs_in_sql(texts: DataFrame) -> DataFrame:
 def column_refs(scripts: DataFrame) -> DataFrame:
     """The column references of plain SQL scripts and of SQL inside the string literals of Python scripts."""
     content = F.col("content")
-    sql = scripts.where(script_kind(F.col("path"), content) == "sql_script").select("path", content.alias("sql"))
+    sql = scripts.where(is_sql_script(F.col("path"), content)).select("path", content.alias("sql"))
     strings = F.regexp_extract_all(content, F.lit('(?s)"""(.*?)"""' + "|'''(.*?)'''" + '|"(.*?)"'), F.lit(0))
     inner = F.transform(strings, lambda s: F.btrim(s, F.lit("\"'")))
     embedded = scripts.where(extension(F.col("path")) == "py").select("path", F.explode(inner).alias("sql"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.functions.names import base_name
+from tallyward.functions.reshape import once, stack_rows
 
 # The script patterns.
 _PART = r'(?:"[^"]+"|`[^`]+`|\[[^\]]+\]|\w+)'
@@ -51,15 +52,26 @@ def extension(path: Column) -> Column:
     return F.lower(F.element_at(F.split(path, r"\."), -1))
 
 
+def _names_models(content: Column) -> Column:
+    return content.contains("ref(") | content.contains("source(")
+
+
+def _names_dag(content: Column) -> Column:
+    return content.contains("from airflow") | content.contains("DAG(")
+
+
+def is_sql_script(path: Column, content: Column) -> Column:
+    """Whether :func:`script_kind` says sql_script, without reading the text for the other kinds."""
+    return (extension(path) == "sql") & ~F.coalesce(_names_models(content), F.lit(False))
+
+
 def script_kind(path: Column, content: Column) -> Column:
     """dbt_model, sql_script, airflow_dag, spark_job, python_script or unknown."""
     ext = extension(path)
-    is_dbt = content.contains("ref(") | content.contains("source(")
-    is_dag = content.contains("from airflow") | content.contains("DAG(")
     return (
-        F.when((ext == "sql") & is_dbt, "dbt_model")
+        F.when((ext == "sql") & _names_models(content), "dbt_model")
         .when(ext == "sql", "sql_script")
-        .when((ext == "py") & is_dag, "airflow_dag")
+        .when((ext == "py") & _names_dag(content), "airflow_dag")
         .when((ext == "py") & (F.size(_literals(content, "write")) > 0), "spark_job")
         .when(ext == "py", "python_script")
         .otherwise("unknown")
@@ -102,36 +114,44 @@ def statements_in_sql(texts: DataFrame) -> DataFrame:
     listed = F.flatten(F.transform(_all(F.col("text"), _SOURCES), lambda item: F.split(item, ",")))
     named = F.transform(listed, lambda item: _plain_name(F.regexp_extract(item, rf"(?s)^\s*({_NAME})", 1)))
     common = F.transform(_all(F.col("text"), _COMMON_TABLE), lambda name: F.lower(name))
-    named = F.filter(named, lambda name: ~F.array_contains(common, F.lower(name)))
-    target = _plain_name(F.regexp_extract("text", _TARGET, 1))
-    return statements.select(
-        "path",
+
+    def sources(known: Column, target: Column) -> Column:
+        return F.array_distinct(
+            F.array_remove(F.filter(named, lambda name: ~F.array_contains(known, F.lower(name)) & (name != target)), "")
+        )
+
+    # The generator computes the names once; the filter behind it would compute those of a projection again.
+    found = F.struct(
         F.lower(F.regexp_extract("text", _STATEMENT, 1)).alias("statement"),
-        F.array_distinct(F.array_remove(F.filter(named, lambda s: s != target), "")).alias("sources"),
-        F.array_remove(F.array(target), "").alias("targets"),
-    ).where((F.size("sources") > 0) | (F.size("targets") > 0))
+        once(_plain_name(F.regexp_extract("text", _TARGET, 1)), lambda target: F.struct(
+            once(common, lambda known: sources(known, target)).alias("sources"), F.array_remove(F.array(target), "").alias("targets")
+        )).alias("named"),
+    )
+    return statements.select("path", stack_rows([found])).select("path", "statement", "named.sources", "named.targets").where(
+        (F.size("sources") > 0) | (F.size("targets") > 0)
+    )
 
 
 def sql_table_refs(scripts: DataFrame) -> DataFrame:
     """Statements of plain SQL scripts."""
-    sql = scripts.where(script_kind(F.col("path"), F.col("content")) == "sql_script")
+    sql = scripts.where(is_sql_script(F.col("path"), F.col("content")))
     return statements_in_sql(sql.select("path", F.col("content").alias("sql")))
 
 
 def embedded_sql(scripts: DataFrame) -> DataFrame:
     """Statements inside string literals of Python scripts."""
     content = F.col("content")
-    is_dag = script_kind(F.col("path"), content) == "airflow_dag"
-    strings = F.when(is_dag, _all(content, _TRIPLE, 0)).otherwise(_all(content, _ANY_STRING, 0))
+    strings = F.when(_names_dag(content), _all(content, _TRIPLE, 0)).otherwise(_all(content, _ANY_STRING, 0))
     inner = F.transform(strings, lambda s: F.btrim(s, F.lit("\"'")))
     return statements_in_sql(
         scripts.where(extension(F.col("path")) == "py").select("path", F.explode(inner).alias("sql"))
     )
 
 
-def _literals(content: Column, direction: str) -> Column:
-    """Dataset names that a Python script reads or writes."""
-    chains = F.filter(_all(content, _CHAIN, 0), lambda chain: chain.startswith(f".{direction}"))
+def _literals(content: Column, direction: str, chains: Column | None = None) -> Column:
+    """Dataset names that a Python script reads or writes; ``chains`` are its call chains where they are known."""
+    chains = _all(content, _CHAIN, 0) if chains is None else chains
+    chains = F.filter(chains, lambda chain: chain.startswith(f".{direction}"))
     from_chains = F.flatten(
         F.transform(
             chains,
@@ -148,11 +168,14 @@ def _literals(content: Column, direction: str) -> Column:
 def script_dataset_literals(scripts: DataFrame) -> DataFrame:
     """(path, direction, dataset): inventory of what each Python script reads and writes."""
     content = F.col("content")
-    found = F.array(
-        *[
-            F.struct(F.lit(d).alias("direction"), _literals(content, d).alias("datasets"))
-            for d in ("read", "write")
-        ]
+    found = once(
+        _all(content, _CHAIN, 0),
+        lambda chains: F.array(
+            *[
+                F.struct(F.lit(d).alias("direction"), _literals(content, d, chains).alias("datasets"))
+                for d in ("read", "write")
+            ]
+        ),
     )
     return (
         scripts.where(extension(F.col("path")) == "py")

@@ -9,7 +9,7 @@ from tallyward.functions.names import segments
 from tallyward.operators import column_refs as text_columns
 from tallyward.operators import graph, lineage, openlineage, scripts
 from tallyward.plans.registry import Registry
-from tallyward.plans.tables import table
+from tallyward.plans.tables import spread, table
 from tallyward.session import scratch_path
 from tallyward.sources import files
 
@@ -20,7 +20,7 @@ _query = REGISTRY.query
 
 
 def _sql_scripts(spark, folder) -> DataFrame:
-    return table(spark, folder, "part").selectExpr(
+    return spread(table(spark, folder, "part")).selectExpr(
         "concat('etl/p', p_partkey, '.sql') AS path",
         """concat('-- FROM skipped.t\\nINSERT INTO mart.size_', p_size, ' SELECT * FROM raw.', p_type,
            if(p_partkey % 2 = 0, ' a', ''), ' JOIN raw."', p_brand, '"', if(p_partkey % 3 = 0, ' AS b', ''),
@@ -48,7 +48,7 @@ def sql_table_refs(spark, folder):
        array_to_string(list_sort(['stg_' || lower(p_type), 'raw.size_' || p_size]), ',') AS sources FROM part""",
 )
 def dbt_refs(spark, folder):
-    models = table(spark, folder, "part").selectExpr(
+    models = spread(table(spark, folder, "part")).selectExpr(
         "concat('models/m', p_partkey, '.sql') AS path",
         """concat('select * from {{ ref(''stg_', lower(p_type), ''') }} join {{ source( "raw", "size_',
            p_size, '") }} using (k)') AS content""",
@@ -61,7 +61,7 @@ def dbt_refs(spark, folder):
 
 
 def _python_scripts(spark, folder) -> DataFrame:
-    return table(spark, folder, "part").selectExpr(
+    return spread(table(spark, folder, "part")).selectExpr(
         "p_partkey",
         "concat('jobs/j', p_partkey, '.py') AS path",
         """concat('df = spark.read.parquet("s3://lake/', p_type, '")\\n',
@@ -340,7 +340,7 @@ _FROM_BOTH = """concat(' FROM supply."', first, '" JOIN supply."', second, '" ON
 
 
 def _edge_scripts(spark, folder) -> DataFrame:
-    named = table(spark, folder, "part").selectExpr(
+    named = spread(table(spark, folder, "part")).selectExpr(
         "p_partkey % 4 AS form", "concat('etl/e', p_partkey % 50, '.sql') AS path", f"{_FIRST} AS first", f"{_SECOND} AS second",
         """concat('"', p_brand, '"."', p_type, '"."', replace(p_name, ' ', '_'), '"') AS target""",
     )
@@ -377,7 +377,7 @@ def script_edges(spark, folder):
 
 def _column_scripts(spark, folder) -> DataFrame:
     """One script per part that fills two columns of a table: by alias, common table, derived table or set operation."""
-    named = table(spark, folder, "part").selectExpr(
+    named = spread(table(spark, folder, "part")).selectExpr(
         "p_partkey % 4 AS form", "concat('etl/c', p_partkey % 50, '.sql') AS path",
         f"""concat('supply."', {_FIRST}, '"') AS first""", f"""concat('supply."', {_SECOND}, '"') AS second""",
         """concat('"', p_brand, '"."', p_type, '"."', replace(p_name, ' ', '_'), '"') AS target""",

@@ -98,6 +98,9 @@ def reach(edges: DataFrame, starts: DataFrame | None = None, direction: str = "d
     the node has not had go on, so parallel edges and cycles cost nothing more and need no clearing beforehand. The
     number of rounds is the depth of the graph, whatever the number of starts. Without ``starts`` every node that an
     edge leaves is one. Frontiers are written to the shared folder; null ids take no part.
+
+    Most arrivals are ends of the graph: where the nodes that an edge leaves are few enough to broadcast, only
+    arrivals at these go on, and while they are few the edges never move.
     """
     near, far = ("source_id", "target_id") if direction == "down" else ("target_id", "source_id")
     hops = edges.select(F.col(near).alias("id"), F.col(far).alias("next")).where("id IS NOT NULL AND next IS NOT NULL")
@@ -113,14 +116,23 @@ def reach(edges: DataFrame, starts: DataFrame | None = None, direction: str = "d
         first = numbered.select(F.col("start").alias("id"), "word", F.expr("shiftleft(1L, bit)").alias("bits"), F.lit(0).alias("depth"))
         frontier = written(first, "arrivals")
         rounds, depth = [frontier], 0
-        while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
+        inner = numbered.select(F.col("start").alias("id")) if starts is None else written(hops.select("id").distinct(), "inner-nodes")
+        few = inner.count() <= BROADCAST_IDS
+
+        def going(arrivals: DataFrame) -> tuple[DataFrame, int]:
+            on = written(arrivals.join(F.broadcast(inner), "id", "left_semi"), "going") if few else arrivals
+            return on, on.count()
+
+        onward, size = going(frontier)
+        while (max_depth is None or depth < max_depth) and size:
             depth += 1
-            arrived = frontier.join(hops, "id").groupBy(F.col("next").alias("id"), "word").agg(F.bit_or("bits").alias("got"))
+            arrived = _small(onward, size).join(hops, "id").groupBy(F.col("next").alias("id"), "word").agg(F.bit_or("bits").alias("got"))
             had = _union(rounds).groupBy("id", "word").agg(F.bit_or("bits").alias("had"))
             fresh = arrived.join(had, ["id", "word"], "left").select(
                 "id", "word", F.expr("got & ~coalesce(had, 0L)").alias("bits"), F.lit(depth).alias("depth")
             )
             frontier = written(fresh.where("bits <> 0"), "arrivals")
+            onward, size = going(frontier)
             rounds.append(frontier)
             if len(rounds) > FRONTIERS_KEPT:
                 rounds = [written(_union(rounds), "arrivals")]

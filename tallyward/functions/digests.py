@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 # either side: what is left of a stretch still parts its two numbers wherever the whole stretch does.
 _STRETCH = r"(?<=[^0-9]{3}[^0-9 \-])[^0-9]+(?=[^0-9 \-][^0-9]{3})"
 
+# Without so many characters in a row that are no digits there is nothing to cut: numbers and dates pass as they are.
+_LONG_STRETCH = "[^0-9]{9}"
+
 # The address pattern that is looked for around each ``@``, and its parts before and behind the sign.
 EMAIL_PATTERN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 _LOCAL_END = r"[A-Za-z0-9._%+-]$"
@@ -25,7 +28,8 @@ def near_digits(text: Column) -> Column:
     A pattern gives the same answer on it as on the text when the gaps between its digits hold at most seven
     characters, or blanks and hyphens only, and when it looks at most three characters beyond its outer digits.
     """
-    return F.when(text.rlike("[0-9]"), F.regexp_replace(text, _STRETCH, ""))
+    cut = F.when(text.rlike(_LONG_STRETCH), F.regexp_replace(text, _STRETCH, "")).otherwise(text)
+    return F.when(text.rlike("[0-9]"), cut)
 
 
 def has_email(text: Column) -> Column:

@@ -19,7 +19,8 @@ from tallyward.functions.reshape import long_text, stack_rows
 
 MAX_RULES = 2_000
 #: The seed patterns that find near the digits of a text what they find in the text.
-_NEAR_DIGITS = frozenset(pattern for name, _, _, _, pattern, _ in SYSTEM_RULES if name in {"US SSN", "Credit Card", "Phone Number", "IP Address"})
+_LEAST = {"US SSN": 11, "Credit Card": 13, "Phone Number": 9, "IP Address": 7}  # characters of the shortest match
+_NEAR_DIGITS = {pattern: _LEAST[name] for name, _, _, _, pattern, _ in SYSTEM_RULES if name in _LEAST}
 
 
 def spark_pattern(pattern: str) -> str:
@@ -79,7 +80,8 @@ class ClassificationRule:
         if self.pattern not in _NEAR_DIGITS:
             return text.rlike(pattern)
         scanned = near_digits(text) if around is None else around
-        return F.coalesce(scanned.rlike(pattern), F.lit(False))  # no digits, no surroundings
+        long_enough = F.octet_length(scanned) >= _NEAR_DIGITS[self.pattern]
+        return F.coalesce(long_enough & scanned.rlike(pattern), F.lit(False))  # no digits, no surroundings
 
 
 def seed_rules() -> list[ClassificationRule]:

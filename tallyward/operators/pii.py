@@ -46,7 +46,7 @@ class Recognizer:
     """A pattern with its confidence; ``check`` names a checksum that a match must also satisfy.
 
     ``near`` says that the pattern finds in the surroundings of the digits what it finds in the text (see
-    :func:`tallyward.functions.digests.near_digits`).
+    :func:`tallyward.functions.digests.near_digits`); no match is shorter than ``least`` characters.
     """
 
     entity: str
@@ -54,6 +54,7 @@ class Recognizer:
     score: float
     check: str | None = None
     near: bool = False
+    least: int = 0
 
     def fires(self, text: Column, around: Column | None = None) -> Column:
         """Whether the text matches; ``around`` is its :func:`near_digits`, computed once for all recognizers."""
@@ -64,6 +65,8 @@ class Recognizer:
             found = scanned.rlike(self.pattern)
         else:
             found = F.exists(F.regexp_extract_all(scanned, F.lit(self.pattern), 0), _CHECKS[self.check])
+        if self.least:
+            found = (F.octet_length(scanned) >= self.least) & found
         return F.coalesce(found, F.lit(False)) if self.near else found  # no digits, no surroundings
 
 
@@ -73,16 +76,16 @@ DEFAULT_RECOGNIZERS = (
     Recognizer(  # a country code, or groups of three, three and four digits: a plain number is no phone
         "PHONE_NUMBER",
         r"(?:^|[^\w.])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})\b",
-        0.4, near=True,
+        0.4, near=True, least=7,
     ),
-    Recognizer("US_SSN", r"\b\d{3}[- ]\d{2}[- ]\d{4}\b", 0.5, near=True),
+    Recognizer("US_SSN", r"\b\d{3}[- ]\d{2}[- ]\d{4}\b", 0.5, near=True, least=11),
     Recognizer(
         "IP_ADDRESS",
         r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b",
-        0.6, near=True,
+        0.6, near=True, least=7,
     ),
-    Recognizer("CREDIT_CARD", r"\b\d(?:[ -]?\d){12,15}\b", 1.0, "luhn", near=True),
-    Recognizer("IBAN_CODE", r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", 1.0, "iban"),
+    Recognizer("CREDIT_CARD", r"\b\d(?:[ -]?\d){12,15}\b", 1.0, "luhn", near=True, least=13),
+    Recognizer("IBAN_CODE", r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", 1.0, "iban", least=15),
 )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,6 @@ from tallyward.session import written
 
 LONGEST_SUFFIX = 3
 
-_NAMED = "source_ref IS NOT NULL AND target_ref IS NOT NULL"
-
 
 def match_index(assets: DataFrame) -> DataFrame:
     """(kind, key, asset_id, is_unique): every key under which an asset can be found.
@@ -91,66 +91,102 @@ def resolve_refs(refs: DataFrame, index: DataFrame) -> DataFrame:
     return best_answers(reference_keys(refs), index)
 
 
-def resolve_pairs(pairs: DataFrame, index: DataFrame) -> DataFrame:
-    """Resolve ``source_ref`` and ``target_ref`` of distinct pairs; drops unresolved and self pairs.
+def resolve_pairs(statements: DataFrame, index: DataFrame) -> DataFrame:
+    """Every source x target of the statements, resolved; drops unresolved and self pairs.
 
-    Pairs and answers are written once. Each distinct reference is resolved once, and the answers'
-    size is then known: while it is below the broadcast threshold of the session the pairs stay
-    where they are, beyond it both are shuffled and a very common reference is left to the skew
-    handling of adaptive execution.
+    The statements are given with their lists and keep their other columns. They are written once and
+    each distinct reference is resolved once; the answers' size is then known: while it is below the
+    broadcast threshold of the session the statements stay where they are, beyond it they are shuffled
+    and a very common reference is left to the skew handling of adaptive execution. Targets are looked
+    up before the sources are dealt out, so that a statement's row is not multiplied any earlier.
     """
-    pairs = written(pairs, "lineage-pairs")
-    refs = pairs.select(F.explode(F.array("source_ref", "target_ref")).alias("ref"))
+    refs = statements.select(F.explode("sources").alias("ref")).union(statements.select(F.explode("targets")))
     resolved = written(resolve_refs(refs, index), "resolved-refs")
-    for side in ("source", "target"):
+    pairs = statements
+    for side in ("target", "source"):
         answer = resolved.select(
             F.col("ref").alias(f"{side}_ref"),
             F.col("asset_id").alias(f"{side}_id"),
             F.col("confidence").alias(f"{side}_confidence"),
         )
-        pairs = pairs.join(answer, f"{side}_ref")
+        pairs = pairs.withColumn(f"{side}_ref", F.explode(f"{side}s")).drop(f"{side}s").join(answer, f"{side}_ref")
+        pairs = pairs.drop(f"{side}_ref")
     return pairs.where(F.col("source_id") != F.col("target_id"))
 
 
-def _to_edges(resolved: DataFrame, lineage_type: str, existing: DataFrame | None) -> DataFrame:
+def _edges(statements: dict[str, DataFrame], index: DataFrame, existing: DataFrame | None) -> DataFrame:
+    """Edges of the statements of each lineage type, with the smallest logic and best confidence of their pairs.
+
+    An edge that exists, or that an earlier type has, is not given again: existing edges and all types
+    meet in one grouping, so that nothing is sorted for a join. Logic goes through the pairs as its place
+    in the order of all distinct ones: the smallest text of a group would need the pairs sorted on both
+    sides of the shuffle, the smallest number is hashed. Edges without a transform are never taken for known.
+    """
     keys = ["source_id", "target_id", "transform_id"]
+    types = list(statements)
+    rows = reduce(DataFrame.unionByName, [
+        df.select(F.lit(rank).alias("rank"), "transform_id", "logic", "sources", "targets")
+        for rank, df in enumerate(statements.values(), 1)
+    ])
+    rows = written(rows, "lineage-statements")
+    logics = rows.select("logic").where("logic IS NOT NULL").distinct().orderBy("logic")
+    logics = written(logics.withColumn("place", F.monotonically_increasing_id()), "logic-places")
+    found = resolve_pairs(rows.join(logics, "logic", "left").drop("logic"), index).select(
+        *keys, "rank", "place", F.least("source_confidence", "target_confidence").alias("confidence")
+    )
+    if existing is not None:
+        known = existing.select(*keys).dropna().withColumn("rank", F.lit(0))
+        found = found.unionByName(known, allowMissingColumns=True)
+    rank, apart = F.col("rank"), []
+    if len(types) > 1:
+        found, apart = found.withColumn("apart", F.when(F.col("transform_id").isNull(), rank)), ["apart"]
+    bests = [
+        best
+        for i, kind in enumerate(types, 1)
+        for best in (
+            F.min(F.when(rank == i, F.col("place"))).alias(f"{kind}_place"),
+            F.max(F.when(rank == i, F.col("confidence"))).alias(f"{kind}_confidence"),
+        )
+    ]
+    first = F.col("rank")
+
+    def of_first(value: str) -> F.Column:
+        return F.coalesce(*[F.when(first == i, F.col(f"{kind}_{value}")) for i, kind in enumerate(types, 1)])
+
     edges = (
-        resolved.groupBy(*keys)
-        .agg(
-            F.min("logic").alias("logic"),
-            F.round(F.max(F.least("source_confidence", "target_confidence")), 2).alias("confidence"),
+        found.groupBy(*keys, *apart)
+        .agg(F.min("rank").alias("rank"), *bests)
+        .where("rank > 0")
+        .select(
+            *keys,
+            F.element_at(F.array(*[F.lit(kind) for kind in types]), first).alias("lineage_type"),
+            of_first("place").alias("place"),
+            F.round(of_first("confidence"), 2).alias("confidence"),
         )
-        .withColumn("lineage_type", F.lit(lineage_type))
     )
-    if existing is not None:
-        edges = edges.join(existing.select(*keys), keys, "left_anti")
-    return edges.select(*keys, "lineage_type", "logic", "confidence")
+    return edges.join(logics, "place", "left").select(*keys, "lineage_type", "logic", "confidence")
+
+
+def _column_statements(columns: DataFrame) -> DataFrame:
+    return columns.select(
+        "transform_id",
+        "logic",
+        F.array(F.concat_ws(".", "source_table", "source_column")).alias("sources"),
+        F.array(F.concat_ws(".", "target_table", "target_column")).alias("targets"),
+    )
 
 
 def table_edges(statements: DataFrame, index: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Edges sources x targets of each statement (transform_id, logic, sources, targets).
 
-    Pairs come from exploding the two short lists of a statement, are made distinct before any
-    lookup, and unresolved or self edges are dropped.
+    Pairs come from exploding the two short lists of a statement; unresolved or self edges are dropped.
     """
-    pairs = (
-        statements.select("transform_id", "logic", F.explode("targets").alias("target_ref"), "sources")
-        .select("transform_id", "logic", "target_ref", F.explode("sources").alias("source_ref"))
-        .where(_NAMED)
-        .distinct()
-    )
-    return _to_edges(resolve_pairs(pairs, index), "table", existing)
+    return _edges({"table": statements}, index, existing)
 
 
 def column_edges(columns: DataFrame, index: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Edges of (transform_id, logic, source_table, source_column, target_table, target_column)."""
-    pairs = columns.select(
-        "transform_id",
-        "logic",
-        F.concat_ws(".", "source_table", "source_column").alias("source_ref"),
-        F.concat_ws(".", "target_table", "target_column").alias("target_ref"),
-    ).where(_NAMED).distinct()
-    return _to_edges(resolve_pairs(pairs, index), "column", existing)
+    return _edges({"column": _column_statements(columns)}, index, existing)
 
 
 def rebuild_lineage(

@@ -197,17 +197,12 @@ def rebuild_lineage(
 ) -> DataFrame:
     """New edges of all stored references; running it on its own result adds nothing.
 
-    The index serves both edge kinds, and the table edges are both result and filter of the column
-    edges, so each is written once.
+    Both edge kinds are resolved and grouped together; a pair that has a table edge gets no column edge.
     """
     index = match_index(assets)
     if columns is None:
         return table_edges(statements, index, existing)
-    index = written(index, "match-index")
-    edges = written(table_edges(statements, index, existing), "table-edges")
-    keys = ["source_id", "target_id", "transform_id"]
-    known = edges.select(*keys) if existing is None else edges.select(*keys).union(existing.select(*keys))
-    return edges.unionByName(column_edges(columns, index, known))
+    return _edges({"table": statements, "column": _column_statements(columns)}, index, existing)
 
 
 def rebuild_counts(statements: DataFrame, edges: DataFrame) -> DataFrame:

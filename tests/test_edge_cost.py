@@ -35,7 +35,8 @@ def test_edges_are_grouped_without_a_sort(spark, assets):
     stored = spark.createDataFrame([("x", "y", "t")], "source_id string, target_id string, transform_id string")
     index = lineage.match_index(assets).localCheckpoint()
     columns = spark.createDataFrame([("t", "l", "db.a", "x", "db.b", "x")], COLUMNS)
-    for edges in (lineage.table_edges(given, index, stored), lineage.column_edges(columns, index, stored)):
+    for edges in (lineage.table_edges(given, index, stored), lineage.column_edges(columns, index, stored),
+                  lineage.rebuild_lineage(assets, given, columns, stored)):
         plan = physical(edges)
         assert "SortAggregate" not in plan and "SortMergeJoin" not in plan
         assert plan.count("Exchange hashpartitioning") == 1
@@ -51,6 +52,18 @@ def test_smallest_logic_and_best_confidence_of_a_repeated_edge(spark, assets):
     assert {r["confidence"] for r in rows(edges)} == {1.0}
 
 
+def test_existing_edges_and_table_edges_hide_later_ones(spark, assets):
+    given = statements(spark, ("t", "l", ["db.a"], ["db.b"]), ("t", "l", ["db.a"], ["db.c"]), ("t", "k", ["db.a.x"], ["db.b.x"]),
+                       (None, "n", ["db.a.x"], ["db.b.x"]))
+    columns = spark.createDataFrame(
+        [("t", "c", "db.a", "x", "db.b", "x"), ("u", "c", "db.a", "x", "db.b", "x"), (None, "c", "db.a", "x", "db.b", "x")], COLUMNS)
+    stored = spark.createDataFrame([("a", "b", "t"), ("a", "b", "t"), ("a", "c", None), ("aa", "bb", None)],
+                                   "source_id string, target_id string, transform_id string")
+    want = [("a", "c", "t", "table", "l"), ("aa", "bb", "t", "table", "k"), ("aa", "bb", "u", "column", "c"),
+            ("aa", "bb", None, "table", "n"), ("aa", "bb", None, "column", "c")]
+    assert facts(lineage.rebuild_lineage(assets, given, columns, stored)) == sorted(want, key=str)
+
+
 def test_the_same_edges_where_nothing_is_broadcast(spark, assets):
     given = spark.range(400).selectExpr(
         "concat('t', id % 3) AS transform_id", "concat('l', id) AS logic",
